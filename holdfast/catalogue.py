@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from holdfast.plans import behaviour, churn, cohorts, customer_view, customers, revenue, value_at_risk
+from holdfast.plans import behaviour, churn, cleaning, cohorts, customer_view, customers, quality, revenue, value_at_risk
+from holdfast.plans.cleaning import audit_of
 from holdfast.sources.tables import Tables
 
 Plan = Callable[[Tables], DataFrame]
@@ -66,4 +67,54 @@ BUSINESS: dict[str, Plan] = {
 }
 
 # plans over the tables as they arrive, defects included
-RAW: dict[str, Plan] = {}
+RAW: dict[str, Plan] = {
+    "cl01_dedupe_customers": audit_of("customers", "duplicate_customers"),
+    "cl02_title_country": audit_of("customers", "country_case"),
+    "cl03_title_gender": audit_of("customers", "gender_case"),
+    "cl04_invalid_age": audit_of("customers", "invalid_age"),
+    "cl05_impute_age": audit_of("customers", "missing_age"),
+    "cl06_fill_customer_labels": audit_of("customers", "missing_gender", "missing_country", "missing_referral"),
+    "cl07_std_status": audit_of("subscriptions", "status_case"),
+    "cl08_backfill_cancel_date": audit_of("subscriptions", "cancelled_without_date"),
+    "cl09_fill_discount": audit_of("subscriptions", "missing_discount"),
+    "cl10_reset_bad_dates": audit_of("subscriptions", "end_before_start"),
+    "cl11_dedupe_txn": audit_of("transactions", "duplicate_transactions"),
+    "cl12_orphan_txn_sub": audit_of("transactions", "orphan_subscription"),
+    "cl13_abs_negative_charge": audit_of("transactions", "negative_charge"),
+    "cl14_fill_payment_status": audit_of("transactions", "missing_payment_status"),
+    "cl15_orphan_txn_cust": audit_of("transactions", "orphan_customer"),
+    "cl16_impute_minutes": audit_of("customer_activity", "missing_minutes"),
+    "cl17_fill_feature_usage": audit_of("customer_activity", "missing_features"),
+    "cl18_orphan_activity": audit_of("customer_activity", "orphan_activity"),
+    "cl19_std_issue_type": audit_of("support_tickets", "issue_case"),
+    "cl20_impute_satisfaction": audit_of("support_tickets", "missing_satisfaction"),
+    "cl21_impute_resolution": audit_of("support_tickets", "missing_resolution"),
+    "cl22_orphan_interactions": audit_of("customer_campaign_interactions", "orphan_interactions"),
+    "cl23_quality_report": lambda t: cleaning.quality_report(t).select("issue", "affected", "total", "pct"),
+    "cl23_quality_totals": cleaning.quality_totals,
+    "cl24_row_deltas": cleaning.row_deltas,
+    "cl25_raw_defect_profile": cleaning.raw_defect_profile,
+    "cl25_raw_status_counts": cleaning.raw_status_counts,
+    "cl26_post_clean_checks": cleaning.post_clean_checks,
+    "clean_customers": cleaning.cleaned("customers"),
+    "clean_subscriptions": cleaning.cleaned("subscriptions"),
+    "clean_transactions": cleaning.cleaned("transactions"),
+    "clean_activity": cleaning.cleaned("customer_activity"),
+    "clean_tickets": cleaning.cleaned("support_tickets"),
+    "clean_interactions": cleaning.cleaned("customer_campaign_interactions"),
+    "dq01_row_counts": quality.row_counts,
+    "dq02_duplicate_customers": quality.duplicate_customers,
+    "dq03_orphan_subscriptions": quality.orphan_subscriptions,
+    "dq04_orphan_transactions": quality.orphan_transactions,
+    "dq05_cancelled_without_date": quality.cancelled_without_date,
+    "dq06_end_before_start": quality.end_before_start,
+    "dq07_negative_charges": quality.negative_charges,
+    "dq08_age_bounds": quality.age_bounds,
+    "dq09_null_audit": quality.null_audit,
+    "dq10a_distinct_status": quality.distinct_values("subscriptions", "subscription_status"),
+    "dq10b_distinct_billing": quality.distinct_values("subscriptions", "billing_cycle"),
+    "dq10c_distinct_issue_type": quality.distinct_values("support_tickets", "issue_type"),
+    "dq11_check_constraints": quality.check_constraints,
+    "dq12_foreign_keys": quality.foreign_keys,
+    "dq13_grain": quality.dimension_grain,
+}

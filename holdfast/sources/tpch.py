@@ -127,7 +127,7 @@ class _Mapping:
                 F.when((c("l_returnflag") == "A") & (c("l_linestatus") == "O"), "Add-on Purchase")
                 .otherwise("Subscription Charge").alias("transaction_type"),
                 F.when(refunded, -price).otherwise(price).cast("decimal(18,2)").alias("amount"),
-                (price * c("l_discount")).cast("decimal(18,2)").alias("discount_amount"),
+                F.round((price * c("l_discount")).cast("decimal(28,8)"), 2).cast("decimal(18,2)").alias("discount_amount"),
                 F.when(refunded, "Refunded").when(c("l_returnflag") == "R", "Failed").otherwise("Success")
                 .alias("payment_status"),
             )

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_queries() -> dict[str, str]:
-    from oracle import business
+    from oracle import business, cleaning
 
     merged: dict[str, str] = {}
-    for module in (business,):
+    for module in (business, cleaning):
         merged.update(module.QUERIES)
     return merged

@@ -57,7 +57,7 @@ SELECT (l.l_orderkey * 8 + l.l_linenumber) * 1000003 + CAST(ROUND(l.l_extendedpr
          AS transaction_type,
        CAST(CASE WHEN l.l_returnflag = 'R' AND l.l_linestatus = 'F' THEN -l.l_extendedprice ELSE l.l_extendedprice END
          AS DECIMAL(18,2)) AS amount,
-       CAST(l.l_extendedprice * l.l_discount AS DECIMAL(18,2)) AS discount_amount,
+       CAST(ROUND(CAST(l.l_extendedprice * l.l_discount AS DECIMAL(28,8)), 2) AS DECIMAL(18,2)) AS discount_amount,
        CASE WHEN l.l_returnflag = 'R' AND l.l_linestatus = 'F' THEN 'Refunded' WHEN l.l_returnflag = 'R' THEN 'Failed'
             ELSE 'Success' END AS payment_status
 FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey""",
