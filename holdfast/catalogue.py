@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from holdfast.plans import behaviour, churn, cleaning, cohorts, customer_view, customers, quality, revenue, value_at_risk
+from holdfast.plans import (
+    association, behaviour, churn, cleaning, cohorts, customer_view, customers, exploration, features, quality, revenue, rfm,
+    value_at_risk,
+)
 from holdfast.plans.cleaning import audit_of
 from holdfast.sources.tables import Tables
 
@@ -60,6 +63,41 @@ BUSINESS: dict[str, Plan] = {
     "q45_risk_revenue_by_region": value_at_risk.risk_revenue_by_region,
     "q46_risk_revenue_by_channel": value_at_risk.risk_revenue_by_channel,
     "q47_retention_worklist": value_at_risk.retention_worklist,
+    "e01_age_histogram": exploration.age_histogram,
+    "e02_customer_growth": exploration.customer_growth,
+    "e03_monthly_revenue_filled": exploration.monthly_revenue_filled,
+    "e04_plan_counts": exploration.plan_counts,
+    "e05_channel_counts": exploration.channel_counts,
+    "e06_churn_by_channel_cust": exploration.churn_by_channel,
+    "e07_churn_by_plan_cust": exploration.churn_by_plan,
+    "e08_churn_by_billing_cust": exploration.churn_by_billing,
+    "e09_monthly_cancellations": exploration.monthly_cancellations,
+    "e10_sessions_density": exploration.sessions_density,
+    "e11_churn_by_ticket_band": exploration.churn_by_ticket_band,
+    "e12_churn_by_sat_band": exploration.churn_by_sat_band,
+    "e13_tenure_at_churn": exploration.tenure_at_churn,
+    "e14_revenue_by_region": exploration.revenue_by_region,
+    "e15_churn_by_discount_band": exploration.churn_by_discount_band,
+    "e16_feature_usage_box": exploration.feature_usage_box,
+    "e17_churn_by_age_band": exploration.churn_by_age_band,
+    "e18_headline": exploration.headline,
+    "r01_rfm_base": rfm.rfm_base_report,
+    "r02_rfm_scores": rfm.rfm_scores,
+    "r03_rfm_segments": rfm.rfm_segments,
+    "r04_segment_summary": rfm.segment_summary,
+    "s00_stat_base": association.stat_base,
+    "s01_welch_t": association.welch_report,
+    "s02_chi_square": association.chi_square_report,
+    "s03_point_biserial": association.point_biserial_report,
+    "s04_test_report": association.association_report,
+    "f01_observation_window": features.observation_window,
+    "f02_tenure": features.tenure_report,
+    "f03_engagement": features.engagement_report,
+    "f04_engagement_trend": features.trend_report,
+    "f05_support": features.support_report,
+    "f06_revenue": features.revenue_report,
+    "f07_feature_table": features.features,
+    "f08_feature_profile": features.feature_profile,
     "v01_customer_360": customer_view.customer_360,
     "c01_cohort_long": cohorts.cohort_long,
     "c02_cohort_matrix": cohorts.cohort_matrix,

@@ -9,57 +9,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from holdfast.operators.ranking import _partitions
-from holdfast.operators.stable import stable
+from holdfast.operators.running import running_totals
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: str | None = None) -> DataFrame:
     """One row (per ``by`` value) with columns q0, q1, ...; NULL values are ignored.
 
-    Equal values are counted map-side first. The distinct values are range-partitioned; running counts
-    inside a range plus the totals of the earlier ranges place every value in the global order.
+    Equal values are counted map-side first; running counts over the distinct values then place each
+    of them in the sorted order.
     """
     group = F.col(by) if by else F.lit(0)
     counts = (
-        df.where(F.col(value).isNotNull()).groupBy(group.alias("_g"), F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
-    ranged = stable(
-        counts.repartitionByRange(_partitions(df), "_g", "_v").withColumn("_part", F.spark_partition_id())
-    )
-    # one row per group and range partition
-    blocks = ranged.groupBy("_g", "_part").agg(F.sum("_n").alias("_block"))
-    earlier = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "_g", "_part",
-        F.coalesce(F.sum("_block").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_block").over(Window.partitionBy("_g")).alias("_total"),
-    )
-    inside = Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        ranged.withColumn("_run", F.sum("_n").over(inside))
-        .join(offsets, ["_g", "_part"])
-        .withColumn("_upto", F.col("_offset") + F.col("_run"))
+        df.where(F.col(value).isNotNull()).groupBy(group.alias("g"), F.col(value).alias("v"))
+        .agg(F.count("*").alias("n"))
     )
+    placed = running_totals(counts, "g", "v", ["n"])
 
     def at(index: Column) -> Column:
         # smallest value whose cumulative count passes the 0-based index
-        return F.min(F.when(F.col("_upto") > index, F.col("_v").cast("double")))
+        return F.min(F.when(F.col("cum_n") > index, F.col("v").cast("double")))
 
+    spots = [F.lit(float(p)) * (F.col("all_n") - 1) for p in probs]
     aggs = []
-    for i, p in enumerate(probs):
-        low = F.floor(F.lit(float(p)) * (F.col("_total") - 1))
-        aggs += [at(low).alias(f"_lo{i}"), at(low + 1).alias(f"_hi{i}")]
-    ends = placed.groupBy("_g").agg(F.first("_total").alias("_total"), *aggs)
+    for i, spot in enumerate(spots):
+        aggs += [at(F.floor(spot)).alias(f"lo{i}"), at(F.floor(spot) + 1).alias(f"hi{i}")]
+    ends = placed.groupBy("g").agg(F.max("all_n").alias("all_n"), *aggs)
     results = []
-    for i, p in enumerate(probs):
-        spot = F.lit(float(p)) * (F.col("_total") - 1)
-        weight = spot - F.floor(spot)
-        high = F.coalesce(F.col(f"_hi{i}"), F.col(f"_lo{i}"))
-        results.append((F.col(f"_lo{i}") + (high - F.col(f"_lo{i}")) * weight).alias(f"q{i}"))
-    return ends.select(*([F.col("_g").alias(by)] if by else []), *results)
+    for i, spot in enumerate(spots):
+        low, high = F.col(f"lo{i}"), F.coalesce(f"hi{i}", f"lo{i}")
+        results.append((low + (high - low) * (spot - F.floor(spot))).alias(f"q{i}"))
+    return ends.select(*([F.col("g").alias(by)] if by else []), *results)
 
 
 def exact_median(df: DataFrame, value: str) -> Column:

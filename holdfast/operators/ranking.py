@@ -15,7 +15,7 @@ from holdfast.operators.stable import stable
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row position below
 
 
-def _partitions(df: DataFrame) -> int:
+def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -24,7 +24,7 @@ def global_rank(df: DataFrame, order: list[Column | str], rank: str = "rank", to
 
     Keep ``df`` narrow: its columns are range-shuffled and written to the checkpoint folder once.
     """
-    n = _partitions(df)
+    n = shuffle_partitions(df)
     ordered = stable(
         df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id())
     )

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_queries() -> dict[str, str]:
-    from oracle import business, cleaning
+    from oracle import analysis, business, cleaning
 
     merged: dict[str, str] = {}
-    for module in (business, cleaning):
+    for module in (business, cleaning, analysis):
         merged.update(module.QUERIES)
     return merged
