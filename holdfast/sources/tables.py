@@ -21,9 +21,16 @@ class Tables:
     opens only the tables it touches.
     """
 
-    def __init__(self, sources: Mapping[str, DataFrame | Callable[[], DataFrame]], as_of: dt.date = DEFAULT_AS_OF):
+    def __init__(
+        self,
+        sources: Mapping[str, DataFrame | Callable[[], DataFrame]],
+        as_of: dt.date = DEFAULT_AS_OF,
+        name: str | None = None,
+    ):
         self._sources = dict(sources)
         self.as_of = as_of
+        # identifies an unchanging data set, so that a model fitted on it can be reused
+        self.name = name
 
     def __getitem__(self, name: str) -> DataFrame:
         source = self._sources[name]
@@ -79,7 +86,7 @@ def read_tables(spark: SparkSession, folder: str, fmt: str = "csv", as_of: dt.da
             return lambda: reader.csv(f"{folder}/{name}.csv", header=True)
         return lambda: spark.read.schema(SCHEMAS[name]).format(fmt).load(f"{folder}/{name}")
 
-    return Tables({name: opener(name) for name in SCHEMAS}, as_of)
+    return Tables({name: opener(name) for name in SCHEMAS}, as_of, folder)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:

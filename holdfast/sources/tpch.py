@@ -188,7 +188,7 @@ TABLE_NAMES = [
 
 def clean_tables(spark: SparkSession, sf_dir: str) -> Tables:
     mapping = _Mapping(spark, sf_dir)
-    return Tables({name: getattr(mapping, name) for name in TABLE_NAMES}, AS_OF)
+    return Tables({name: getattr(mapping, name) for name in TABLE_NAMES}, AS_OF, sf_dir)
 
 
 # ---- deterministic defects ------------------------------------------------------------------------------------------
