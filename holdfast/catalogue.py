@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from holdfast.plans import (
-    association, behaviour, churn, cleaning, cohorts, customer_view, customers, exploration, features, quality, revenue, rfm,
-    value_at_risk,
+    association, behaviour, churn, churn_model, cleaning, cohorts, customer_view, customers, dashboards, exploration, features,
+    kpi, quality, revenue, rfm, value_at_risk,
 )
 from holdfast.plans.cleaning import audit_of
 from holdfast.sources.tables import Tables
@@ -98,6 +98,72 @@ BUSINESS: dict[str, Plan] = {
     "f06_revenue": features.revenue_report,
     "f07_feature_table": features.features,
     "f08_feature_profile": features.feature_profile,
+    "m01_split": churn_model.split_report,
+    "m02_preprocess": churn_model.preprocess_report,
+    "m03_class_weight": churn_model.class_weight_report,
+    "m04_logistic": churn_model.logistic_report,
+    "m05_random_forest": churn_model.forest_report,
+    "m06_metrics": churn_model.metrics_report,
+    "m07_confusion": churn_model.confusion_report,
+    "m07_class_report": churn_model.class_report_table,
+    "m08_roc_curve": churn_model.roc_report,
+    "m09_feature_importance": churn_model.importance_report,
+    "m09_top_features": churn_model.top_importance_report,
+    "m10_select_best": churn_model.best_model_report,
+    "m11_score_customers": churn_model.scores_report,
+    "m12_risk_distribution": churn_model.risk_distribution,
+    "m13_revenue_at_risk": churn_model.revenue_at_risk_report,
+    "m13_revenue_at_risk_total": churn_model.revenue_at_risk_total,
+    "m14_retention_priority": churn_model.priority_report,
+    "m15_priority_worklist": churn_model.worklist_report,
+    "m15_worklist_top10": churn_model.worklist_top,
+    "m16_run_summary": churn_model.run_summary,
+    "k01_total_customers": kpi.measure("total_customers"),
+    "k02_active_customers": kpi.measure("active_customers"),
+    "k03_churned_customers": kpi.measure("churned_customers"),
+    "k04_new_customers": kpi.measure("new_customers", "month"),
+    "k05_churn_rate": kpi.measure("churn_rate"),
+    "k05_churn_rate_by_region": kpi.measure("churn_rate", "region"),
+    "k06_retention_rate": kpi.measure("retention_rate"),
+    "k07_customer_growth": kpi.customer_growth,
+    "k08_avg_tenure": kpi.measure("avg_tenure_days"),
+    "k09_total_revenue": kpi.measure("total_revenue"),
+    "k09_total_revenue_by_plan_region": kpi.measure("total_revenue", "plan_name", "region"),
+    "k10_monthly_revenue": kpi.monthly_revenue,
+    "k11_mrr": kpi.measure("mrr"),
+    "k11_mrr_by_plan": kpi.measure("mrr", "plan_name"),
+    "k12_revenue_growth": kpi.revenue_growth,
+    "k13_arpu": kpi.measure("arpu"),
+    "k13_arpu_by_segment": kpi.measure("arpu", "segment"),
+    "k14_revenue_lost": kpi.measure("revenue_lost"),
+    "k15_revenue_at_risk": kpi.measure("revenue_at_risk"),
+    "k16_clv": kpi.measure("clv"),
+    "k17_avg_sessions": kpi.measure("avg_sessions"),
+    "k18_avg_duration": kpi.measure("avg_session_duration"),
+    "k19_feature_usage": kpi.measure("feature_usage"),
+    "k20_support_tickets": kpi.measure("support_tickets"),
+    "k21_avg_satisfaction": kpi.measure("avg_satisfaction"),
+    "k21_avg_satisfaction_by_channel": kpi.measure("avg_satisfaction", "acquisition_channel"),
+    "k22_high_risk_customers": kpi.measure("high_risk_customers"),
+    "k23_high_value_at_risk": kpi.measure("high_value_at_risk"),
+    "k24_avg_churn_probability": kpi.measure("avg_churn_probability"),
+    "k25_dynamic_risk_level": kpi.dynamic_risk_level,
+    "k25_risk_level_sweep": kpi.risk_level_sweep,
+    "k26_date_dimension": kpi.date_dimension,
+    "k27_headline_snapshot": kpi.headline_snapshot,
+    "k27_headline_json": kpi.headline_json,
+    "d01_cumulative_customers": dashboards.cumulative_customers,
+    "d02_churn_combo": dashboards.churn_combo,
+    "d03_retention_trend": dashboards.retention_trend,
+    "d04_mrr_trend": dashboards.mrr_trend,
+    "d05_revenue_lost_trend": dashboards.revenue_lost_trend,
+    "d06_risk_by_plan_region": dashboards.risk_by_plan_region,
+    "d07_segment_feed": dashboards.segment_feed,
+    "d07_tenure_histogram": dashboards.tenure_histogram,
+    "d08_churn_gaps": dashboards.churn_gaps,
+    "d08_top_finding": dashboards.top_finding,
+    "d09_worklist_filtered": dashboards.worklist_filtered,
+    "dq13_derived_grain": dashboards.derived_grain,
     "v01_customer_360": customer_view.customer_360,
     "c01_cohort_long": cohorts.cohort_long,
     "c02_cohort_matrix": cohorts.cohort_matrix,

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_queries() -> dict[str, str]:
-    from oracle import analysis, business, cleaning
+    from oracle import analysis, business, cleaning, measures
 
     merged: dict[str, str] = {}
-    for module in (business, cleaning, analysis):
+    for module in (business, cleaning, analysis, measures):
         merged.update(module.QUERIES)
     return merged
