@@ -15,23 +15,19 @@ from holdfast.operators.stable import stable
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row position below
 
 
-def shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def global_rank(df: DataFrame, order: list[Column | str], rank: str = "rank", total: str = "total") -> DataFrame:
     """Add the 1-based position in ``order`` (which must be unique) and the row count.
 
     Keep ``df`` narrow: its columns are range-shuffled and written to the checkpoint folder once.
     """
-    n = shuffle_partitions(df)
+    # no fixed count: adaptive execution merges small neighbouring ranges, which keeps their order
     ordered = stable(
-        df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id())
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id())
     )
     part = F.shiftright("_pos", _ROW_BITS)
     row = F.col("_pos").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
-    # one row per range partition: the window and the broadcast are bounded by the partition count
+    # one row per range partition, so the window and the broadcast are bounded by spark.sql.shuffle.partitions
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "_part",

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from holdfast.operators.ranking import shuffle_partitions
 from holdfast.operators.stable import stable
 
 
@@ -19,7 +18,7 @@ def running_totals(df: DataFrame, group: str, value: str, measures: Sequence[str
     order = [F.col(group).asc(), F.col(value).desc() if descending else F.col(value).asc()]
     ranged = stable(
         df.select(group, value, *measures)
-        .repartitionByRange(shuffle_partitions(df), *order).withColumn("_part", F.spark_partition_id())
+        .repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     )
     # one row per group and range partition
     blocks = ranged.groupBy(group, "_part").agg(*[F.sum(m).alias(f"_b_{m}") for m in measures])

@@ -49,6 +49,11 @@ def with_split(df: DataFrame, test_share: float = TEST_SHARE, seed: int = SEED)
     return df.join(marked, "customer_id")
 
 
+def split_features(t: Tables) -> DataFrame:
+    """The feature table with its split. Ranking, counting and joining all read it, so it is written once."""
+    return with_split(stable(features(t)))
+
+
 def with_class_weight(train: DataFrame) -> DataFrame:
     """n / (2 n_c), so both labels weigh the same in total."""
     sizes = train.agg(F.struct(F.count("*").alias("n"), F.sum("churn").alias("n1"))).scalar()
@@ -87,7 +92,7 @@ class Fitted:
 
     def __init__(self, t: Tables, trees: int = TREES):
         # training makes many passes, so the table is written once
-        self.table = stable(with_split(features(t)))
+        self.table = stable(split_features(t))
         train = stable(with_class_weight(self.table.where(F.col("split") == "train")))
         prepare = Pipeline(stages=preprocessing()).fit(train)
         ready = prepare.transform(train).select("features", "churn", "weight").persist()
@@ -240,12 +245,12 @@ def worklist(scored: DataFrame) -> DataFrame:
 
 
 def split_report(t: Tables) -> DataFrame:
-    return with_split(features(t)).select("customer_id", "churn", "split")
+    return split_features(t).select("customer_id", "churn", "split")
 
 
 def preprocess_report(t: Tables) -> DataFrame:
     """Mean and deviation each numeric input is standardised with, over the training rows."""
-    train = with_split(features(t)).where(F.col("split") == "train")
+    train = split_features(t).where(F.col("split") == "train")
     stats = train.agg(*[
         F.struct(F.lit(c).alias("feature"), dec_round(F.avg(c), 4).alias("mean"), dec_round(F.stddev_samp(c), 4).alias("deviation"))
         .alias(c) for c in NUMERIC
@@ -254,7 +259,7 @@ def preprocess_report(t: Tables) -> DataFrame:
 
 
 def class_weight_report(t: Tables) -> DataFrame:
-    train = with_class_weight(with_split(features(t)).where(F.col("split") == "train"))
+    train = with_class_weight(split_features(t).where(F.col("split") == "train"))
     return train.groupBy("churn").agg(F.count("*").alias("n"), dec_round(F.max("weight"), 6).alias("weight"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from holdfast.functions.bands import bands_right
 from holdfast.functions.business import CANCELLED, is_cancelled, recognised
 from holdfast.functions.scalars import pct
+from holdfast.operators.audit import join_small
 from holdfast.operators.customer_grain import engagement_by_customer, latest_subscription, support_by_customer
 from holdfast.operators.histogram import histogram
 from holdfast.operators.quantiles import exact_quantiles
@@ -140,11 +141,11 @@ def feature_usage_box(t: Tables) -> DataFrame:
     box = exact_quantiles(merged, "avg_feature_usage", [0.25, 0.5, 0.75], by="subscription_status").select(
         "subscription_status", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
-    # two statuses by domain; the box side is three numbers per status
+    # three numbers per status
     x, spread = F.col("avg_feature_usage"), (F.col("q3") - F.col("q1")) * WHISKER
     inside = (x >= F.col("q1") - spread) & (x <= F.col("q3") + spread)
     return (
-        merged.join(F.broadcast(box), "subscription_status")
+        join_small(merged, box, "subscription_status")
         .groupBy("subscription_status", "q1", "median", "q3")
         .agg(F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"))
     )

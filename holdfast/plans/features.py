@@ -29,25 +29,29 @@ FEATURE_COLUMNS = [
 ]
 
 
-def observation_window(t: Tables) -> DataFrame:
-    """First-subscription attributes, churn label of the latest one, and the observation date, in one aggregation."""
+def subscription_ends(t: Tables) -> DataFrame:
+    """Per customer: attributes of the first subscription, label and observation date by the latest, in one aggregation."""
     order = subscription_order()
     first = F.struct("plan_id", "billing_cycle", "monthly_price", "discount_percentage", "start_date")
     latest = F.struct("subscription_status", "cancellation_date")
-    spans = (
+    as_of = F.when(F.col("subscription_status") == CANCELLED, F.col("cancellation_date")).otherwise(F.lit(t.as_of))
+    return (
         t.subscriptions.groupBy("customer_id")
         .agg(F.min_by(first, order).alias("first"), F.max_by(latest, order).alias("latest"))
-        .select("customer_id", "first.*", "latest.*")
+        .select("customer_id", "first.*", "latest.*").withColumn("as_of_date", as_of)
     )
-    as_of = F.when(F.col("subscription_status") == CANCELLED, F.col("cancellation_date")).otherwise(F.lit(t.as_of))
+
+
+def observation_window(t: Tables) -> DataFrame:
+    """Customers that subscribed, with the attributes and dates their features are computed from."""
     plans = t.plans.select("plan_id", "plan_name", "plan_type", "premium_support")
     return (
         t.customers.select("customer_id", "age", "acquisition_channel")
-        .join(spans, "customer_id").join(plans, "plan_id", "left")
+        .join(subscription_ends(t), "customer_id").join(plans, "plan_id", "left")
         .select(
             "customer_id", "age", "acquisition_channel", "plan_id", "plan_name", "plan_type", "premium_support",
             "billing_cycle", F.col("monthly_price").cast("double").alias("monthly_price"), "discount_percentage",
-            "start_date", as_of.alias("as_of_date"), is_cancelled().alias("churn"),
+            "start_date", "as_of_date", is_cancelled().alias("churn"),
         )
     )
 
@@ -59,11 +63,10 @@ def with_tenure(window: DataFrame) -> DataFrame:
     )
 
 
-def _observed(daily: DataFrame, window: DataFrame, day: str) -> DataFrame:
+def _observed(daily: DataFrame, ends: DataFrame, day: str) -> DataFrame:
     """Daily facts up to the customer's observation date, with their age in days."""
-    dates = window.select("customer_id", "as_of_date")
     return (
-        daily.join(dates, "customer_id").where(F.col(day) <= F.col("as_of_date"))
+        daily.join(ends.select("customer_id", "as_of_date"), "customer_id").where(F.col(day) <= F.col("as_of_date"))
         .withColumn("days_before", F.datediff("as_of_date", day))
     )
 
@@ -73,7 +76,7 @@ def _mean(total: str, count: str, when: Column | None = None) -> Column:
     return ratio(pick(total), pick(count))
 
 
-def engagement(t: Tables, window: DataFrame, trend_days: int = TREND_DAYS) -> DataFrame:
+def engagement(t: Tables, ends: DataFrame, trend_days: int = TREND_DAYS) -> DataFrame:
     """Means, record count, last date and recent-to-prior ratio of sessions from one pass."""
     measures = {"sessions": "sessions", "minutes": "session_minutes", "features": "feature_usage_count"}
     daily = t.activity.groupBy("customer_id", "activity_date").agg(
@@ -84,7 +87,7 @@ def engagement(t: Tables, window: DataFrame, trend_days: int = TREND_DAYS) -> Da
     age = F.col("days_before")
     recent, prior = age <= trend_days, (age > trend_days) & (age <= 2 * trend_days)
     trend = ratio(_mean("sessions_sum", "sessions_n", recent), _mean("sessions_sum", "sessions_n", prior))
-    return _observed(daily, window, "activity_date").groupBy("customer_id").agg(
+    return _observed(daily, ends, "activity_date").groupBy("customer_id").agg(
         _mean("sessions_sum", "sessions_n").alias("avg_sessions"),
         _mean("minutes_sum", "minutes_n").alias("avg_session_minutes"),
         _mean("features_sum", "features_n").alias("avg_feature_usage"),
@@ -94,14 +97,14 @@ def engagement(t: Tables, window: DataFrame, trend_days: int = TREND_DAYS) -> Da
     )
 
 
-def support(t: Tables, window: DataFrame) -> DataFrame:
+def support(t: Tables, ends: DataFrame) -> DataFrame:
     daily = t.tickets.groupBy("customer_id", "ticket_date").agg(
         F.count("ticket_id").alias("tickets"),
         F.sum("satisfaction_score").alias("sat_sum"), F.count("satisfaction_score").alias("sat_n"),
         F.sum("resolution_time_hours").alias("res_sum"), F.count("resolution_time_hours").alias("res_n"),
         F.count_if(F.col("ticket_status") == UNRESOLVED).alias("unresolved"),
     )
-    return _observed(daily, window, "ticket_date").groupBy("customer_id").agg(
+    return _observed(daily, ends, "ticket_date").groupBy("customer_id").agg(
         F.sum("tickets").alias("total_tickets"),
         _mean("sat_sum", "sat_n").alias("avg_satisfaction"),
         _mean("res_sum", "res_n").alias("avg_resolution_time"),
@@ -109,11 +112,11 @@ def support(t: Tables, window: DataFrame) -> DataFrame:
     )
 
 
-def revenue(t: Tables, window: DataFrame) -> DataFrame:
+def revenue(t: Tables, ends: DataFrame) -> DataFrame:
     daily = t.transactions.where(recognised()).groupBy("customer_id", "transaction_date").agg(
         F.sum("amount").alias("paid"), F.count("amount").alias("charges")
     )
-    return _observed(daily, window, "transaction_date").groupBy("customer_id").agg(
+    return _observed(daily, ends, "transaction_date").groupBy("customer_id").agg(
         F.sum("paid").cast("double").alias("total_revenue"),
         F.sum("charges").alias("total_transactions"),
         F.min("days_before").alias("recency_days"),
@@ -122,13 +125,14 @@ def revenue(t: Tables, window: DataFrame) -> DataFrame:
 
 def features(t: Tables) -> DataFrame:
     """The 22-column feature table with its defaults for customers without facts."""
-    window = with_tenure(observation_window(t))
+    # every fact is cut at the same dates; the exchange that computes them is reused
+    window, ends = with_tenure(observation_window(t)), subscription_ends(t)
     # the satisfaction default is the median over customers, so the support part is written once and read twice
-    cases = stable(support(t, window))
+    cases = stable(support(t, ends))
     zero = F.lit(0)
     joined = (
-        window.join(engagement(t, window), "customer_id", "left").join(cases, "customer_id", "left")
-        .join(revenue(t, window), "customer_id", "left")
+        window.join(engagement(t, ends), "customer_id", "left").join(cases, "customer_id", "left")
+        .join(revenue(t, ends), "customer_id", "left")
     )
     ratio_ = F.greatest(F.least(F.coalesce("trend", F.lit(NEUTRAL_TREND)), F.lit(TREND_MAX)), F.lit(0.0))
     return joined.withColumns({

@@ -201,7 +201,9 @@ def _part_frame(
         if not day:
             raise ValueError(f"{base} has no date")
         rows = rows.withColumn(MONTH, month_start(day))
-    keys = ["customer_id", *link, *([MONTH] if MONTH in by else [])]
+    # the customer is kept only where an attribute hangs on it or customers are what is counted
+    per_customer = uses & {*CUSTOMER_ATTRIBUTES, SEGMENT} or any(p.kind == "customers" for p in parts.values())
+    keys = [*(["customer_id"] if per_customer else []), *link, *([MONTH] if MONTH in by else [])]
     reduced = rows.groupBy(*keys).agg(*[
         (F.sum(p.of(t)) if p.kind == "sum" else F.max(F.when(p.of(t), 1))).alias(name) for name, p in parts.items()
     ])
@@ -235,8 +237,10 @@ def kpi(
         )
         for base in bases
     ]
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    totals = merged.groupBy(*by).agg(*[F.sum(n).alias(n) for n in measure.parts])
+    totals = frames[0]
+    if len(frames) > 1:
+        merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+        totals = merged.groupBy(*by).agg(*[F.sum(n).alias(n) for n in measure.parts])
     return totals.select(*by, measure.value().alias(name))
 
 
