@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable, Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from holdfast.sources.schema import SCHEMAS
 
@@ -77,18 +77,39 @@ class Tables:
         return self["customer_campaign_interactions"]
 
 
-def read_tables(spark: SparkSession, folder: str, fmt: str = "csv", as_of: dt.date = DEFAULT_AS_OF) -> Tables:
-    """Open ``folder/<table>`` (parquet) or ``folder/<table>.csv`` with the declared schema, never inferring types."""
+def read_tables(
+    spark: SparkSession, folder: str, fmt: str = "csv", as_of: dt.date = DEFAULT_AS_OF, ingest_order: bool = False
+) -> Tables:
+    """Open ``folder/<table>`` (parquet) or ``folder/<table>.csv`` with the declared schema, never inferring types.
+
+    ``ingest_order`` adds the position in the files as ``ingest_ord`` to customers and transactions, so that
+    "keep the first occurrence" means what it means for a file.
+    """
 
     def opener(name: str) -> Callable[[], DataFrame]:
+        reader = spark.read.schema(SCHEMAS[name])
         if fmt == "csv":
-            reader = spark.read.schema(SCHEMAS[name]).option("dateFormat", "yyyy-MM-dd")
-            return lambda: reader.csv(f"{folder}/{name}.csv", header=True)
-        return lambda: spark.read.schema(SCHEMAS[name]).format(fmt).load(f"{folder}/{name}")
+            reader = reader.option("header", True).option("dateFormat", "yyyy-MM-dd")
+        path = f"{folder}/{name}.csv" if fmt == "csv" else f"{folder}/{name}"
+
+        def load() -> DataFrame:
+            df = reader.format(fmt).load(path)
+            return with_ingest_order(df) if ingest_order and name in ("customers", "transactions") else df
+
+        return load
 
     return Tables({name: opener(name) for name in SCHEMAS}, as_of, folder)
 
 
+def with_ingest_order(df: DataFrame) -> DataFrame:
+    """Add the file, the offset of the split and the row position inside it, which sort in file order."""
+    position = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return df.select(position.alias("ingest_ord"), *df.columns)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """Overwrite ``path``; every task writes its own part file."""
     writer = df.write.mode("overwrite").format(fmt)

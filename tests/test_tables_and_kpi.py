@@ -27,6 +27,18 @@ def test_round_trip(spark, sf_dir, tmp_path, fmt):
         assert back[name].count() == t[name].count()
 
 
+def test_first_occurrence_follows_the_file(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    head = ",".join(SCHEMAS["customers"].names)
+    lines = [f"{i % 50},2000-01-01,Male,{20 + i // 50},France,EUROPE,Direct,Other" for i in range(100)]
+    (folder / "customers.csv").write_text("\n".join([head, *lines]) + "\n")
+    t = read_tables(spark, str(folder), "csv", ingest_order=True)
+    ages = cleaning.keep_first(t.customers, ["customer_id"], ["ingest_ord"]).select("age").distinct().collect()
+    assert [r["age"] for r in ages] == [20]
+    assert cleaning.clean_customers(t).table().count() == 50
+
+
 def test_json_sink(spark, tmp_path):
     write_table(spark.range(1).select(F.struct(F.lit(1).alias("x")).alias("s")), f"{tmp_path}/out", "json")
     text = spark.read.text(f"{tmp_path}/out").first()[0]
