@@ -64,7 +64,21 @@ def ntile_exact(df: DataFrame, value: str, key: str, k: int, name: str, descendi
     return ranked.select(key, value, ntile_of(F.col("rank"), F.col("total"), k).alias(name))
 
 
-def qcut_exact(df: DataFrame, value: str, key: str, k: int, name: str) -> DataFrame:
-    """(key, name): quantile bucket of first-come ranks ordered by value, ties by key."""
+def qcut_label(df: DataFrame, value: str, key: str, k: int) -> Column:
+    """Quantile bucket of first-come ranks (order by value, ties by key) as an expression over rows of ``df``.
+
+    Only the last row of each bucket, at most k - 1 rows, comes back from the ranking. Rows are labelled by comparing
+    them with those, so they are neither moved nor joined.
+    """
     ranked = global_rank(df.select(key, value), [F.col(value).asc(), F.col(key).asc()])
-    return ranked.select(key, qcut_of(F.col("rank"), F.col("total"), k).alias(name))
+    bucket, following = qcut_of(F.col("rank"), F.col("total"), k), qcut_of(F.col("rank") + 1, F.col("total"), k)
+    # a handful of boundaries, like the splits a quantile discretiser is fitted to
+    ends = (
+        ranked.where((F.col("rank") < F.col("total")) & (bucket < following))
+        .select(value, key, following.alias("following")).collect()
+    )
+    label = F.lit(1)
+    for end in sorted(ends, key=lambda end: end["following"]):
+        after = (F.col(value) > F.lit(end[value])) | ((F.col(value) == F.lit(end[value])) & (F.col(key) > F.lit(end[key])))
+        label = F.when(after, F.lit(end["following"])).otherwise(label)
+    return label

@@ -50,8 +50,8 @@ def with_split(df: DataFrame, test_share: float = TEST_SHARE, seed: int = SEED)
 
 
 def split_features(t: Tables) -> DataFrame:
-    """The feature table with its split. Ranking, counting and joining all read it, so it is written once."""
-    return with_split(stable(features(t)))
+    """The feature table with its split; every later step reads it several times, so both stages are written once."""
+    return stable(with_split(stable(features(t))))
 
 
 def with_class_weight(train: DataFrame) -> DataFrame:
@@ -91,8 +91,8 @@ class Fitted:
     """Feature table with its split, the fitted models and their predictions on the test rows."""
 
     def __init__(self, t: Tables, trees: int = TREES):
-        # training makes many passes, so the table is written once
-        self.table = stable(split_features(t))
+        self.table = split_features(t)
+        # training makes many passes over its rows
         train = stable(with_class_weight(self.table.where(F.col("split") == "train")))
         prepare = Pipeline(stages=preprocessing()).fit(train)
         ready = prepare.transform(train).select("features", "churn", "weight").persist()

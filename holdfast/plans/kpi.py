@@ -22,6 +22,7 @@ from holdfast.functions.business import (
     CANCELLED, HIGH_RISK, MEDIUM_RISK, PRIORITY_LABELS, annualised, is_active, is_cancelled, recognised, risk_tier,
 )
 from holdfast.functions.scalars import dec_round, month_start, pct, ratio, safe_divide
+from holdfast.operators.stable import stable
 from holdfast.operators.timeline import by_month, fill_months, running
 from holdfast.sources.tables import Tables
 
@@ -171,7 +172,7 @@ def _link(base: str, wanted: set[str]) -> list[str]:
     raise ValueError(f"{base} has no relationship to {sorted(wanted & {*PLAN_ATTRIBUTES, BILLING})}")
 
 
-def _attach(t: Tables, base: str, df: DataFrame, link: list[str], wanted: set[str]) -> DataFrame:
+def _attach(t: Tables, df: DataFrame, link: list[str], wanted: set[str], segments: DataFrame | None) -> DataFrame:
     if link == ["subscription_id"]:
         df = df.join(t.subscriptions.select("subscription_id", "plan_id", BILLING), "subscription_id")
     plan_columns = [c for c in PLAN_ATTRIBUTES if c in wanted and c not in df.columns]
@@ -180,16 +181,19 @@ def _attach(t: Tables, base: str, df: DataFrame, link: list[str], wanted: set[st
     person = [c for c in CUSTOMER_ATTRIBUTES if c in wanted]
     if person:
         df = df.join(t.customers.select("customer_id", *person), "customer_id")
-    if SEGMENT in wanted:
-        from holdfast.plans.rfm import rfm
+    return df if segments is None else df.join(segments, "customer_id")
 
-        df = df.join(rfm(t).select("customer_id", SEGMENT), "customer_id")
-    return df
+
+def _segments(t: Tables) -> DataFrame:
+    """Segment per customer, written once for all facts of a measure."""
+    from holdfast.plans.rfm import rfm
+
+    return stable(rfm(t).select("customer_id", SEGMENT))
 
 
 def _part_frame(
     t: Tables, base: str, parts: dict[str, Part], by: Sequence[str], uses: set[str], where: Column | None,
-    start: dt.date | None, end: dt.date | None,
+    start: dt.date | None, end: dt.date | None, segments: DataFrame | None,
 ) -> DataFrame:
     rows, day = _base(t, base)
     if day and start:
@@ -207,7 +211,7 @@ def _part_frame(
     reduced = rows.groupBy(*keys).agg(*[
         (F.sum(p.of(t)) if p.kind == "sum" else F.max(F.when(p.of(t), 1))).alias(name) for name, p in parts.items()
     ])
-    joined = _attach(t, base, reduced, link, uses)
+    joined = _attach(t, reduced, link, uses, segments)
     missing = [c for c in uses - {MONTH} if c not in joined.columns]
     if missing and base != "customers":
         raise ValueError(f"{base} has no relationship to {missing}")
@@ -231,9 +235,10 @@ def kpi(
     measure = MEASURES[name]
     uses = {*by, *where_uses}
     bases = dict.fromkeys(p.base for p in measure.parts.values())
+    segments = _segments(t) if SEGMENT in uses else None
     frames = [
         _part_frame(
-            t, base, {n: p for n, p in measure.parts.items() if p.base == base}, by, uses, where, start, end
+            t, base, {n: p for n, p in measure.parts.items() if p.base == base}, by, uses, where, start, end, segments,
         )
         for base in bases
     ]

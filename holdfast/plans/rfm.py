@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from holdfast.functions.business import CANCELLED, is_cancelled
 from holdfast.functions.scalars import pct
 from holdfast.operators.customer_grain import latest_subscription, revenue_by_customer
-from holdfast.operators.ranking import qcut_exact
+from holdfast.operators.ranking import qcut_label
 from holdfast.operators.rates import share_of_total
 from holdfast.operators.stable import stable
 from holdfast.sources.tables import Tables
@@ -49,9 +49,8 @@ def segment_expr(r: Column, f: Column, m: Column, status: Column) -> Column:
 def _scored(t: Tables) -> DataFrame:
     # three rankings read the base, so it is written once
     base = stable(rfm_base(t))
-    scores = base
-    for value, name in (("recency_days", "R"), ("frequency", "F"), ("monetary", "M")):
-        scores = scores.join(qcut_exact(base, value, "customer_id", CLASSES, f"{name}_score"), "customer_id")
+    measures = {"R_score": "recency_days", "F_score": "frequency", "M_score": "monetary"}
+    scores = base.withColumns({name: qcut_label(base, value, "customer_id", CLASSES) for name, value in measures.items()})
     return scores.withColumn("R_score", CLASSES + 1 - F.col("R_score"))
 
 

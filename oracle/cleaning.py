@@ -40,7 +40,8 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY ingest_ord) = 1""",
   CASE WHEN end_date < start_date THEN 'Active' ELSE subscription_status END AS subscription_status,
   CASE WHEN end_date < start_date THEN NULL ELSE end_date END AS end_date) FROM dated_subscriptions""",
     "one_txn": """SELECT * FROM raw_transactions QUALIFY ROW_NUMBER() OVER (
-  PARTITION BY customer_id, subscription_id, transaction_date, transaction_type, amount ORDER BY ingest_ord, transaction_id) = 1""",
+  PARTITION BY customer_id, subscription_id, transaction_date, transaction_type, amount
+  ORDER BY ingest_ord, transaction_id, discount_amount, payment_status NULLS FIRST) = 1""",
     "sub_txn": "SELECT * FROM one_txn WHERE subscription_id IN (SELECT subscription_id FROM raw_subscriptions)",
     "fixed_transactions": """SELECT * EXCLUDE (ingest_ord) REPLACE (
   CASE WHEN transaction_type = 'Subscription Charge' AND amount < 0 AND payment_status IS DISTINCT FROM 'Refunded'
