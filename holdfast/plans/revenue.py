@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from holdfast.functions.business import ACTIVE, CANCELLED, annualised, recognised
 from holdfast.functions.scalars import dec_round, month_label, pct, ratio
 from holdfast.operators.customer_grain import latest_subscription, revenue_by_customer, support_by_customer
-from holdfast.operators.rates import share_of_total
 from holdfast.sources.tables import Tables
 
 # Fixed values of the simple at-risk rule.

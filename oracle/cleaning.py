@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.base import AS_OF, CTES, rnd, share, sql
+from oracle.base import AS_OF, CTES, share, sql
 
 RAW_OF = {
     "customers": "raw_customers", "plans": "plans", "subscriptions": "raw_subscriptions",
