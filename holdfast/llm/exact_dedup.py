@@ -64,23 +64,19 @@ def winners(batch: DataFrame) -> DataFrame:
 class DigestIndex:
     """The persistent table of digests seen so far: digest, rank of its keeper, rows when it was appended."""
 
-    SCHEMA = "digest binary, rank decimal(38,0), group_size bigint"
-
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = 64):
         self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
 
     @classmethod
     def temporary(cls, spark: SparkSession, buckets: int = 64) -> DigestIndex:
-        """An empty index with a name of its own in the shared folder."""
+        """An index with a name of its own in the shared folder."""
         return cls(spark, f"digest_index_{uuid.uuid4().hex}", shared_path(spark, "digest-index"), buckets)
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
-
     def read(self) -> DataFrame:
-        if self.exists():
-            return self.spark.table(self.name)
-        return self.spark.createDataFrame([], self.SCHEMA)
+        self.spark.sql(f"""
+            CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, rank DECIMAL(38,0), group_size BIGINT) USING parquet
+            CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'""")
+        return self.spark.table(self.name)
 
     def unseen(self, won: DataFrame) -> DataFrame:
         """Of the winners of a batch, those whose digest the index does not hold yet."""
@@ -97,7 +93,7 @@ class DigestIndex:
         doc_id, keep_id, group_size, kept, digest. A digest of an earlier batch keeps its earlier keeper and size."""
         batch = written(digests(docs, doc_id, text), "digests")
         won = written(winners(batch), "winners")
-        fresh = written(self.unseen(won), "fresh") if self.exists() else won
+        fresh = written(self.unseen(won), "fresh")
         self.append(fresh)
         return marked(batch, won, fresh, self.read())
 

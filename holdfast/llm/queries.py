@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import exact_dedup, sharding, simhash
-from holdfast.llm.common import table
+from holdfast.llm import chat, exact_dedup, language, mixing, sharding, simhash, toxicity, url_filter
+from holdfast.llm.common import held_out, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,14 +26,96 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], turns.schema)
+    return chat.format_chat(turns.unionByName(more)).mapInArrow(
+        _read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def _read_back(batches):
+    """Digests of what the formatted conversations hold."""
+    for batch in batches:
+        rows = []
+        for x in batch.to_pylist():
+            turns = chat.read_turns(x["formatted"])
+            loss = chat.read_loss(x["formatted"], x["loss_starts"], x["loss_ends"])
+            whole = "".join(f"{role}\n{text}\n" for role, text in turns)
+            rows.append({
+                "conv_id": x["conv_id"], "n_turns": len(turns), "turns_sha256": hashlib.sha256(whole.encode()).hexdigest(),
+                "loss_chars": len(loss), "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(),
+                "formatted_chars": len(x["formatted"]),
+            })
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([
+            ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
+            ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), alpha=0.5)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "toxic_tokens", "span_starts", "span_ends")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rows = exact_dedup.DigestIndex.temporary(spark).ingest(documents)
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = language.identify(documents, language.learn(documents))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+FIRST_FETCH = "2024-01-01"
+
+
+def block_list(pages: DataFrame) -> DataFrame:
+    """A dated block list over the hosts, parent domains and top folders of the pages: about a quarter of them are listed
+    once, some of these are taken off later and some of those listed again. A digest of the entry decides the dates."""
+    name = url_filter.host(F.col("url"))
+    keys = pages.select(F.explode(F.array(
+        name, F.regexp_extract(name, r"^[^.]+\.([^.]+\..+)$", 1),
+        F.concat(name, F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^/?#]+/)", 1)),
+    )).alias("entry")).filter("entry <> ''").distinct()
+    h = keys.withColumn("h", F.conv(F.substring(F.md5("entry"), 1, 8), 16, 10).cast("long")).filter("h % 4 = 0")
+    start = F.floor(F.col("h") / 4) % 300
+    stay = 1 + F.floor(F.col("h") / 1200) % 90
+
+    def event(action: str, day: Column, when: Column) -> Column:
+        date = F.date_add(F.lit(FIRST_FETCH).cast("date"), day.cast("int"))
+        return F.when(when, F.struct(F.lit(action).alias("action"), date.alias("listed_at")))
+
+    always = F.lit(True)
+    events = h.select("entry", F.explode(F.array(
+        event("add", start, always), event("remove", start + stay, F.col("h") % 3 > 0),
+        event("add", start + stay + 14, F.col("h") % 3 > 1))).alias("e"))
+    return events.filter("e IS NOT NULL").select("entry", "e.action", "e.listed_at")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # the table has no fetch time: captures are spread over a year by their number
+    day = F.date_add(F.lit(FIRST_FETCH).cast("date"), (F.col("page_id") * 37 % 366).cast("int"))
+    return url_filter.judge(pages.withColumn("fetched_at", day), block_list(pages))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_simhash": op3_simhash,
+    "op4_chat": op4_chat,
+    "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_language": op9_language,
+    "op10_url_filter": op10_url_filter,
 }

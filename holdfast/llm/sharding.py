@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.common import packed, quoted, unpacked, written
 
-#: offsets of at most this many buckets (24 bytes each) are broadcast; beyond it the join is left to Spark
-BROADCAST_BUCKETS = 500_000
+#: offsets of at most this many buckets (about 100 MB) are broadcast; beyond it the join is left to Spark
+BROADCAST_BUCKETS = 4_000_000
 
 
 def permute(bucket: int, hashes: np.ndarray, seed: int) -> np.ndarray:
