@@ -1,10 +1,10 @@
 """Toxic spans by a linear-chain conditional random field, summed up to document scores.
 
 Tokens are runs of letters. The chain has two states, clean and toxic; a token's emission is the sum of the weights of its
-features (the lower-cased word, its prefixes, its last three letters), the transitions are four weights of their own.
-Forward-backward gives every token's probability of being toxic. A document's score is a logistic function of how many
-toxic tokens it is expected to hold, how many for its length, and its surest one; tokens of probability one half or more
-that follow each other are the reported spans.
+features (the lower-cased word and its prefixes), the transitions are weights of their own. Forward-backward gives every
+token's probability of being toxic. A document's score is a logistic function of how many toxic tokens it is expected to
+hold, how many for its length, and how sure it is that there is one; tokens of probability one half or more that follow
+each other are the reported spans.
 
 Learning reads a bounded sample of labelled documents outside the held-out fifth: at most ``SAMPLE_ROWS`` of each label, in
 the order of a hash of the id, of at most ``SAMPLE_CHARS`` code points. Labels are given for documents, so tokens are
@@ -30,86 +30,84 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.common import blocks, held_out, quoted
 
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 8_000
 TOKEN = re.compile(r"[^\W\d_]+")
-FEATURES = 1 << 18
-PREFIXES = range(2, 10)
-#: features of a token: word, prefixes, suffix
-WIDTH = 2 + len(PREFIXES)
-#: log odds and share of the toxic sample from which a feature marks toxic tokens
-LEXICON_ODDS, LEXICON_SHARE, LEXICON_DOCS = 1.5, 0.01, 3
+PREFIXES = range(3, 9)
+#: features of fewer sampled documents have no weight
+FEATURE_DOCS = 5
+#: log odds, log-likelihood ratio and share of the toxic sample from which a feature of so many letters marks toxic tokens
+LEXICON_ODDS, LEXICON_RATIO, LEXICON_SHARE, LEXICON_LETTERS = 1.5, 15.0, 0.01, 4
 LIMIT = 20.0
+RIDGE = 0.5
 #: distinct tokens whose emissions a task remembers
-REMEMBER = 400_000
+REMEMBER = 300_000
 SCHEMA = "doc_id long, score double, n_tokens long, toxic_tokens double, span_starts array<long>, span_ends array<long>"
 
 
 def token_features(token: str) -> list[str]:
-    """Names of a token's features; short tokens repeat their word instead of a longer prefix."""
+    """The token's prefixes, then its word with a mark that no prefix has."""
     word = token.lower()
-    return [f"w {word}", *(f"p {word[:k]}" if len(word) >= k else f"w {word}" for k in PREFIXES), f"s {word[-3:]}"]
-
-
-def feature_ids(token: str) -> np.ndarray:
-    return np.array([zlib.crc32(x.encode()) % FEATURES for x in token_features(token)])
+    return [*(word[:k] for k in PREFIXES if len(word) >= k), word + "$"]
 
 
 # --- the chain --------------------------------------------------------------------------------------------------------
 
 
 def steps(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Step matrices of a batch of sequences laid end to end: [t, from, to]. At the first token of a sequence both rows are
-    the same, which cuts it off from what comes before."""
-    # transition: rows from clean, from toxic, from nowhere
-    weight = np.zeros((len(emission), 2, 2))
-    weight[:, 0] = np.where(first[:, None], transition[2], transition[0])
-    weight[:, 1] = np.where(first[:, None], transition[2], transition[1])
-    weight[:, :, 1] += emission[:, None]
-    return np.exp(weight - weight.max(axis=(1, 2), keepdims=True))
+    """The four entries (from-to: 00, 01, 10, 11) of every token's step, for sequences laid end to end. Rows of
+    ``transition``: from clean, from toxic, from nowhere. At the first token of a sequence both states step alike, which
+    cuts it off from what comes before."""
+    t = np.exp(transition)
+    toxic = np.exp(emission)
+    return np.stack([np.where(first, t[2, 0], t[0, 0]), np.where(first, t[2, 1], t[0, 1]) * toxic,
+                     np.where(first, t[2, 0], t[1, 0]), np.where(first, t[2, 1], t[1, 1]) * toxic])
 
 
-def forward_backward(emission: np.ndarray, first: np.ndarray, transition: np.ndarray):
-    """Normalised forward and backward messages and the step matrices; sequences of any length.
+def forward_backward(step: np.ndarray):
+    """Probability of state toxic in the normalised forward and backward messages of every token.
 
     The batch is cut into lanes of equal length that are walked side by side: once for each lane's product of steps, then,
     from the messages that these give at the lanes' ends, once forward and once backward inside all lanes."""
-    n = len(emission)
+    n = step.shape[1]
     length = max(1, int(np.sqrt(n)))
     lanes = -(-n // length)
-    pad = lanes * length - n
-    m = steps(np.append(emission, np.zeros(pad)), np.append(first, np.ones(pad, bool)), transition)
-    m = m.reshape(lanes, length, 2, 2)
-    product = np.broadcast_to(np.eye(2), (lanes, 2, 2))
-    for t in range(length):
-        product = product @ m[:, t]
-        product = product / product.max(axis=(1, 2), keepdims=True)
-    ahead, behind = np.full((lanes, 2), 0.5), np.full((lanes, 2), 0.5)
+    padded = np.ones((4, lanes * length))
+    padded[:, :n] = step
+    # [entry, position in lane, lane]
+    m = np.ascontiguousarray(padded.reshape(4, lanes, length).transpose(0, 2, 1))
+    p00, p01, p10, p11 = np.ones(lanes), np.zeros(lanes), np.zeros(lanes), np.ones(lanes)
+    for a, b, c, d in zip(*m):
+        p00, p01, p10, p11 = p00 * a + p01 * c, p00 * b + p01 * d, p10 * a + p11 * c, p10 * b + p11 * d
+        scale = 1 / (p00 + p01 + p10 + p11)
+        p00, p01, p10, p11 = p00 * scale, p01 * scale, p10 * scale, p11 * scale
+    ahead, behind = np.full(lanes, 0.5), np.full(lanes, 0.5)
     for k in range(1, lanes):
-        a = ahead[k - 1] @ product[k - 1]
-        ahead[k] = a / a.sum()
+        r = ahead[k - 1]
+        x, y = (1 - r) * p00[k - 1] + r * p10[k - 1], (1 - r) * p01[k - 1] + r * p11[k - 1]
+        ahead[k] = y / (x + y)
     for k in range(lanes - 2, -1, -1):
-        b = product[k + 1] @ behind[k + 1]
-        behind[k] = b / b.sum()
-    alpha, beta = np.empty((lanes, length, 2)), np.empty((lanes, length, 2))
-    a, b = ahead, behind
-    for t in range(length):
-        a = a[:, :1] * m[:, t, 0] + a[:, 1:] * m[:, t, 1]
-        a = a / a.sum(axis=1, keepdims=True)
-        alpha[:, t] = a
+        r = behind[k + 1]
+        x, y = (1 - r) * p00[k + 1] + r * p01[k + 1], (1 - r) * p10[k + 1] + r * p11[k + 1]
+        behind[k] = y / (x + y)
+    alpha, beta = np.empty((length, lanes)), np.empty((length, lanes))
+    for t, (a, b, c, d) in enumerate(zip(*m)):
+        x, y = (1 - ahead) * a + ahead * c, (1 - ahead) * b + ahead * d
+        alpha[t] = ahead = y / (x + y)
     for t in range(length - 1, -1, -1):
-        beta[:, t] = b
-        b = m[:, t, :, 0] * b[:, :1] + m[:, t, :, 1] * b[:, 1:]
-        b = b / b.sum(axis=1, keepdims=True)
-    return alpha.reshape(-1, 2)[:n], beta.reshape(-1, 2)[:n], m.reshape(-1, 2, 2)[:n]
+        beta[t] = behind
+        a, b, c, d = m[:, t]
+        x, y = (1 - behind) * a + behind * b, (1 - behind) * c + behind * d
+        behind = y / (x + y)
+    return alpha.T.ravel()[:n], beta.T.ravel()[:n]
 
 
 def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """Probability that each token is toxic."""
     if not len(emission):
         return np.empty(0)
-    alpha, beta, _ = forward_backward(emission, first, transition)
-    both = alpha * beta
-    return both[:, 1] / both.sum(axis=1)
+    alpha, beta = forward_backward(steps(emission, first, transition))
+    toxic = alpha * beta
+    return toxic / (toxic + (1 - alpha) * (1 - beta))
 
 
 # --- the model --------------------------------------------------------------------------------------------------------
@@ -117,22 +115,30 @@ def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -
 
 @dataclass
 class Model:
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES, np.float32))
+    weights: dict[str, float] = field(default_factory=dict)
     transition: np.ndarray = field(default_factory=lambda: np.zeros((3, 2)))
     bias: float = -LIMIT
     document: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
     def emission(self, token: str) -> float:
-        return float(np.clip(self.weights[feature_ids(token)].sum() + self.bias, -LIMIT, LIMIT))
+        word, total = token.lower(), self.bias
+        get = self.weights.get
+        for k in PREFIXES:
+            weight = get(word[:k]) if len(word) >= k else None
+            # a prefix without a weight is too rare, and so are the longer ones
+            if weight is None:
+                break
+            total += weight
+        total += get(word + "$", 0.0)
+        return min(LIMIT, max(-LIMIT, total))
 
 
 def aggregates(p: np.ndarray, owner: np.ndarray, n_docs: int) -> np.ndarray:
-    """Per document: 1, log of the expected toxic tokens, log of their share, the surest token."""
+    """Per document: 1, log of the expected toxic tokens, log of their share, log of how sure it is that there is one."""
     expected = np.bincount(owner, weights=p, minlength=n_docs)
     count = np.bincount(owner, minlength=n_docs)
-    surest = np.zeros(n_docs)
-    np.maximum.at(surest, owner, p)
-    return np.stack([np.ones(n_docs), np.log1p(expected), np.log1p(1000 * expected / (count + 20)), surest], axis=1)
+    none = np.bincount(owner, weights=-np.log(np.maximum(1 - p, 1e-4)), minlength=n_docs)
+    return np.stack([np.ones(n_docs), np.log1p(expected), np.log1p(1000 * expected / (count + 20)), np.log1p(none)], axis=1)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -174,16 +180,20 @@ def lexicon(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
     for i in distinct_documents(texts):
         kind = int(toxic[i])
         size[kind] += 1
-        found[kind].update({f for w in set(texts[i]) for f in token_features(w)[:-1] if len(f) > 5})
-    least = max(LEXICON_DOCS, LEXICON_SHARE * size[1])
+        found[kind].update({f for w in set(texts[i]) for f in token_features(w) if len(f) >= LEXICON_LETTERS})
+    share = size[1] / (size[0] + size[1])
 
-    def odds(f: str) -> float:
-        return np.log((found[1][f] + 0.5) / (size[1] + 1)) - np.log((found[0][f] + 0.5) / (size[0] + 1))
+    def marks(f: str, toxic_docs: int) -> bool:
+        clean_docs = found[0][f]
+        both = toxic_docs + clean_docs
+        odds = np.log((toxic_docs + 0.5) / (size[1] + 1)) - np.log((clean_docs + 0.5) / (size[0] + 1))
+        ratio = 2 * (toxic_docs * np.log(toxic_docs / (both * share)) + clean_docs * np.log(max(clean_docs, 1) / (both * (1 - share))))
+        return odds >= LEXICON_ODDS and ratio >= LEXICON_RATIO
 
-    return {f for f, n in found[1].items() if n >= least and odds(f) >= LEXICON_ODDS}
+    return {f for f, n in found[1].items() if n >= LEXICON_SHARE * size[1] and marks(f, n)}
 
 
-def fit(rows: list[tuple[str, int]], share: float, rounds: int = 80) -> Model:
+def fit(rows: list[tuple[str, int]], share: float, rounds: int = 50) -> Model:
     """Train on (text, label) rows: token labels, then the chain by gradient steps, then the document function."""
     model = Model()
     texts = [TOKEN.findall(x) for x, _ in rows]
@@ -193,40 +203,50 @@ def fit(rows: list[tuple[str, int]], share: float, rounds: int = 80) -> Model:
         return model
     words = sorted({w for x in texts for w in x})
     number = {w: k for k, w in enumerate(words)}
-    ids = np.array([feature_ids(w) for w in words])
-    marked_words = lexicon(texts, toxic)
-    marked = np.array([any(f in marked_words for f in token_features(w)[:-1]) for w in words])
+    features = [token_features(w) for w in words]
+    documents = Counter(f for x in texts for f in {f for w in set(x) for f in features[number[w]]})
+    names = sorted(f for f, k in documents.items() if k >= FEATURE_DOCS)
+    index = {f: k for k, f in enumerate(names)}
+    pairs = np.array([(k, index[f]) for k, fs in enumerate(features) for f in fs if f in index], np.int64).reshape(-1, 2)
+    toxic_features = lexicon(texts, toxic)
+    marked = np.array([not toxic_features.isdisjoint(fs) for fs in features])
     length = np.array([len(x) for x in texts])
-    token = np.array([number[w] for x in texts for w in x])
+    token = np.array([number[w] for x in texts for w in x], np.int64)
     owner = np.repeat(np.arange(len(texts)), length)
     first = np.zeros(len(token), bool)
     first[(np.cumsum(length) - length)[length > 0]] = True
     y = (marked[token] & (toxic[owner] == 1)).astype(int)
     before = np.where(first, 2, np.concatenate([[0], y[:-1]]))
-    observed = np.zeros((3, 2))
-    np.add.at(observed, (before, y), 1)
+    observed = np.bincount(before * 2 + y, minlength=6).reshape(3, 2)
     truth = np.bincount(token, weights=y, minlength=len(words))
-    weights, transition, bias = np.zeros(FEATURES), np.zeros((3, 2)), -3.0
-    mean, square = np.zeros(FEATURES + 7), np.zeros(FEATURES + 7)
+    n = len(names)
+    w = np.zeros(n + 7)
+    w[-1] = -3.0
+    mean, square = np.zeros(n + 7), np.zeros(n + 7)
+
+    def emissions() -> np.ndarray:
+        total = np.bincount(pairs[:, 0], weights=w[pairs[:, 1]], minlength=len(words)) + w[-1]
+        return np.clip(total, -LIMIT, LIMIT)[token]
+
     for r in range(1, rounds + 1):
-        emission = np.clip(weights[ids].sum(axis=1) + bias, -LIMIT, LIMIT)[token]
-        alpha, beta, m = forward_backward(emission, first, transition)
-        p = alpha * beta
-        p = p[:, 1] / p.sum(axis=1)
-        past = np.concatenate([[[0.5, 0.5]], alpha[:-1]])
-        pair = past[:, :, None] * m * beta[:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
-        expected = np.concatenate([pair[~first].sum(axis=0), pair[first].sum(axis=(0, 1))[None]])
+        step = steps(emissions(), first, w[n:-1].reshape(3, 2))
+        alpha, beta = forward_backward(step)
+        past = np.concatenate([[0.5], alpha[:-1]])
+        pair = step * np.stack([(1 - past) * (1 - beta), (1 - past) * beta, past * (1 - beta), past * beta])
+        pair /= pair.sum(axis=0)
+        p = pair[1] + pair[3]
+        start = pair[:, first].sum(axis=1)
+        expected = np.array([pair.sum(axis=1) - start]).reshape(2, 2)
         slope = truth - np.bincount(token, weights=p, minlength=len(words))
         g = np.concatenate([
-            np.bincount(ids.ravel(), weights=np.repeat(slope, WIDTH), minlength=FEATURES) - 0.05 * weights,
-            (observed - expected).ravel() - 0.05 * transition.ravel(), [slope.sum()]])
+            np.bincount(pairs[:, 1], weights=slope[pairs[:, 0]], minlength=n),
+            (observed - np.concatenate([expected, [[start[0] + start[2], start[1] + start[3]]]])).ravel(), [slope.sum()]])
+        g[:-1] -= RIDGE * w[:-1]
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
-        step = 0.15 * (mean / (1 - 0.9 ** r)) / (np.sqrt(square / (1 - 0.99 ** r)) + 1e-6)
-        weights, transition, bias = weights + step[:FEATURES], transition + step[FEATURES:-1].reshape(3, 2), bias + step[-1]
-    model.weights, model.transition, model.bias = weights.astype(np.float32), transition, float(bias)
-    emission = np.array([model.emission(w) for w in words])[token]
-    x = aggregates(marginals(emission, first, transition), owner, len(texts))
+        w += 0.2 * (mean / (1 - 0.9 ** r)) / (np.sqrt(square / (1 - 0.99 ** r)) + 1e-6)
+    model.weights = dict(zip(names, w[:n].tolist()))
+    model.transition, model.bias = w[n:-1].reshape(3, 2), float(w[-1])
+    x = aggregates(marginals(emissions(), first, model.transition), owner, len(texts))
     model.document = logistic(x, toxic)
     # the sample has more toxic rows than the labels
     base = toxic.mean()
@@ -295,14 +315,14 @@ def score_texts(texts: list[str], emissions: Emissions):
     owner = np.repeat(np.arange(len(texts)), length)
     x = aggregates(p, owner, len(texts))
     found = [([], [])] * len(texts)
-    for i in np.flatnonzero(x[:, 3] >= 0.5):
+    for i in set(owner[p >= 0.5].tolist()):
         found[i] = spans(texts[i], p[start[i]:start[i] + length[i]])
     return sigmoid(x @ emissions.model.document), length, np.expm1(x[:, 1]), found
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, n_tokens, toxic_tokens (expected) and the spans' code point offsets, for every row."""
-    # FEATURES weights
+    # a sample's features: bounded like the sample
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
