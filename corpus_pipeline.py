@@ -4,27 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import sharding, simhash
+from holdfast.llm import decontaminate, mixing, sharding, simhash, toxicity
 from holdfast.llm.common import prepare, table, written
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the span tagger, trained on the labels, scores one half or more go."""
+    return toxicity.reject(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays: three-word shingles, two differing bits."""
     return simhash.representatives(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources move half the way, on a log scale, to equal shares; copies are rows of their own."""
+    mixed = mixing.mix(docs, alpha=0.5)
+    return mixed.select(*[mixed[c] for c in docs.columns])
+
+
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs)
+    """All rows in random order, in 16 shards."""
+    return sharding.shard(docs, n_shards=16)
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("sharding", shards)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shards),
+]
 
-#: fingerprints and the random order have no SQL form
+#: a fitted chain, 64-bit fingerprints and a random order have no SQL form
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(prepare(spark), docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

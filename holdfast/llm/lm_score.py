@@ -1,0 +1,131 @@
+"""Cross-entropy difference scores of documents under a target and a background language model.
+
+Both models are n-gram models of characters (order three) with one vocabulary: a boundary, the most frequent characters of
+the whole corpus in lower case, and one symbol for all others. They are matched: the same vocabulary, order and smoothing
+(each order's counts are smoothed by the next lower order). The background model counts all documents, the target model the
+documents that ``targets`` names. A document's score is the mean over its characters, its end included, of the target loss
+minus the background loss: the lower, the more it is like the target.
+
+Counts come from every text, whole, and are summed by task before they are shuffled. The number of cells is bounded by the
+vocabulary (``SYMBOLS`` cubed, two million), so the finished models are two arrays of 8 MB that each task holds; beyond the
+partial sums nothing grows with the corpus. A null or empty text has one token, its end, in scoring; null texts are not
+counted. Repeated rows are counted and scored each. Target ids that no document has, null ids and repeated ids change
+nothing. Without any target the target model is uniform. Extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from holdfast.llm.common import blocks, quoted
+
+#: vocabulary: 0 is the boundary, the last one stands for every rarer character
+SYMBOLS = 128
+CODES = 0x110000
+#: pseudo-counts that the next lower order contributes
+SMOOTHING = 5.0
+#: target ids are broadcast up to this many (8 bytes each)
+BROADCAST_IDS = 1_000_000
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    """Lower-cased code points of all texts, each with a 0 behind it (a 0 in a text is one of the rarer characters)."""
+    joined = "\0".join([x.lower().replace("\0", "�") for x in texts] + [""])
+    return np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+
+
+def vocabulary(docs: DataFrame) -> np.ndarray:
+    """Symbol of every code point, from the counts of the whole corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CODES, np.int64)
+        for batch in batches:
+            for _, texts in blocks(batch):
+                total += np.bincount(code_points(texts), minlength=CODES)
+        code = np.flatnonzero(total[1:]) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(total[code])], ["code", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    best = counts.orderBy(F.desc("n"), "code").limit(SYMBOLS - 2).collect()
+    symbols = np.full(CODES, SYMBOLS - 1, np.uint8)
+    symbols[0] = 0
+    symbols[[r["code"] for r in best]] = np.arange(1, len(best) + 1)
+    return symbols
+
+
+def cells(texts: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of the trigram that ends at each character or end, and the number of its text."""
+    lengths = np.array([len(x.lower()) + 1 for x in texts])
+    codes = symbols[code_points(texts)].astype(np.int32)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    back1 = np.concatenate([[0], codes[:-1]])
+    # behind a boundary the context is the boundary alone
+    back2 = np.concatenate([[0, 0], codes[:-2]]) * (back1 != 0)
+    return (back2 * SYMBOLS + back1) * SYMBOLS + codes, owner
+
+
+def gram_counts(docs: DataFrame, symbols) -> DataFrame:
+    """target (boolean), cell, n over all documents; ``docs`` has text and target."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, SYMBOLS ** 3), np.int64)
+        for batch in batches:
+            for part, texts in blocks(batch):
+                cell, owner = cells(texts, symbols.value)
+                wanted = np.array(part.column("target").to_pylist(), bool)
+                total[0] += np.bincount(cell, minlength=SYMBOLS ** 3)
+                total[1] += np.bincount(cell[wanted[owner]], minlength=SYMBOLS ** 3)
+        for kind in (0, 1):
+            cell = np.flatnonzero(total[kind])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(cell), bool(kind))), pa.array(cell.astype(np.int32)), pa.array(total[kind][cell])], ["target", "cell", "n"])
+
+    return docs.mapInArrow(count, "target boolean, cell int, n long").groupBy("target", "cell").agg(F.sum("n").alias("n"))
+
+
+def losses(counts: np.ndarray) -> np.ndarray:
+    """Negative log probability of each cell's last symbol after the other two."""
+    c3 = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(np.float64)
+    c2, c1 = c3.sum(axis=0), c3.sum(axis=(0, 1))
+    p1 = (c1 + SMOOTHING / SYMBOLS) / (c1.sum() + SMOOTHING)
+    p2 = (c2 + SMOOTHING * p1) / (c2.sum(axis=1, keepdims=True) + SMOOTHING)
+    p3 = (c3 + SMOOTHING * p2) / (c3.sum(axis=2, keepdims=True) + SMOOTHING)
+    return -np.log(p3).ravel().astype(np.float32)
+
+
+def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (means per token) and score, for every row of ``docs``."""
+    context = docs.sparkSession.sparkContext
+    source = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
+    present = source.filter("text IS NOT NULL")
+    symbols = context.broadcast(vocabulary(present))
+    wanted = targets.select(quoted(doc_id).cast("long").alias("doc_id"), F.lit(True).alias("target")).filter("doc_id IS NOT NULL").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    flagged = present.join(wanted, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # SYMBOLS cubed rows for each model at most
+    found = gram_counts(flagged, symbols).toPandas()
+    tables = []
+    for kind in (True, False):
+        part, counts = found[found["target"] == kind], np.zeros(SYMBOLS ** 3, np.int64)
+        counts[part["cell"].to_numpy()] = part["n"].to_numpy()
+        tables.append(losses(counts))
+    models = context.broadcast(tables)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, background = models.value
+        for batch in batches:
+            for part, texts in blocks(batch):
+                cell, owner = cells(texts, symbols.value)
+                n = np.bincount(owner, minlength=len(texts))
+                loss = [np.bincount(owner, weights=x[cell], minlength=len(texts)) / n for x in (target, background)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])],
+                    ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return source.mapInArrow(judge, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

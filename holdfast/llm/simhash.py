@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import quoted, written
+from holdfast.llm.common import packed, quoted, unpacked, written
 from holdfast.operators.stable import stable
 
 BITS = 64
@@ -84,15 +84,20 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) for every row."""
+    """doc_id, digest (MD5 of the text) and fp (the fingerprint's bits as a long) for every row."""
 
     def score(batches):
         for batch in batches:
             values = np.array([fingerprint(x or "", width) for x in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("digest"), pa.array(values.view(np.int64))], ["doc_id", "digest", "fp"])
 
-    source = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
-    return source.mapInArrow(score, "doc_id long, fp long")
+    source = docs.select(quoted(doc_id).cast("long").alias("doc_id"), text_digest(text).alias("digest"), quoted(text).cast("string").alias("text"))
+    return source.mapInArrow(score, "doc_id long, digest string, fp long")
+
+
+def text_digest(text: str) -> Column:
+    return F.md5(F.coalesce(quoted(text).cast("string"), F.lit("")))
 
 
 # --- the walk over node pairs, distributed levels ---------------------------------------------------------------------
@@ -283,17 +288,38 @@ def _signature(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 3, budget: int = 2, doc_id: str = "doc_id", text: str = "text", node_rows: int = 8192,
-) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id of all documents reachable by links) for every row of ``docs``.
-
-    A null doc_id is passed over when the smallest is taken; a component of null ids only has a null component_id."""
+def grouped(docs: DataFrame, width: int, budget: int, doc_id: str, text: str, node_rows: int) -> DataFrame:
+    """doc_id, digest, fp and the component's root fingerprint and smallest doc_id for every row."""
     marks = written(fingerprints(docs, width, doc_id, text), "fingerprints")
     nodes = stable(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(trie_links(nodes.select("fp"), budget, node_rows))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return marks.join(named, "fp")
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 3, budget: int = 2, doc_id: str = "doc_id", text: str = "text", node_rows: int = 8192,
+) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id of all documents reachable by links) for every row of ``docs``.
+
+    A null doc_id is passed over when the smallest is taken; a component of null ids only has a null component_id."""
+    return grouped(docs, width, budget, doc_id, text, node_rows).select("doc_id", "fp", "component_id")
+
+
+def representatives(
+    docs: DataFrame, width: int = 3, budget: int = 2, doc_id: str = "doc_id", text: str = "text", node_rows: int = 8192,
+) -> DataFrame:
+    """One row of ``docs``, all columns, for each component: the one with the smallest doc_id (null ids last), of several
+    rows with that id the one with the smallest text digest, of rows equal in both any one."""
+    choice = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("ident"), "digest")
+    chosen = grouped(docs, width, budget, doc_id, text, node_rows).groupBy("root").agg(F.min(choice).alias("c")).select("c.*")
+    ident = quoted(doc_id).cast("long")
+    rows = docs.select(
+        packed(docs).alias("row"), ident.isNull().alias("none"), F.coalesce(ident, F.lit(0).cast("long")).alias("ident"),
+        text_digest(text).alias("digest"))
+    keys = ["none", "ident", "digest"]
+    once = rows.join(chosen, keys).groupBy(*keys).agg(F.first("row").alias("row"))
+    return unpacked(once, docs.columns, {})

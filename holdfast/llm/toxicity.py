@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import blocks, held_out, quoted
+from holdfast.llm.common import blocks, held_out, packed, quoted, unpacked
 
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 8_000
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -337,3 +337,18 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     source = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
     return source.mapInArrow(batches_of, SCHEMA)
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emissions = Emissions(shared.value)
+        for batch in batches:
+            for part, texts in blocks(batch, limit=2_000_000):
+                values = score_texts(texts, emissions)[0]
+                yield pa.RecordBatch.from_arrays([part.column("row").filter(pa.array(values < threshold))], ["row"])
+
+    rows = docs.select(packed(docs).alias("row"), quoted(text).cast("string").alias("text"))
+    return unpacked(rows.mapInArrow(keep, rows.select("row").schema), docs.columns, {})
