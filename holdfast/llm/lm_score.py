@@ -63,9 +63,9 @@ def cells(texts: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray
     lengths = np.array([len(x.lower()) + 1 for x in texts])
     codes = symbols[code_points(texts)].astype(np.int32)
     owner = np.repeat(np.arange(len(texts)), lengths)
-    back1 = np.concatenate([[0], codes[:-1]])
+    back1, back2 = np.concatenate([[0], codes])[:-1], np.concatenate([[0, 0], codes])[:-2]
     # behind a boundary the context is the boundary alone
-    back2 = np.concatenate([[0, 0], codes[:-2]]) * (back1 != 0)
+    back2 = back2 * (back1 != 0)
     return (back2 * SYMBOLS + back1) * SYMBOLS + codes, owner
 
 

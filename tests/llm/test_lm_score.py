@@ -1,0 +1,61 @@
+from __future__ import annotations
+
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from holdfast.llm import lm_score
+from tests.llm import edges
+
+S, K = lm_score.SYMBOLS, lm_score.SMOOTHING
+
+
+def brute(docs, targets):
+    counts = Counter(c for _, t in docs if t is not None for c in t.lower())
+    best = sorted(counts, key=lambda c: (-counts[c], c))[:S - 2]
+    symbol = lambda c: best.index(c) + 1 if c in best else S - 1
+    grams = lambda t: [(a, b, c) for s in [[0, 0, *map(symbol, t.lower()), 0]] for a, b, c in zip(s, s[1:], s[2:])]
+
+    def model(texts):
+        c3 = Counter(g for t in texts for g in grams(t))
+        c2, c1, n2, n3 = Counter(), Counter(), Counter(), Counter()
+        for (a, b, c), n in c3.items():
+            c2[b, c] += n
+            c1[c] += n
+            n2[b] += n
+            n3[a, b] += n
+        total = sum(c1.values())
+
+        def loss(a, b, c):
+            p1 = (c1[c] + K / S) / (total + K)
+            p2 = (c2[b, c] + K * p1) / (n2[b] + K)
+            return -np.log((c3[a, b, c] + K * p2) / (n3[a, b] + K))
+        return loss
+
+    target = model([t for i, t in docs if i in targets and t is not None])
+    background = model([t for _, t in docs if t is not None])
+    return [(i, np.mean([target(*g) for g in grams(t or "")]), np.mean([background(*g) for g in grams(t or "")])) for i, t in docs]
+
+
+def test_scores_by_definition(spark):
+    docs = [(1, "Banana"), (2, "bandana nan"), (3, None), (4, ""), (5, "xyz XYZ"), (6, "a\0b"), (7, "é" * 20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    targets = spark.createDataFrame([(1,), (2,), (2,), (None,), (99,)], "doc_id long")
+    got = {r["doc_id"]: r for r in lm_score.score(frame, targets).collect()}
+    plain = [(i, t.replace("\0", "�") if t else t) for i, t in docs]
+    for i, target, background in brute(plain, {1, 2}):
+        assert got[i]["target_loss"] == pytest.approx(target, abs=1e-5)
+        assert got[i]["background_loss"] == pytest.approx(background, abs=1e-5)
+        assert got[i]["score"] == pytest.approx(target - background, abs=2e-5)
+    assert got[1]["n_tokens"] == 7 and got[4]["n_tokens"] == 1
+    assert got[2]["score"] < got[5]["score"]
+
+
+def test_edges(spark):
+    docs = edges.documents(spark)
+    targets = docs.filter("doc_id = 1").select("doc_id")
+    rows = lm_score.score(docs, targets).collect()
+    assert len(rows) == len(edges.ROWS) and all(np.isfinite(r["score"]) for r in rows)
+    assert len(lm_score.score(docs, targets.limit(0)).collect()) == len(edges.ROWS)
+    assert lm_score.score(edges.empty(spark), targets).collect() == []
