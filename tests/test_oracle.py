@@ -6,10 +6,12 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from holdfast.catalogue import BUSINESS, RAW
 from holdfast.plans import churn_model
 from holdfast.sources.tpch import clean_tables
 
-KEYS = list(entry.queries())
+# the training-data operators have tests of their own
+KEYS = [*BUSINESS, *RAW]
 ORACLE = entry.oracle_sql()
 
 
