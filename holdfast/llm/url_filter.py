@@ -9,8 +9,9 @@ same date ``remove`` comes last and so wins; repeated events count once.
 A capture has one candidate key per host suffix of two or more labels (or the host itself) and per leading path; the as-of
 join is an equi-join on the key with the fetch time inside the interval. All rows come back, in DataFrame functions only.
 A capture without host or fetch time matches nothing; so does a list event without entry, date or known action. Repeated
-captures are judged each. A key that a third of all captures share meets one list row per interval; adaptive execution
-splits its partition. Extra columns are ignored.
+captures are judged each. Extra columns are ignored. The intervals are counted: up to ``BROADCAST_INTERVALS`` of them go to
+the captures, which then are not shuffled by key; beyond that a key that a third of all captures share meets one list row
+per interval, and adaptive execution splits its partition.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.common import quoted, written
 
+#: intervals of about 80 bytes each
+BROADCAST_INTERVALS = 300_000
 AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -64,7 +67,10 @@ def judge(captures: DataFrame, events: DataFrame, page_id: str = "page_id", url:
         F.monotonically_increasing_id().alias("capture"),
     ), "captures")
     keyed = numbered.filter("fetched_at IS NOT NULL").select("capture", "fetched_at", F.explode(candidate_keys(F.col("url"))).alias("entry"))
-    active = keyed.join(intervals(events), "entry").filter(
+    listed = written(intervals(events), "intervals")
+    if listed.count() <= BROADCAST_INTERVALS:
+        listed = F.broadcast(listed)
+    active = keyed.join(listed, "entry").filter(
         (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
     verdicts = active.groupBy("capture").agg(
         F.count("*").alias("n_active"), F.max(F.struct(F.length("entry").alias("l"), "entry", "valid_from")).alias("best"))
