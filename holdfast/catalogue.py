@@ -98,27 +98,13 @@ BUSINESS: dict[str, Plan] = {
     "f06_revenue": features.revenue_report,
     "f07_feature_table": features.features,
     "f08_feature_profile": features.feature_profile,
-    "m01_split": churn_model.split_report,
-    "m02_preprocess": churn_model.preprocess_report,
-    "m03_class_weight": churn_model.class_weight_report,
-    "m04_logistic": churn_model.logistic_report,
-    "m05_random_forest": churn_model.forest_report,
-    "m06_metrics": churn_model.metrics_report,
-    "m07_confusion": churn_model.confusion_report,
-    "m07_class_report": churn_model.class_report_table,
-    "m08_roc_curve": churn_model.roc_report,
-    "m09_feature_importance": churn_model.importance_report,
-    "m09_top_features": churn_model.top_importance_report,
-    "m10_select_best": churn_model.best_model_report,
-    "m11_score_customers": churn_model.scores_report,
-    "m12_risk_distribution": churn_model.risk_distribution,
-    "m13_revenue_at_risk": churn_model.revenue_at_risk_report,
-    "m13_revenue_at_risk_total": churn_model.revenue_at_risk_total,
-    "m14_retention_priority": churn_model.priority_report,
-    "m15_priority_worklist": churn_model.worklist_report,
-    "m15_worklist_top10": churn_model.worklist_top,
-    "m16_run_summary": churn_model.run_summary,
     "k01_total_customers": kpi.measure("total_customers"),
+    "k03_churned_customers_by_plan": kpi.measure("churned_customers", "plan_name"),
+    "k05_churn_rate_by_plan": kpi.measure("churn_rate", "plan_name"),
+    "k05_churn_rate_by_month": kpi.measure("churn_rate", "month"),
+    "k06_retention_rate_by_plan": kpi.measure("retention_rate", "plan_name"),
+    "k13_arpu_by_plan": kpi.measure("arpu", "plan_name"),
+    "k14_revenue_lost_by_cancellation_month": kpi.measure("revenue_lost", "month", subscription_date="cancellation_date"),
     "k02_active_customers": kpi.measure("active_customers"),
     "k03_churned_customers": kpi.measure("churned_customers"),
     "k04_new_customers": kpi.measure("new_customers", "month"),
@@ -136,7 +122,6 @@ BUSINESS: dict[str, Plan] = {
     "k13_arpu": kpi.measure("arpu"),
     "k13_arpu_by_segment": kpi.measure("arpu", "segment"),
     "k14_revenue_lost": kpi.measure("revenue_lost"),
-    "k15_revenue_at_risk": kpi.measure("revenue_at_risk"),
     "k16_clv": kpi.measure("clv"),
     "k17_avg_sessions": kpi.measure("avg_sessions"),
     "k18_avg_duration": kpi.measure("avg_session_duration"),
@@ -144,32 +129,70 @@ BUSINESS: dict[str, Plan] = {
     "k20_support_tickets": kpi.measure("support_tickets"),
     "k21_avg_satisfaction": kpi.measure("avg_satisfaction"),
     "k21_avg_satisfaction_by_channel": kpi.measure("avg_satisfaction", "acquisition_channel"),
-    "k22_high_risk_customers": kpi.measure("high_risk_customers"),
-    "k23_high_value_at_risk": kpi.measure("high_value_at_risk"),
-    "k24_avg_churn_probability": kpi.measure("avg_churn_probability"),
-    "k25_dynamic_risk_level": kpi.dynamic_risk_level,
-    "k25_risk_level_sweep": kpi.risk_level_sweep,
     "k26_date_dimension": kpi.date_dimension,
     "k27_headline_snapshot": kpi.headline_snapshot,
-    "k27_headline_json": kpi.headline_json,
     "d01_cumulative_customers": dashboards.cumulative_customers,
     "d02_churn_combo": dashboards.churn_combo,
     "d03_retention_trend": dashboards.retention_trend,
     "d04_mrr_trend": dashboards.mrr_trend,
     "d05_revenue_lost_trend": dashboards.revenue_lost_trend,
-    "d06_risk_by_plan_region": dashboards.risk_by_plan_region,
     "d07_segment_feed": dashboards.segment_feed,
     "d07_tenure_histogram": dashboards.tenure_histogram,
     "d08_churn_gaps": dashboards.churn_gaps,
     "d08_top_finding": dashboards.top_finding,
-    "d09_worklist_filtered": dashboards.worklist_filtered,
-    "dq13_derived_grain": dashboards.derived_grain,
     "v01_customer_360": customer_view.customer_360,
     "c01_cohort_long": cohorts.cohort_long,
     "c02_cohort_matrix": cohorts.cohort_matrix,
     "c03_cohort_trend": cohorts.cohort_trend,
 }
 
+# what needs the split feature table or a fit: these share one bundle of tables
+SCORED: dict[str, Plan] = {
+    "m01_split": churn_model.split_report,
+    "m02_preprocess": churn_model.preprocess_report,
+    "m02_one_hot": churn_model.one_hot_report,
+    "m03_class_weight": churn_model.class_weight_report,
+    "m04_logistic": churn_model.logistic_report,
+    "m05_random_forest": churn_model.forest_report,
+    "m06_metrics": churn_model.metrics_report,
+    "m07_confusion": churn_model.confusion_report,
+    "m07_class_report": churn_model.class_report_table,
+    "m08_roc_curve": churn_model.roc_report,
+    "m09_feature_importance": churn_model.importance_report,
+    "m09_top_features": churn_model.top_importance_report,
+    "m10_select_best": churn_model.best_model_report,
+    "m11_score_customers": churn_model.scores_report,
+    "m12_risk_distribution": churn_model.risk_distribution,
+    "m13_revenue_at_risk": churn_model.revenue_at_risk_report,
+    "m13_revenue_at_risk_total": churn_model.revenue_at_risk_total,
+    "m14_retention_priority": churn_model.priority_report,
+    "m15_priority_worklist": churn_model.worklist_report,
+    "m15_worklist_top10": churn_model.worklist_top,
+    "m16_run_summary": churn_model.run_summary,
+    "k15_revenue_at_risk": kpi.measure("revenue_at_risk"),
+    "k22_high_risk_customers": kpi.measure("high_risk_customers"),
+    "k23_high_value_at_risk": kpi.measure("high_value_at_risk"),
+    "k24_avg_churn_probability": kpi.measure("avg_churn_probability"),
+    "k25_dynamic_risk_level": kpi.dynamic_risk_level,
+    "k25_risk_level_sweep": kpi.risk_level_sweep,
+    "k27_headline_json": kpi.headline_json,
+    "d06_risk_by_plan_region": dashboards.risk_by_plan_region,
+    "d09_worklist_filtered": dashboards.worklist_filtered,
+    "dq13_derived_grain": dashboards.derived_grain,
+}
+
+
+def _fixed(plan: Plan) -> Plan:
+    """The plan over two stated formulas in place of the trained models."""
+    return lambda t: plan(t.once("fixed", lambda: churn_model.with_fixed_formula(t)))
+
+
+# everything that follows from a score; importances need the trained forest, the snapshot repeats others
+SCORED.update({
+    f"{key}_fixed": _fixed(plan) for key, plan in list(SCORED.items())
+    if key not in ("m01_split", "m02_preprocess", "m02_one_hot", "m03_class_weight", "m09_feature_importance", "m09_top_features", "m16_run_summary", "k27_headline_json")
+})
+
 # plans over the tables as they arrive, defects included
 RAW: dict[str, Plan] = {
     "cl01_dedupe_customers": audit_of("customers", "duplicate_customers"),

@@ -15,10 +15,14 @@ def bands_left(x: Column, cuts: Sequence, labels: Sequence[str]) -> Column:
     return col.otherwise(labels[-1])
 
 
+OUTSIDE = "out of range"
+
+
 def bands_right(x: Column, edges: Sequence, labels: Sequence[str]) -> Column:
-    """labels[i] for x in (edges[i], edges[i+1]]; NULL outside every band."""
-    col = None
+    """labels[i] for x in (edges[i], edges[i+1]]; a first or last edge of None is open. What no band holds is counted as
+    ``OUTSIDE``; only a missing value has no band."""
+    col = F.when(x.isNull(), None)
     for low, high, label in zip(edges, edges[1:], labels):
-        inside = (x > low) & (x <= high)
-        col = F.when(inside, label) if col is None else col.when(inside, label)
-    return col
+        above = F.lit(True) if low is None else x > low
+        col = col.when(above if high is None else above & (x <= high), label)
+    return col.otherwise(OUTSIDE)

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from holdfast.functions.scalars import pct
 
 COPIES = "_copies"
-SMALL_SIDE_ROWS = 100_000
 
 
 class Check(NamedTuple):
@@ -38,6 +38,27 @@ def audit(flagged: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return one_row.select(F.inline(F.array(*rows)))
 
 
+def first_order(df: DataFrame, key: str) -> Column:
+    """What "first" means for the rows of a table: position in the files if known, then the id. Whole numbers are packed
+    into one decimal of fixed width, which lets Spark aggregate by hash."""
+    if "ingest_ord" not in df.columns:
+        return F.col(key)
+    if isinstance(df.schema["ingest_ord"].dataType, T.IntegralType):
+        return F.col("ingest_ord").cast("decimal(10,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col(key).cast("decimal(20,0)")
+    return F.struct("ingest_ord", key)
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that more than one row has, found by a hash aggregate over the key columns alone."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def join_keys(df: DataFrame, found: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join in which missing key values equal each other."""
+    other = found.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return df.join(other, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), how)
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key in ``order`` plus the number of rows it stands for (column ``_copies``).
 
@@ -59,7 +80,9 @@ def mark_known(df: DataFrame, key: str, parents: DataFrame, flag: str) -> DataFr
     return df.join(known, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def join_small(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
-    """Left join to a side that is broadcast only if it is counted to be small; otherwise a shuffle join."""
-    few = side.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS
-    return df.join(F.broadcast(side) if few else side, key, "left")
+def known_rows(df: DataFrame, key: str, parents: DataFrame) -> DataFrame:
+    """Rows whose key the parent has. The unknown keys are found among the distinct ones; they are few, so that adaptive
+    execution can take them to the rows instead of shuffling the rows."""
+    used = df.select(key).where(F.col(key).isNotNull()).distinct()
+    unknown = used.join(parents.select(key).distinct(), key, "left_anti")
+    return df.where(F.col(key).isNotNull()).join(unknown, key, "left_anti")

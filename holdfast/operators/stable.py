@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. A throw-away folder is made only for a local session that names none."""
+    """The session's checkpoint folder (``spark.checkpoint.dir``). A local session that names none gets a folder that goes
+    when the session ends; a cluster must name one that all machines share."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -18,6 +19,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before ranking on a cluster")
         folder = tempfile.mkdtemp(prefix="holdfast-checkpoint-")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     sc.setCheckpointDir(folder)
     return folder
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -45,13 +48,18 @@ def with_split(df: DataFrame, test_share: float = TEST_SHARE, seed: int = SEED)
     churned = F.col("churn") == 1
     place = F.when(churned, F.col("rank") - n0).otherwise(F.col("rank"))
     tests = F.ceil(F.when(churned, n1).otherwise(n0) * test_share)
-    marked = ranked.select("customer_id", F.when(place <= tests, "test").otherwise("train").alias("split"))
-    return df.join(marked, "customer_id")
+    # the last test row of each label; rows are compared with it, so they are neither moved nor joined
+    ends = ranked.where(place == tests).select("churn", "h", "customer_id").collect()
+    is_test = F.lit(False)
+    for end in ends:
+        up_to = (mixed < end["h"]) | ((mixed == end["h"]) & (F.col("customer_id") <= end["customer_id"]))
+        is_test = is_test | ((F.col("churn") == end["churn"]) & up_to)
+    return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
 def split_features(t: Tables) -> DataFrame:
-    """The feature table with its split; every later step reads it several times, so both stages are written once."""
-    return stable(with_split(stable(features(t))))
+    """The feature table with its split; written once, since the ranking and every later step read it."""
+    return t.once("split", lambda: with_split(stable(features(t))))
 
 
 def with_class_weight(train: DataFrame) -> DataFrame:
@@ -87,10 +95,39 @@ def classifiers(n_train: int, trees: int = TREES) -> dict:
     }
 
 
-class Fitted:
-    """Feature table with its split, the fitted models and their predictions on the test rows."""
+class Scorer(ABC):
+    """Models of the churn probability over a feature table with its split, and their predictions on the test rows."""
+
+    table: DataFrame
+    names: tuple[str, ...] = (LOGISTIC, FOREST)
+
+    def __init__(self):
+        self._scores: DataFrame | None = None
+
+    @abstractmethod
+    def probability(self, name: str, rows: DataFrame) -> DataFrame:
+        """The rows with the model's ``prediction`` and probability ``p``."""
+
+    def predict(self) -> DataFrame:
+        test = self.table.where(F.col("split") == "test")
+        frames = [self.probability(name, test).select(F.lit(name).alias("model"), "churn", "prediction", "p") for name in self.names]
+        return stable(reduce(DataFrame.unionByName, frames))
+
+    @property
+    def scores(self) -> DataFrame:
+        """The feature table with the better model's probability, rounded before tiers are cut."""
+        if self._scores is None:
+            name = best_model(self).first()["model"]
+            scored = self.probability(name, self.table).select(*self.table.columns, dec_round("p", 4).alias("churn_probability"))
+            self._scores = stable(scored.withColumn("risk_level", risk_tier(F.col("churn_probability"))))
+        return self._scores
+
+
+class Fitted(Scorer):
+    """The two classifiers trained on the train rows."""
 
     def __init__(self, t: Tables, trees: int = TREES):
+        super().__init__()
         self.table = split_features(t)
         # training makes many passes over its rows
         train = stable(with_class_weight(self.table.where(F.col("split") == "train")))
@@ -101,40 +138,40 @@ class Fitted:
             for name, estimator in classifiers(ready.count(), trees).items()
         }
         ready.unpersist()
-        test = self.table.where(F.col("split") == "test")
-        frames = [
-            model.transform(test).select(F.lit(name).alias("model"), "churn", "prediction", _churn_p().alias("p"))
-            for name, model in self.models.items()
-        ]
-        self.predicted = stable(frames[0].unionByName(frames[1]))
-        self._scores: DataFrame | None = None
+        self.predicted = self.predict()
 
-    @property
-    def scores(self) -> DataFrame:
-        """The feature table with the better model's probability, rounded before tiers are cut."""
-        if self._scores is None:
-            model = self.models[best_model(self).first()["model"]]
-            p = dec_round(_churn_p(), 4)
-            scored = model.transform(self.table).select(*self.table.columns, p.alias("churn_probability"))
-            self._scores = stable(scored.withColumn("risk_level", risk_tier(F.col("churn_probability"))))
-        return self._scores
+    def probability(self, name: str, rows: DataFrame) -> DataFrame:
+        return self.models[name].transform(rows).withColumn("p", vector_to_array("probability")[1])
 
 
-def _churn_p() -> Column:
-    return vector_to_array("probability")[1]
+class FixedFormula(Scorer):
+    """Two stated formulas in place of the classifiers: what follows from a score can be checked without a fit.
 
+    z / (1 + |z|) moved to 0..1 needs no exponential, so every engine gives the same digits."""
 
-_FITS: dict[tuple, Fitted] = {}
+    def __init__(self, t: Tables):
+        super().__init__()
+        self.table = split_features(t)
+        self.predicted = self.predict()
+
+    def probability(self, name: str, rows: DataFrame) -> DataFrame:
+        c = F.col
+        z = {
+            LOGISTIC: (c("recency_days") - 150) / 60 + c("unresolved_tickets") - c("tenure_days") / 2000,
+            FOREST: (c("recency_days") - 200) / 40 - c("avg_sessions") / 10 + c("total_tickets") / 5,
+        }[name]
+        p = dec_round((1 + z / (1 + F.abs(z))) / 2, 4)
+        return rows.withColumn("p", p).withColumn("prediction", (F.col("p") >= 0.5).cast("double"))
+
+
+def fitted(t: Tables) -> Scorer:
+    """The bundle's one fit, made when it is first asked for."""
+    return t.once("fit", lambda: Fitted(t))
 
 
-def fitted(t: Tables) -> Fitted:
-    """One fit per session and named data set; unnamed tables are fitted each time."""
-    if t.name is None:
-        return Fitted(t)
-    key = (t.customers.sparkSession.sparkContext.applicationId, t.name, t.as_of)
-    if key not in _FITS:
-        _FITS[key] = Fitted(t)
-    return _FITS[key]
+def with_fixed_formula(t: Tables) -> Tables:
+    """The bundle with the stated formulas as its fit."""
+    return t.given(fit=FixedFormula(t))
 
 
 # ---- evaluation -----------------------------------------------------------------------------------------------------
@@ -170,7 +207,7 @@ def evaluate(predicted: DataFrame) -> DataFrame:
     )
 
 
-def best_model(fit: Fitted) -> DataFrame:
+def best_model(fit: Scorer) -> DataFrame:
     return evaluate(fit.predicted).agg(F.max_by("model", F.struct("roc_auc", "model")).alias("model"))
 
 
@@ -258,6 +295,17 @@ def preprocess_report(t: Tables) -> DataFrame:
     return stats.select(F.inline(F.array(*NUMERIC)))
 
 
+def one_hot_report(t: Tables) -> DataFrame:
+    """Which column each category value sets, and how many training rows do; the most frequent value comes first, ties in
+    alphabetical order. The columns of an input follow each other in this order."""
+    train = split_features(t).where(F.col("split") == "train")
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in CATEGORICAL])
+    counts = train.select(F.inline(cells)).where("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    # one row per category value
+    place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("n"), "value")) - 1
+    return counts.select("feature", "value", "n", place.alias("position"))
+
+
 def class_weight_report(t: Tables) -> DataFrame:
     train = with_class_weight(split_features(t).where(F.col("split") == "train"))
     return train.groupBy("churn").agg(F.count("*").alias("n"), dec_round(F.max("weight"), 6).alias("weight"))

@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from holdfast.functions.business import ACTIVE, CANCELLED, CHARGE, is_cancelled
 from holdfast.functions.scalars import is_all_lower, is_all_upper, pct, title_case
-from holdfast.operators.audit import COPIES, Check, audit, join_small, keep_first, mark_known
+from holdfast.operators.audit import (
+    COPIES, Check, audit, first_order, join_keys, keep_first, known_rows, mark_known, repeated_keys,
+)
 from holdfast.operators.quantiles import exact_median
+from holdfast.operators.stable import stable
 from holdfast.sources.tables import Tables
 
 # Bounds, fill labels and the key of a repeated charge.
@@ -62,7 +65,8 @@ def clean_customers(t: Tables) -> Cleaned:
     def table() -> DataFrame:
         # ages are at most MAX_AGE distinct values, so the built-in median holds a bounded map per region
         medians = flagged.groupBy("region").agg(F.median("age").alias("_region_age"))
-        return join_small(flagged, medians, "region").select(
+        # one row per region: adaptive execution broadcasts it by its measured bytes
+        return flagged.join(medians, "region", "left").select(
             "customer_id", "signup_date",
             F.coalesce(title_case("gender"), F.lit(UNKNOWN)).alias("gender"),
             F.bround(F.coalesce(c("age").cast("double"), c("_region_age"))).cast("int").alias("age"),
@@ -118,57 +122,84 @@ def clean_transactions(t: Tables, dedupe_after_repair: bool = False) -> Cleaned:
     """
     c = F.col
     raw = t.transactions
-    negative = (
-        (c("transaction_type") == CHARGE) & (c("amount") < 0) & ~c("payment_status").eqNullSafe("Refunded")
-    )
+
+    def negative(status: Column) -> Column:
+        return (c("transaction_type") == CHARGE) & (c("amount") < 0) & ~status.eqNullSafe("Refunded")
 
     def repair(df: DataFrame) -> DataFrame:
-        return df.withColumn("_negative", negative).withColumn(
-            "amount", F.when(c("_negative"), F.abs("amount")).otherwise(c("amount"))
-        )
+        return df.withColumn("amount", F.when(negative(c("payment_status")), F.abs("amount")).otherwise(c("amount")))
 
-    if dedupe_after_repair:
-        raw = repair(raw)
-    first = keep_first(raw, TXN_KEY, _order(raw, "transaction_id"))
-    if not dedupe_after_repair:
-        first = repair(first)
-    # a hot customer or subscription meets one parent row; adaptive execution splits its skewed partition
-    flagged = mark_known(
-        mark_known(first, "subscription_id", t.subscriptions, "_sub_ok"), "customer_id", t.customers, "_cust_ok"
-    )
-    clean = flagged.where(c("_sub_ok") & c("_cust_ok")).withColumn(
-        "payment_status", F.coalesce("payment_status", F.lit(UNKNOWN_PAYMENT))
-    ).select(*[col for col in t.transactions.columns if col != "ingest_ord"])
-    known = _n(c("_sub_ok"))
-    checks = [
-        Check("duplicate_transactions", F.sum(c(COPIES) - 1), F.sum(COPIES), "first row kept", "repeated billing event"),
-        Check("orphan_subscription", _n(~c("_sub_ok")), F.sum(COPIES), "excluded", "no subscription to attribute to"),
-        Check("negative_charge", _n(c("_sub_ok") & c("_negative")), known, "absolute value", "sign error at the source"),
-        Check("missing_payment_status", _n(c("_sub_ok") & c("payment_status").isNull()), known, "label Unknown",
-              "row kept, status flagged"),
-        Check("orphan_customer", _n(c("_sub_ok") & ~c("_cust_ok")), known, "excluded", "no customer to attribute to"),
-    ]
-    return Cleaned(lambda: clean, lambda: audit(flagged, checks))
+    def table() -> DataFrame:
+        rows = repair(raw) if dedupe_after_repair else raw
+        # few keys repeat: their rows alone are compared with each other
+        repeated = stable(repeated_keys(rows, TXN_KEY))
+        single = join_keys(rows, repeated, TXN_KEY, "left_anti")
+        several = join_keys(rows, repeated, TXN_KEY, "left_semi")
+        first = single.unionByName(keep_first(several, TXN_KEY, _order(raw, "transaction_id")).drop(COPIES))
+        if not dedupe_after_repair:
+            first = repair(first)
+        known = known_rows(known_rows(first, "subscription_id", t.subscriptions), "customer_id", t.customers)
+        return known.withColumn("payment_status", F.coalesce("payment_status", F.lit(UNKNOWN_PAYMENT))).select(
+            *[col for col in t.transactions.columns if col != "ingest_ord"])
+
+    def audit_rows() -> DataFrame:
+        # only key columns and a code of the first row's status are moved: 0 missing, 1 refunded, 2 any other
+        status = F.when(c("payment_status").isNull(), 0).when(c("payment_status") == "Refunded", 1).otherwise(2)
+        rows = raw.select(*TXN_KEY, status.alias("status"), first_order(raw, "transaction_id").alias("place"))
+        if dedupe_after_repair:
+            fixed = (c("transaction_type") == CHARGE) & (c("amount") < 0) & (c("status") != 1)
+            rows = rows.withColumn("negative", fixed.cast("int")).withColumn("amount", F.when(fixed, F.abs("amount")).otherwise(c("amount")))
+        else:
+            rows = rows.withColumn("negative", F.lit(0))
+        first = rows.groupBy(*TXN_KEY).agg(
+            F.count("*").alias(COPIES), F.min_by("status", "place").alias("status"), F.min_by("negative", "place").alias("negative"))
+        if not dedupe_after_repair:
+            found = (c("transaction_type") == CHARGE) & (c("amount") < 0) & (c("status") != 1)
+            first = first.withColumn("negative", found.cast("int"))
+        # one row per subscription and customer meets the parents
+        counts = first.groupBy("subscription_id", "customer_id").agg(
+            F.sum(COPIES).alias(COPIES), F.count("*").alias("rows"), F.sum("negative").alias("negative"),
+            F.count_if(c("status") == 0).alias("no_status"))
+        flagged = mark_known(
+            mark_known(counts, "subscription_id", t.subscriptions, "_sub_ok"), "customer_id", t.customers, "_cust_ok")
+        of = lambda condition, n: F.sum(F.when(condition, c(n)))
+        known = of(c("_sub_ok"), "rows")
+        return audit(flagged, [
+            Check("duplicate_transactions", F.sum(c(COPIES) - c("rows")), F.sum(COPIES), "first row kept", "repeated billing event"),
+            Check("orphan_subscription", of(~c("_sub_ok"), "rows"), F.sum(COPIES), "excluded", "no subscription to attribute to"),
+            Check("negative_charge", of(c("_sub_ok"), "negative"), known, "absolute value", "sign error at the source"),
+            Check("missing_payment_status", of(c("_sub_ok"), "no_status"), known, "label Unknown", "row kept, status flagged"),
+            Check("orphan_customer", of(c("_sub_ok") & ~c("_cust_ok"), "rows"), known, "excluded", "no customer to attribute to"),
+        ])
+
+    return Cleaned(table, audit_rows)
+
+
+def _keyed_counts(rows: DataFrame, customers: DataFrame, **missing: str) -> DataFrame:
+    """Rows and missing values per customer, flagged by whether the customer is known; a hot customer is one row."""
+    counts = rows.groupBy("customer_id").agg(
+        F.count("*").alias("rows"), *[F.count_if(F.col(column).isNull()).alias(name) for name, column in missing.items()])
+    return mark_known(counts, "customer_id", customers, "_cust_ok")
 
 
 def clean_activity(t: Tables) -> Cleaned:
     c = F.col
-    flagged = mark_known(t.activity, "customer_id", t.customers, "_cust_ok")
 
     def table() -> DataFrame:
         # the median includes the rows of unknown customers
         minutes = F.coalesce(c("session_minutes").cast("double"), exact_median(t.activity, "session_minutes"))
-        return flagged.where(c("_cust_ok")).withColumns({
+        return known_rows(t.activity, "customer_id", t.customers).withColumns({
             "session_minutes": minutes,
             "feature_usage_count": F.coalesce("feature_usage_count", F.lit(0)),
         }).select(*t.activity.columns)
 
     checks = [
-        Check("missing_minutes", _n(c("session_minutes").isNull()), _rows(), "median", "tracking gaps"),
-        Check("missing_features", _n(c("feature_usage_count").isNull()), _rows(), "0", "no event means no usage"),
-        Check("orphan_activity", _n(~c("_cust_ok")), _rows(), "excluded", "no customer to attribute to"),
+        Check("missing_minutes", F.sum("no_minutes"), F.sum("rows"), "median", "tracking gaps"),
+        Check("missing_features", F.sum("no_features"), F.sum("rows"), "0", "no event means no usage"),
+        Check("orphan_activity", F.sum(F.when(~c("_cust_ok"), c("rows"))), F.sum("rows"), "excluded", "no customer to attribute to"),
     ]
-    return Cleaned(table, lambda: audit(flagged, checks))
+    return Cleaned(table, lambda: audit(
+        _keyed_counts(t.activity, t.customers, no_minutes="session_minutes", no_features="feature_usage_count"), checks))
 
 
 def clean_tickets(t: Tables) -> Cleaned:
@@ -195,12 +226,12 @@ def clean_tickets(t: Tables) -> Cleaned:
 def clean_interactions(t: Tables) -> Cleaned:
     """The audit has a row only if something was excluded."""
     c = F.col
-    flagged = mark_known(t.interactions, "customer_id", t.customers, "_cust_ok")
     checks = [
-        Check("orphan_interactions", _n(~c("_cust_ok")), _rows(), "excluded", "no customer to attribute to"),
+        Check("orphan_interactions", F.sum(F.when(~c("_cust_ok"), c("rows"))), F.sum("rows"), "excluded", "no customer to attribute to"),
     ]
-    clean = flagged.where(c("_cust_ok")).select(*t.interactions.columns)
-    return Cleaned(lambda: clean, lambda: audit(flagged, checks).where(c("affected") > 0))
+    return Cleaned(
+        lambda: known_rows(t.interactions, "customer_id", t.customers).select(*t.interactions.columns),
+        lambda: audit(_keyed_counts(t.interactions, t.customers), checks).where(c("affected") > 0))
 
 
 CLEANERS: dict[str, Callable[[Tables], Cleaned]] = {

@@ -139,12 +139,10 @@ def top_finding(t: Tables) -> DataFrame:
 
 
 def worklist_filtered(t: Tables, priority: str = PRIORITY_LABELS[0]) -> DataFrame:
-    """The outreach list joined to the scores, one priority only."""
-    fit = churn_model.fitted(t)
-    listed = churn_model.worklist(fit.scores).where(F.col("retention_priority") == priority)
-    scored = churn_model.scores(t)
+    """The outreach list of one priority only."""
+    listed = churn_model.worklist(churn_model.fitted(t).scores).where(F.col("retention_priority") == priority)
     return (
-        listed.drop("churn_probability", "risk_level").join(scored, "customer_id")
+        listed
         .select("customer_id", "plan_name", "annualized_revenue", "churn_probability", "risk_level", "retention_priority")
         .orderBy(F.desc("churn_probability"), "customer_id")
     )

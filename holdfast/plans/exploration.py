@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from holdfast.functions.bands import bands_right
 from holdfast.functions.business import CANCELLED, is_cancelled, recognised
 from holdfast.functions.scalars import pct
-from holdfast.operators.audit import join_small
 from holdfast.operators.customer_grain import engagement_by_customer, latest_subscription, support_by_customer
 from holdfast.operators.histogram import histogram
 from holdfast.operators.quantiles import exact_quantiles
@@ -19,12 +18,12 @@ from holdfast.operators.timeline import by_month, fill_months, running
 from holdfast.plans.revenue import revenue_by_attribute
 from holdfast.sources.tables import Tables
 
-# Bin counts, band edges (closed on the right) and labels of the charts.
+# Bin counts, band edges (closed on the right, None: open) and labels of the charts.
 AGE_BINS = 30
 TENURE_BINS = 40
 DENSITY_BINS = 50
 DENSITY_AXIS_QUANTILE = 0.98
-TICKET_EDGES, TICKET_BANDS = (-1, 0, 2, 4, 100), ("0", "1-2", "3-4", "5+")
+TICKET_EDGES, TICKET_BANDS = (None, 0, 2, 4, None), ("0", "1-2", "3-4", "5+")
 SAT_EDGES, SAT_BANDS = (0, 2, 3, 4, 5), ("1-2", "2-3", "3-4", "4-5")
 DISCOUNT_EDGES, DISCOUNT_BANDS = (-1, 0, 10, 20, 100), ("0%", "1-10%", "11-20%", "21%+")
 AGE_EDGES, AGE_BANDS = (0, 25, 35, 45, 60, 100), ("<25", "25-34", "35-44", "45-59", "60+")
@@ -141,11 +140,11 @@ def feature_usage_box(t: Tables) -> DataFrame:
     box = exact_quantiles(merged, "avg_feature_usage", [0.25, 0.5, 0.75], by="subscription_status").select(
         "subscription_status", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
-    # three numbers per status
+    # rows are (status, value); the other side has three numbers per status
     x, spread = F.col("avg_feature_usage"), (F.col("q3") - F.col("q1")) * WHISKER
     inside = (x >= F.col("q1") - spread) & (x <= F.col("q3") + spread)
     return (
-        join_small(merged, box, "subscription_status")
+        merged.select("subscription_status", "avg_feature_usage").join(box, "subscription_status", "left")
         .groupBy("subscription_status", "q1", "median", "q3")
         .agg(F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"))
     )

@@ -123,6 +123,10 @@ def revenue(t: Tables, ends: DataFrame) -> DataFrame:
     )
 
 
+def _clipped_trend() -> Column:
+    return F.greatest(F.least(F.coalesce("trend", F.lit(NEUTRAL_TREND)), F.lit(TREND_MAX)), F.lit(0.0))
+
+
 def features(t: Tables) -> DataFrame:
     """The 22-column feature table with its defaults for customers without facts."""
     # every fact is cut at the same dates; the exchange that computes them is reused
@@ -134,13 +138,12 @@ def features(t: Tables) -> DataFrame:
         window.join(engagement(t, ends), "customer_id", "left").join(cases, "customer_id", "left")
         .join(revenue(t, ends), "customer_id", "left")
     )
-    ratio_ = F.greatest(F.least(F.coalesce("trend", F.lit(NEUTRAL_TREND)), F.lit(TREND_MAX)), F.lit(0.0))
     return joined.withColumns({
         **{c: F.coalesce(c, F.lit(0.0)) for c in (
             "avg_sessions", "avg_session_minutes", "avg_feature_usage", "avg_resolution_time", "total_revenue")},
         **{c: F.coalesce(c, zero).cast("long") for c in ("total_tickets", "unresolved_tickets", "total_transactions")},
         "avg_satisfaction": F.coalesce("avg_satisfaction", exact_median(cases, "avg_satisfaction")),
-        "engagement_trend_ratio": ratio_,
+        "engagement_trend_ratio": _clipped_trend(),
         "recency_days": F.coalesce("recency_days", "tenure_days"),
     }).select(*FEATURE_COLUMNS)
 
@@ -157,7 +160,8 @@ def engagement_report(t: Tables) -> DataFrame:
 
 
 def trend_report(t: Tables) -> DataFrame:
-    return features(t).select("customer_id", "engagement_trend_ratio")
+    joined = observation_window(t).select("customer_id").join(engagement(t, subscription_ends(t)), "customer_id", "left")
+    return joined.select("customer_id", _clipped_trend().alias("engagement_trend_ratio"))
 
 
 def support_report(t: Tables) -> DataFrame:
@@ -167,7 +171,12 @@ def support_report(t: Tables) -> DataFrame:
 
 
 def revenue_report(t: Tables) -> DataFrame:
-    return features(t).select("customer_id", "total_revenue", "total_transactions", "recency_days")
+    window = with_tenure(observation_window(t)).select("customer_id", "tenure_days")
+    return window.join(revenue(t, subscription_ends(t)), "customer_id", "left").select(
+        "customer_id", F.coalesce("total_revenue", F.lit(0.0)).alias("total_revenue"),
+        F.coalesce("total_transactions", F.lit(0)).cast("long").alias("total_transactions"),
+        F.coalesce("recency_days", "tenure_days").alias("recency_days"),
+    )
 
 
 def feature_profile(t: Tables) -> DataFrame:

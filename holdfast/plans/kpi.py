@@ -3,7 +3,9 @@
 ``kpi(t, name, by=..., where=..., start=..., end=...)`` computes a measure over
 the rows a report's slicers leave: ``by`` and ``where`` name attributes of the
 customer, its segment, the plan or the billing cycle, ``start``/``end`` bound
-the measure's own date, and ``by`` may include ``month`` of that date.
+the measure's own date, and ``by`` may include ``month`` of that date. Only new customers are bound to the signup date;
+subscriptions are bound to their start, or to the cancellation if that role is asked for. An attribute a fact has no
+path to leaves the fact whole: it neither filters it nor splits it, so its total stands in every group.
 
 Every fact is reduced to customer (and subscription or plan) before an attribute
 is joined, and measures are sums that add up, so the reduction loses nothing.
@@ -72,6 +74,7 @@ def _when(condition: Callable[[], Column], value: Callable[[], Column]) -> Calla
 
 _TOTAL = Part("customers", "customers", lambda _: F.lit(True))
 _ACTIVE = Part("subscriptions", "customers", lambda _: is_active() == 1)
+_NEW = Part("signups", "customers", lambda _: F.lit(True))
 _REVENUE = Part("transactions", "sum", _sum_of("amount"))
 
 
@@ -93,7 +96,7 @@ MEASURES: dict[str, Measure] = {
     "total_customers": Measure({"total": _TOTAL}, _count("total")),
     "active_customers": Measure({"active": _ACTIVE}, _count("active")),
     "churned_customers": Measure({"total": _TOTAL, "active": _ACTIVE}, lambda: _count("total")() - _count("active")()),
-    "new_customers": Measure({"total": _TOTAL}, _count("total")),
+    "new_customers": Measure({"new": _NEW}, _count("new")),
     "churn_rate": Measure(
         {"total": _TOTAL, "active": _ACTIVE}, lambda: safe_divide(_count("total")() - _count("active")(), "total")
     ),
@@ -140,12 +143,14 @@ MEASURES: dict[str, Measure] = {
 }
 
 
-def _base(t: Tables, name: str) -> tuple[DataFrame, str | None]:
+def _base(t: Tables, name: str, subscription_date: str) -> tuple[DataFrame, str | None]:
     """Rows of a fact and its date column."""
     if name == "customers":
+        return t.customers.select("customer_id"), None
+    if name == "signups":
         return t.customers.select("customer_id", "signup_date"), "signup_date"
     if name == "subscriptions":
-        return t.subscriptions, "start_date"
+        return t.subscriptions, subscription_date
     if name == "transactions":
         return t.transactions.where(recognised()), "transaction_date"
     if name == "activity":
@@ -159,17 +164,15 @@ def _base(t: Tables, name: str) -> tuple[DataFrame, str | None]:
 
 
 def _link(base: str, wanted: set[str]) -> list[str]:
-    """Columns that tie a fact to the wanted plan attributes."""
+    """Columns that tie a fact to the wanted plan attributes; none where there is no relationship."""
     needs_plan, needs_cycle = bool(wanted & set(PLAN_ATTRIBUTES)), BILLING in wanted
-    if not (needs_plan or needs_cycle) or base == "customers":
-        return []
+    if base == "transactions" and (needs_plan or needs_cycle):
+        return ["subscription_id"]
     if base == "subscriptions":
         return (["plan_id"] if needs_plan else []) + ([BILLING] if needs_cycle else [])
-    if base == "transactions":
-        return ["subscription_id"]
-    if base in ("scores", "priorities") and wanted & set(PLAN_ATTRIBUTES) <= {"plan_name"} and not (needs_cycle and base == "priorities"):
-        return (["plan_name"] if needs_plan else []) + ([BILLING] if needs_cycle else [])
-    raise ValueError(f"{base} has no relationship to {sorted(wanted & {*PLAN_ATTRIBUTES, BILLING})}")
+    if base in ("scores", "priorities"):
+        return (["plan_name"] if "plan_name" in wanted else []) + ([BILLING] if needs_cycle and base == "scores" else [])
+    return []
 
 
 def _attach(t: Tables, df: DataFrame, link: list[str], wanted: set[str], segments: DataFrame | None) -> DataFrame:
@@ -192,31 +195,28 @@ def _segments(t: Tables) -> DataFrame:
 
 
 def _part_frame(
-    t: Tables, base: str, parts: dict[str, Part], by: Sequence[str], uses: set[str], where: Column | None,
-    start: dt.date | None, end: dt.date | None, segments: DataFrame | None,
+    t: Tables, base: str, parts: dict[str, Part], by: Sequence[str], where: Column | None, where_uses: Sequence[str],
+    start: dt.date | None, end: dt.date | None, subscription_date: str, segments: DataFrame | None,
 ) -> DataFrame:
-    rows, day = _base(t, base)
+    """The parts of one fact, grouped by those ``by`` attributes it has a path to."""
+    uses = {*by, *where_uses}
+    rows, day = _base(t, base, subscription_date)
     if day and start:
         rows = rows.where(F.col(day) >= F.lit(start))
     if day and end:
         rows = rows.where(F.col(day) <= F.lit(end))
     link = _link(base, uses)
-    if MONTH in by:
-        if not day:
-            raise ValueError(f"{base} has no date")
-        rows = rows.withColumn(MONTH, month_start(day))
+    monthly = MONTH in by and day is not None
+    if monthly:
+        rows = rows.where(F.col(day).isNotNull()).withColumn(MONTH, month_start(day))
     # the customer is kept only where an attribute hangs on it or customers are what is counted
     per_customer = uses & {*CUSTOMER_ATTRIBUTES, SEGMENT} or any(p.kind == "customers" for p in parts.values())
-    keys = [*(["customer_id"] if per_customer else []), *link, *([MONTH] if MONTH in by else [])]
+    keys = [*(["customer_id"] if per_customer else []), *link, *([MONTH] if monthly else [])]
     reduced = rows.groupBy(*keys).agg(*[
         (F.sum(p.of(t)) if p.kind == "sum" else F.max(F.when(p.of(t), 1))).alias(name) for name, p in parts.items()
     ])
     joined = _attach(t, reduced, link, uses, segments)
-    missing = [c for c in uses - {MONTH} if c not in joined.columns]
-    if missing and base != "customers":
-        raise ValueError(f"{base} has no relationship to {missing}")
-    # the customer base has no plan, so a plan filter leaves it whole, as a one-way relationship does
-    if where is not None and not missing:
+    if where is not None and all(c in joined.columns for c in where_uses):
         joined = joined.where(where)
     keep = [c for c in by if c in joined.columns]
     one_row_each = keys == ["customer_id"]
@@ -227,30 +227,62 @@ def _part_frame(
     ])
 
 
+def _values(t: Tables, attribute: str) -> Column:
+    """All values of an attribute that a fact has no path to, as one array; these are dimensions of a few rows."""
+    source = {BILLING: t.subscriptions, MONTH: None}.get(attribute, t.plans)
+    if source is None:
+        source = date_dimension(t).select(month_start("date").alias(MONTH))
+    return source.agg(F.array_sort(F.collect_set(attribute))).scalar()
+
+
+def _repeat(groups: DataFrame, part: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A part that misses some attributes, with its totals on every group that agrees on the others."""
+    shared = [c for c in by if c in part.columns]
+    names = [c for c in part.columns if c not in by]
+    if not shared:
+        one = part.select(F.struct(*names)).scalar()
+        return groups.withColumns({n: one.getField(n) for n in names})
+    other = part.select(*[F.col(c).alias(f"_{c}") for c in shared], *names)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in shared])
+    return groups.join(other, same, "left").drop(*[f"_{c}" for c in shared])
+
+
 def kpi(
     t: Tables, name: str, by: Sequence[str] = (), where: Column | None = None, where_uses: Sequence[str] = (),
-    start: dt.date | None = None, end: dt.date | None = None,
+    start: dt.date | None = None, end: dt.date | None = None, subscription_date: str = "start_date",
 ) -> DataFrame:
-    """(by..., name). ``where_uses`` lists the attributes the filter refers to."""
+    """(by..., name). ``where_uses`` lists the attributes the filter refers to; ``subscription_date`` names the date of a
+    subscription that months and bounds mean: ``start_date`` or ``cancellation_date``."""
     measure = MEASURES[name]
-    uses = {*by, *where_uses}
     bases = dict.fromkeys(p.base for p in measure.parts.values())
-    segments = _segments(t) if SEGMENT in uses else None
+    segments = _segments(t) if SEGMENT in {*by, *where_uses} else None
     frames = [
         _part_frame(
-            t, base, {n: p for n, p in measure.parts.items() if p.base == base}, by, uses, where, start, end, segments,
+            t, base, {n: p for n, p in measure.parts.items() if p.base == base}, by, where, where_uses, start, end,
+            subscription_date, segments,
         )
         for base in bases
     ]
-    totals = frames[0]
-    if len(frames) > 1:
-        merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-        totals = merged.groupBy(*by).agg(*[F.sum(n).alias(n) for n in measure.parts])
+    full = [f for f in frames if all(c in f.columns for c in by)]
+    partial = [f for f in frames if not all(c in f.columns for c in by)]
+    if not full:
+        widest = max(partial, key=lambda f: len(f.columns))
+        for column in by:
+            if column not in widest.columns:
+                widest = widest.withColumn(column, F.explode(_values(t, column)))
+        full, partial = [widest], [f for f in partial if not set(f.columns) <= set(widest.columns)]
+    totals = full[0]
+    if len(full) > 1:
+        merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), full)
+        names = [n for n in measure.parts if n in merged.columns]
+        totals = merged.groupBy(*by).agg(*[F.sum(n).alias(n) for n in names])
+    for part in partial:
+        totals = _repeat(totals, part, by)
     return totals.select(*by, measure.value().alias(name))
 
 
-def measure(name: str, *by: str) -> Callable[[Tables], DataFrame]:
-    return lambda t: kpi(t, name, by)
+def measure(name: str, *by: str, **context) -> Callable[[Tables], DataFrame]:
+    return lambda t: kpi(t, name, by, **context)
 
 
 # ---- measures over the month series ---------------------------------------------------------------------------------
@@ -297,20 +329,25 @@ def dynamic_risk_level(t: Tables, high: float = HIGH_RISK, medium: float = MEDIU
 
 
 def risk_level_sweep(t: Tables) -> DataFrame:
-    """Customers per tier for every threshold pair.
+    """Customers per tier for every threshold pair, empty tiers as 0.
 
     Scores have four decimals, so they are first counted by value (at most 10,001 rows) and only those
-    counts are repeated per pair.
+    counts are repeated per pair. Where the medium threshold is above the high one, the high tier comes first.
     """
     from holdfast.plans.churn_model import scores
 
     pairs = F.array(*[
-        F.struct(F.lit(h / 100).alias("high"), F.lit(m / 100).alias("medium")) for h in HIGH_RANGE for m in MEDIUM_RANGE if m <= h
+        F.struct(F.lit(h / 100).alias("high"), F.lit(m / 100).alias("medium")) for h in HIGH_RANGE for m in MEDIUM_RANGE
     ])
     counted = scores(t).groupBy("churn_probability").agg(F.count("*").alias("n"))
     repeated = counted.select("churn_probability", "n", F.inline(pairs))
     tier = risk_tier(F.col("churn_probability"), F.col("high"), F.col("medium")).alias("risk_level")
-    return repeated.groupBy("high", "medium", tier).agg(F.sum("n").alias("customers"))
+    tiers = F.array(*[
+        F.struct(F.lit(name).alias("risk_level"), F.coalesce(F.sum(F.when(F.col("risk_level") == name, F.col("n"))), F.lit(0)).alias("customers"))
+        for name in ("High", "Medium", "Low")
+    ])
+    cells = repeated.select("high", "medium", "n", tier).groupBy("high", "medium").agg(tiers.alias("tiers"))
+    return cells.select("high", "medium", F.inline("tiers"))
 
 
 def date_dimension(t: Tables) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from holdfast.functions.business import ACTIVE, CANCELLED, annualised, recognised
 from holdfast.functions.scalars import dec_round, month_label, pct, ratio
 from holdfast.operators.customer_grain import latest_subscription, revenue_by_customer, support_by_customer
+from holdfast.operators.rates import share_of_total
 from holdfast.sources.tables import Tables
 
 # Fixed values of the simple at-risk rule.
@@ -46,18 +47,16 @@ def revenue_by_plan(t: Tables) -> DataFrame:
     """Through the plan of the subscription that was charged, reduced per subscription and per plan before each join."""
     per_sub = t.transactions.where(recognised()).groupBy("subscription_id").agg(F.sum("amount").alias("paid"))
     per_plan = (
-        per_sub.join(t.subscriptions.select("subscription_id", "plan_id"), "subscription_id")
+        per_sub.join(t.subscriptions.select("subscription_id", "plan_id"), "subscription_id", "left")
         .groupBy("plan_id").agg(F.sum("paid").alias("paid"))
     )
     named = (
-        per_plan.join(t.plans.select("plan_id", "plan_name"), "plan_id")
+        per_plan.join(t.plans.select("plan_id", "plan_name"), "plan_id", "left")
         .groupBy("plan_name").agg(F.sum("paid").alias("revenue"))
     )
-    # the denominator is all recognised revenue, also of charges without a known subscription
-    everything = t.transactions.where(recognised()).agg(F.sum("amount")).scalar()
-    return named.select(
-        "plan_name", _money("revenue"), pct("revenue", everything).alias("pct_of_total")
-    ).orderBy(F.desc("revenue"))
+    # the denominator is all recognised revenue, also of charges without a known subscription; one row per plan here
+    shared = share_of_total(named, "revenue").where(F.col("plan_name").isNotNull())
+    return shared.select("plan_name", _money("revenue"), "pct_of_total").orderBy(F.desc("revenue"))
 
 
 def revenue_by_attribute(t: Tables, key: str) -> DataFrame:

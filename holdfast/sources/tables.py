@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from holdfast.sources.schema import SCHEMAS
 
@@ -25,12 +25,24 @@ class Tables:
         self,
         sources: Mapping[str, DataFrame | Callable[[], DataFrame]],
         as_of: dt.date = DEFAULT_AS_OF,
-        name: str | None = None,
     ):
         self._sources = dict(sources)
         self.as_of = as_of
-        # identifies an unchanging data set, so that a model fitted on it can be reused
-        self.name = name
+        self._made: dict[str, object] = {}
+
+    def once(self, key: str, make: Callable[[], object]):
+        """What ``make`` returned the first time: a split or a fit that every plan on this bundle shares.
+
+        It lives and ends with the bundle; tables read again are another bundle."""
+        if key not in self._made:
+            self._made[key] = make()
+        return self._made[key]
+
+    def given(self, **made) -> Tables:
+        """The same tables with a split or fit made elsewhere."""
+        other = Tables(self._sources, self.as_of)
+        other._made = {**self._made, **made}
+        return other
 
     def __getitem__(self, name: str) -> DataFrame:
         source = self._sources[name]
@@ -41,7 +53,7 @@ class Tables:
     def __contains__(self, name: str) -> bool:
         return name in self._sources
 
-    def replace(self, **frames: DataFrame) -> "Tables":
+    def replace(self, **frames: DataFrame) -> Tables:
         return Tables({**self._sources, **frames}, self.as_of)
 
     @cached_property
@@ -83,22 +95,59 @@ def read_tables(
     """Open ``folder/<table>`` (parquet) or ``folder/<table>.csv`` with the declared schema, never inferring types.
 
     ``ingest_order`` adds the position in the files as ``ingest_ord`` to customers and transactions, so that
-    "keep the first occurrence" means what it means for a file.
+    "keep the first occurrence" means what it means for a file. Whole numbers in CSV may be written as ``34.0``, as they
+    are once a column had a missing value; ``unreadable`` counts what no type can read.
     """
 
     def opener(name: str) -> Callable[[], DataFrame]:
-        reader = spark.read.schema(SCHEMAS[name])
-        if fmt == "csv":
-            reader = reader.option("header", True).option("dateFormat", "yyyy-MM-dd")
-        path = f"{folder}/{name}.csv" if fmt == "csv" else f"{folder}/{name}"
-
         def load() -> DataFrame:
-            df = reader.format(fmt).load(path)
-            return with_ingest_order(df) if ingest_order and name in ("customers", "transactions") else df
+            if fmt == "csv":
+                df = _csv_text(spark, folder, name)
+            else:
+                df = spark.read.schema(SCHEMAS[name]).format(fmt).load(f"{folder}/{name}")
+            if ingest_order and name in ("customers", "transactions"):
+                df = with_ingest_order(df)
+            return df.withColumns({f.name: typed(f) for f in SCHEMAS[name]}) if fmt == "csv" else df
 
         return load
 
-    return Tables({name: opener(name) for name in SCHEMAS}, as_of, folder)
+    return Tables({name: opener(name) for name in SCHEMAS}, as_of)
+
+
+def _csv_text(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in SCHEMAS[name]])
+    return spark.read.schema(text).option("header", True).csv(f"{folder}/{name}.csv")
+
+
+def typed(field: T.StructField) -> Column:
+    """A CSV value in its declared type; missing where it cannot be read."""
+    text = F.trim(F.col(field.name))
+    if isinstance(field.dataType, T.StringType):
+        return F.col(field.name)
+    if isinstance(field.dataType, T.DateType):
+        # a time of day is allowed behind the date
+        return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([ T].*)?$"), F.substring(text, 1, 10).try_cast("date"))
+    if isinstance(field.dataType, (T.IntegerType, T.LongType)):
+        number = text.try_cast("decimal(38,10)")
+        # half a unit is not a whole number that was written as a decimal
+        return F.when(number == F.floor(number), number.try_cast(field.dataType))
+    return text.try_cast(field.dataType)
+
+
+def unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """(table_name, column_name, unreadable, example): per column of the CSV files the values that are there but cannot be
+    read in the declared type; one pass over each file. Columns without any are left out."""
+    def one(name: str) -> DataFrame:
+        raw = _csv_text(spark, folder, name)
+        lost = {f.name: F.col(f.name).isNotNull() & (F.trim(f.name) != "") & typed(f).isNull() for f in SCHEMAS[name]}
+        cells = raw.agg(*[
+            F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.count_if(bad).alias("unreadable"),
+                     F.min(F.when(bad, F.col(c))).alias("example")).alias(c)
+            for c, bad in lost.items()
+        ])
+        return cells.select(F.inline(F.array(*[F.col(c) for c in lost])))
+
+    return reduce(DataFrame.unionByName, [one(name) for name in SCHEMAS]).where("unreadable > 0")
 
 
 def with_ingest_order(df: DataFrame) -> DataFrame:

@@ -172,8 +172,10 @@ class _Mapping:
 
     def customer_campaign_interactions(self) -> DataFrame:
         key = F.col("event_id")
-        clicks = self._events().where(F.col("event_type") == "click").withColumn("campaign_id", key % 10)
-        return clicks.join(self.marketing_campaigns(), "campaign_id").select(
+        # every campaign gets its share of the clicks, however many campaigns there are
+        campaigns = self.src("supplier").agg(F.max("s_suppkey") + 1).scalar()
+        clicks = self._events().where(F.col("event_type") == "click").withColumn("campaign_id", key % campaigns)
+        return clicks.join(self.marketing_campaigns().select("campaign_id", "campaign_date"), "campaign_id").select(
             key.alias("interaction_id"), "customer_id", "campaign_id",
             _cases(key % 3, ["Click", "Email Open"], "Conversion").alias("interaction_type"),
             F.date_add("campaign_date", (key % 14).cast("int")).alias("interaction_date"),
@@ -188,7 +190,7 @@ TABLE_NAMES = [
 
 def clean_tables(spark: SparkSession, sf_dir: str) -> Tables:
     mapping = _Mapping(spark, sf_dir)
-    return Tables({name: getattr(mapping, name) for name in TABLE_NAMES}, AS_OF, sf_dir)
+    return Tables({name: getattr(mapping, name) for name in TABLE_NAMES}, AS_OF)
 
 
 # ---- deterministic defects ------------------------------------------------------------------------------------------
@@ -233,6 +235,7 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> Tables:
             discount_percentage=(key % 97 == 2, null),
             subscription_status=(key % 101 == 3, F.lower("subscription_status")),
             cancellation_date=(key % 61 == 4, null),
+            customer_id=(key % 499 == 7, c("customer_id") + far_id),
         )
 
     def transactions() -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_queries() -> dict[str, str]:
-    from oracle import analysis, business, cleaning, measures
+    from oracle import analysis, business, cleaning, measures, scored
 
     merged: dict[str, str] = {}
-    for module in (business, cleaning, analysis, measures):
+    for module in (business, cleaning, analysis, measures, scored):
         merged.update(module.QUERIES)
     return merged

@@ -87,7 +87,7 @@ FROM supplier""",
 SELECT e.event_id AS interaction_id, e.user_id * 10 + e.event_id % 10 AS customer_id, m.campaign_id,
        CASE e.event_id % 3 WHEN 0 THEN 'Click' WHEN 1 THEN 'Email Open' ELSE 'Conversion' END AS interaction_type,
        m.campaign_date + CAST(e.event_id % 14 AS INTEGER) AS interaction_date
-FROM events e JOIN marketing_campaigns m ON m.campaign_id = e.event_id % 10 WHERE e.event_type = 'click'""",
+FROM events e JOIN marketing_campaigns m ON m.campaign_id = e.event_id % (SELECT MAX(s_suppkey) + 1 FROM supplier) WHERE e.event_type = 'click'""",
     # ---- defects
     "raw_customers": """
 SELECT 0 AS ingest_ord, customer_id, signup_date,
@@ -105,7 +105,8 @@ SELECT * REPLACE (
          CASE WHEN subscription_id % 151 = 1 AND subscription_status = 'Cancelled' THEN start_date - 10 ELSE end_date END AS end_date,
          CASE WHEN subscription_id % 97 = 2 THEN NULL ELSE discount_percentage END AS discount_percentage,
          CASE WHEN subscription_id % 101 = 3 THEN LOWER(subscription_status) ELSE subscription_status END AS subscription_status,
-         CASE WHEN subscription_id % 61 = 4 THEN NULL ELSE cancellation_date END AS cancellation_date)
+         CASE WHEN subscription_id % 61 = 4 THEN NULL ELSE cancellation_date END AS cancellation_date,
+         CASE WHEN subscription_id % 499 = 7 THEN customer_id + 1000000000 ELSE customer_id END AS customer_id)
 FROM subscriptions""",
     "raw_transactions": """
 SELECT 0 AS ingest_ord, * REPLACE (

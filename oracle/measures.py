@@ -30,6 +30,8 @@ def _growth(series: str, value: str, name: str) -> str:
         FROM (SELECT *, CAST(LAG({value}) OVER (ORDER BY month) AS DOUBLE) AS prev FROM {series}) g"""
 
 
+ACTIVE_BY_PLAN = """SELECT plan_name, COUNT(DISTINCT customer_id) FILTER (WHERE subscription_status = 'Active') AS n
+    FROM subscriptions JOIN plans USING (plan_id) GROUP BY 1"""
 SIGNUPS = _monthly("customers", "signup_date", "COUNT(*)", "k")
 TOTALS = "SELECT month, CAST(SUM(k) OVER (ORDER BY month) AS BIGINT) AS total_customers FROM signups"
 REVENUE = _monthly("paid", "transaction_date", "SUM(amount)", "v")
@@ -65,6 +67,20 @@ QUERIES: dict[str, str] = {
         FROM customers LEFT JOIN (SELECT DISTINCT customer_id FROM subscriptions WHERE subscription_status = 'Active') a
         USING (customer_id) GROUP BY 1"""),
     "k06_retention_rate": sql(f"SELECT 1.0::DOUBLE - CAST({PEOPLE} - {ANY_ACTIVE} AS DOUBLE) / {PEOPLE} AS retention_rate"),
+    "k03_churned_customers_by_plan": sql(f"SELECT plan_name, {PEOPLE} - n AS churned_customers FROM active_by_plan",
+                                         active_by_plan=ACTIVE_BY_PLAN),
+    "k05_churn_rate_by_plan": sql(f"SELECT plan_name, CAST({PEOPLE} - n AS DOUBLE) / {PEOPLE} AS churn_rate FROM active_by_plan",
+                                  active_by_plan=ACTIVE_BY_PLAN),
+    "k05_churn_rate_by_month": sql(f"""SELECT month, CAST({PEOPLE} - n AS DOUBLE) / {PEOPLE} AS churn_rate FROM (
+        SELECT CAST(date_trunc('month', start_date) AS DATE) AS month,
+               COUNT(DISTINCT customer_id) FILTER (WHERE subscription_status = 'Active') AS n FROM subscriptions GROUP BY 1) x"""),
+    "k06_retention_rate_by_plan": sql(
+        f"SELECT plan_name, 1.0::DOUBLE - CAST({PEOPLE} - n AS DOUBLE) / {PEOPLE} AS retention_rate FROM active_by_plan",
+        active_by_plan=ACTIVE_BY_PLAN),
+    "k13_arpu_by_plan": sql(f"""SELECT plan_name, CAST(SUM(amount) AS DOUBLE) / {PEOPLE} AS arpu
+        FROM paid JOIN subscriptions s USING (subscription_id) JOIN plans USING (plan_id) GROUP BY 1"""),
+    "k14_revenue_lost_by_cancellation_month": sql(f"""SELECT CAST(date_trunc('month', cancellation_date) AS DATE) AS month,
+        CAST(SUM({yearly()}) AS DOUBLE) AS revenue_lost FROM gone_subs WHERE cancellation_date IS NOT NULL GROUP BY 1"""),
     "k07_customer_growth": sql(_growth("totals", "total_customers", "customer_growth"), signups=SIGNUPS, totals=TOTALS),
     "k08_avg_tenure": sql(f"""SELECT AVG(date_diff('day', start_date, COALESCE(cancellation_date, {AS_OF}))) AS avg_tenure_days
         FROM subscriptions"""),

@@ -6,12 +6,12 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
-from holdfast.catalogue import BUSINESS, RAW
+from holdfast.catalogue import BUSINESS, RAW, SCORED
 from holdfast.plans import churn_model
 from holdfast.sources.tpch import clean_tables
 
 # the training-data operators have tests of their own
-KEYS = [*BUSINESS, *RAW]
+KEYS = [*BUSINESS, *RAW, *SCORED]
 ORACLE = entry.oracle_sql()
 
 
@@ -24,7 +24,10 @@ def con(sf_dir):
 def small_forest(spark, sf_dir):
     """Twenty trees are enough to exercise every report on the model."""
     t = clean_tables(spark, sf_dir)
-    churn_model._FITS[(spark.sparkContext.applicationId, t.name, t.as_of)] = churn_model.Fitted(t, trees=20)
+    key = (spark.sparkContext.applicationId, sf_dir, entry._file_state(spark, sf_dir))
+    entry.BUNDLES[key] = t.given(fit=churn_model.Fitted(t, trees=20), split=churn_model.split_features(t))
+    yield
+    del entry.BUNDLES[key]
 
 
 @pytest.mark.parametrize("key", KEYS)
