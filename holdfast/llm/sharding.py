@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.common import packed, quoted, unpacked, written
 
-#: offsets of at most this many buckets (about 100 MB) are broadcast; beyond it the join is left to Spark
-BROADCAST_BUCKETS = 4_000_000
+#: at most this many buckets, which grow instead: their offsets (24 bytes each) are broadcast
+MAX_BUCKETS = 1_000_000
 
 
 def permute(bucket: int, hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -34,11 +34,11 @@ def permute(bucket: int, hashes: np.ndarray, seed: int) -> np.ndarray:
     return order
 
 
-def shuffled(docs: DataFrame, seed: int, bucket_bytes: int, doc_id: str, text: str) -> tuple[DataFrame, int]:
-    """The written buckets (row, bucket, pos) and how many buckets there are."""
+def shuffled(docs: DataFrame, seed: int, bucket_bytes: int, doc_id: str, text: str) -> DataFrame:
+    """The written buckets: row, bucket, pos."""
     # 64: what a row takes beside its text
     total = docs.agg(F.sum(F.coalesce(F.octet_length(quoted(text)), F.lit(0)) + 64).alias("n")).first()["n"] or 0
-    n_buckets = max(1, math.ceil(total / bucket_bytes))
+    n_buckets = min(max(1, math.ceil(total / bucket_bytes)), MAX_BUCKETS)
     mix = F.xxhash64(F.lit(seed), quoted(doc_id), quoted(text), F.spark_partition_id())
     scattered = docs.select(packed(docs).alias("row"), mix.alias("mix")).withColumn(
         "bucket", F.pmod(F.xxhash64(F.lit(seed), "mix"), F.lit(n_buckets)).cast("int")
@@ -52,23 +52,22 @@ def shuffled(docs: DataFrame, seed: int, bucket_bytes: int, doc_id: str, text: s
         moved = rows.select(["row", "bucket"]).take(pa.array(order))
         return moved.append_column("pos", pa.array(np.arange(len(order), dtype=np.int32))).select(arrow_names)
 
-    return written(scattered.groupBy("bucket").applyInArrow(one_bucket, out), "buckets"), n_buckets
+    return written(scattered.groupBy("bucket").applyInArrow(one_bucket, out), "buckets")
 
 
 def shard(
-    docs: DataFrame, n_shards: int = 16, seed: int = 20240229, bucket_bytes: int = 32 << 20,
+    docs: DataFrame, n_shards: int = 16, seed: int = 20240229, bucket_bytes: int = 8 << 20,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """All columns of ``docs`` plus ``shard`` (int, from 0) and ``slot`` (long, from 0 without a gap in each shard)."""
-    buckets, n_buckets = shuffled(docs, seed, bucket_bytes, doc_id, text)
+    """All columns of ``docs`` plus ``shard`` (int, from 0) and ``slot`` (long, from 0 without a gap in each shard). Buckets
+    have about ``bucket_bytes``; from 8 TB on, MAX_BUCKETS of them are larger (100 MB each at 100 TB)."""
+    buckets = shuffled(docs, seed, bucket_bytes, doc_id, text)
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
     # one narrow row per bucket, not per document
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    if n_buckets <= BROADCAST_BUCKETS:
-        offsets = F.broadcast(offsets)
     place = F.col("offset") + F.col("pos")
-    return unpacked(buckets.join(offsets, "bucket"), docs.columns, {
+    return unpacked(buckets.join(F.broadcast(offsets), "bucket"), docs.columns, {
         "shard": (place % n_shards).cast("int"), "slot": F.floor(place / n_shards).cast("long"),
     })
 
