@@ -55,6 +55,19 @@ def test_customer_without_ticket_is_in_the_zero_band(spark):
     assert rows_of(churn.churn_by_tickets(t))[0]["ticket_volume_band"] == "1 - No tickets"
 
 
+def test_no_customer_falls_out_of_the_chart_bands(spark):
+    """101 tickets are many, and an age or discount no band foresees is still a customer."""
+    t = tables(
+        spark, customers=[dict(customer_id=1, age=140), dict(customer_id=2, age=30)],
+        subscriptions=[dict(subscription_id=1, customer_id=1, discount_percentage=-5), dict(subscription_id=2, customer_id=2)],
+        support_tickets=[dict(ticket_id=i, customer_id=1) for i in range(101)],
+    )
+    n = lambda df, key: {r[key]: r["customers"] for r in df.collect()}
+    assert n(exploration.churn_by_ticket_band(t), "ticket_band") == {"5+": 1, "0": 1}
+    assert n(exploration.churn_by_age_band(t), "age_group") == {"out of range": 1, "25-34": 1}
+    assert n(exploration.churn_by_discount_band(t), "disc_band") == {"out of range": 1, "0%": 1}
+
+
 def test_age_25_depends_on_the_closed_side(spark):
     t = tables(spark, customers=[dict(customer_id=1, age=25)], subscriptions=[dict(subscription_id=1, customer_id=1)])
     assert churn.churn_by_age(t).first()["age_group"] == "2 - 25-34"
@@ -71,7 +84,9 @@ def test_bands(spark):
     df = spark.createDataFrame([(0,), (2,), (3,), (None,), (101,)], "x int")
     left = [r[0] for r in df.select(bands_left(F.col("x"), (2, 3), ("a", "b", "c"))).collect()]
     right = [r[0] for r in df.select(bands_right(F.col("x"), (-1, 0, 2, 100), ("a", "b", "c"))).collect()]
-    assert left == ["a", "b", "c", "c", "c"] and right == ["a", "b", "c", None, None]
+    opened = [r[0] for r in df.select(bands_right(F.col("x"), (None, 0, 2, None), ("a", "b", "c"))).collect()]
+    assert opened == ["a", "b", "c", None, "c"]
+    assert left == ["a", "b", "c", "c", "c"] and right == ["a", "b", "c", None, "out of range"]
 
 
 def test_month_end_is_clamped(spark):
