@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from holdfast.llm.common import quoted
+from holdfast.llm.common import prepare, quoted
 
 # fixed values: the template's marks, and the marks of other common templates, which texts must not smuggle in
 START, END = b"<|im_start|>", b"<|im_end|>\n"
@@ -120,6 +120,7 @@ def format_chat(
     turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
 ) -> DataFrame:
     """conv_id, n_turns, formatted, loss_starts and loss_ends (byte offsets into formatted) per conversation."""
+    prepare(turns.sparkSession)
     rows = turns.select(
         quoted(conv_id).cast("long").alias("conv_id"), quoted(turn).alias("turn"),
         quoted(role).cast("string").alias("role"), quoted(text).cast("string").alias("text"))

@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 from holdfast.operators.stable import ensure_checkpoint_dir
 from holdfast.session import tune
 
-#: rows of one Arrow batch; keeps a batch of very long texts inside a Python worker's memory
-BATCH_ROWS = 512
+#: rows and bytes of one Arrow batch; keep a batch of very long texts inside a Python worker's memory
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 #: code points that one vectorised step works on
 BLOCK_CHARS = 4_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Adaptive execution as the library wants it, and Arrow batches that stay small when texts are long."""
+    """Adaptive execution as the library wants it, and Arrow batches that stay small when texts are long. Every operator
+    of this package that runs Python sets this for its session."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import blocks, packed, quoted, unpacked, written
+from holdfast.llm.common import blocks, packed, prepare, quoted, unpacked, written
 
 TOKEN = re.compile(r"[^\W_]+")
 WINDOW, MAX_SUBS = 13, 3
@@ -126,6 +126,7 @@ def _seed_frame(df: DataFrame, ident: str, kind: str, bitmap) -> DataFrame:
                             pa.FixedSizeListArray.from_arrays(pa.array(near[one].ravel().view(np.int64)), near.shape[1]).cast(pa.list_(pa.int64())),
                         ], [ident, "key", "at", "around"])
 
+    prepare(df.sparkSession)
     return df.mapInArrow(find, f"{ident} {kind}, {SEEDS}")
 
 

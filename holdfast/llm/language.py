@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import blocks, held_out, quoted
+from holdfast.llm.common import blocks, held_out, prepare, quoted
 
 DIM = 1024
 SEED = 11
@@ -119,6 +119,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(vector)], ["lang", "dim", "value"])
 
+    prepare(docs.sparkSession)
     known = docs.filter(~held_out(quoted(doc_id)) & quoted(lang).isNotNull() & quoted(text).isNotNull())
     parts = known.select(quoted(text).cast("string").alias("text"), quoted(lang).cast("string").alias("lang")).mapInArrow(
         partial, "lang string, dim int, value double")
@@ -137,6 +138,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 def identify(docs: DataFrame, profiles: Profiles, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (the cosine, 0 at least) for every row."""
+    prepare(docs.sparkSession)
     # one vector per language
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 

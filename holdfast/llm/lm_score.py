@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import blocks, quoted
+from holdfast.llm.common import blocks, prepare, quoted
 
 #: vocabulary: 0 is the boundary, the last one stands for every rarer character
 SYMBOLS = 128
@@ -100,7 +100,7 @@ def losses(counts: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means per token) and score, for every row of ``docs``."""
-    context = docs.sparkSession.sparkContext
+    context = prepare(docs.sparkSession).sparkContext
     source = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
     present = source.filter("text IS NOT NULL")
     symbols = context.broadcast(vocabulary(present))

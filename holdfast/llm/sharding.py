@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import packed, quoted, unpacked, written
+from holdfast.llm.common import packed, prepare, quoted, unpacked, written
 
 #: at most this many buckets, which grow instead: their offsets (24 bytes each) are broadcast
 MAX_BUCKETS = 1_000_000
@@ -61,6 +61,7 @@ def shard(
 ) -> DataFrame:
     """All columns of ``docs`` plus ``shard`` (int, from 0) and ``slot`` (long, from 0 without a gap in each shard). Buckets
     have about ``bucket_bytes``; from 8 TB on, MAX_BUCKETS of them are larger (100 MB each at 100 TB)."""
+    prepare(docs.sparkSession)
     buckets = shuffled(docs, seed, bucket_bytes, doc_id, text)
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
     # one narrow row per bucket, not per document

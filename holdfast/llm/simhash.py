@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import packed, quoted, unpacked, written
+from holdfast.llm.common import packed, prepare, quoted, unpacked, written
 from holdfast.operators.stable import stable
 
 BITS = 64
@@ -92,6 +92,7 @@ def fingerprints(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("digest"), pa.array(values.view(np.int64))], ["doc_id", "digest", "fp"])
 
+    prepare(docs.sparkSession)
     source = docs.select(quoted(doc_id).cast("long").alias("doc_id"), text_digest(text).alias("digest"), quoted(text).cast("string").alias("text"))
     return source.mapInArrow(score, "doc_id long, digest string, fp long")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import blocks, held_out, packed, quoted, unpacked
+from holdfast.llm.common import blocks, held_out, packed, prepare, quoted, unpacked
 
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 8_000
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -322,6 +322,7 @@ def score_texts(texts: list[str], emissions: Emissions):
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, n_tokens, toxic_tokens (expected) and the spans' code point offsets, for every row."""
+    prepare(docs.sparkSession)
     # a sample's features: bounded like the sample
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -341,6 +342,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below the threshold."""
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
