@@ -66,11 +66,10 @@ def rates(docs: DataFrame, alpha: float, weights: dict[str | None, float] | None
         given = docs.sparkSession.createDataFrame(list(weights.items()), "source string, weight double")
         sizes = sizes.join(given, sizes["source"].eqNullSafe(given["source"]), "left").select(
             sizes["source"], "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    sums = sizes.agg(F.sum("size").alias("sizes"), F.sum("weight").alias("weights"))
-    out = F.lit(float(total)) if total is not None else F.col("sizes").cast("double")
-    rate = F.col("weight") / F.col("weights") * out / F.col("size")
-    # sums is one row
-    return sizes.join(F.broadcast(sums)).select("source", F.when(F.col("weights") > 0, rate).otherwise(0.0).alias("rate"))
+    sums = sizes.agg(F.struct(F.sum("size").alias("sizes"), F.sum("weight").alias("weights"))).scalar()
+    out = F.lit(float(total)) if total is not None else sums.getField("sizes").cast("double")
+    rate = F.col("weight") / sums.getField("weights") * out / F.col("size")
+    return sizes.select("source", F.when(sums.getField("weights") > 0, rate).otherwise(0.0).alias("rate"))
 
 
 def mix(
