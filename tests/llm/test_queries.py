@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 import compare
 import corpus_pipeline
 from holdfast.llm import oracles, queries, toxicity
+from holdfast.llm.common import written
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_simhash import brute_fingerprint, brute_groups
 
@@ -47,7 +48,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "mixing", "sharding"]
 
     scores = toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).collect()
-    mild = stages["toxicity"](spark, docs, sf_dir)
+    mild = written(stages["toxicity"](spark, docs, sf_dir), "mild")
     text = {r["doc_id"]: r["text"] for r in mild.collect()}
     assert set(text) == {r["doc_id"] for r in scores if r["score"] < 0.5}
 
@@ -56,11 +57,11 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
 
     items = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     single = mild.filter(mild["doc_id"].isin(sorted(kept)))
-    pure = stages["benchmark_decontamination"](spark, single, sf_dir)
+    pure = written(stages["benchmark_decontamination"](spark, single, sf_dir), "pure")
     expected = {i for i in kept if not any(contaminated(text[i], x) for x in items)}
     assert {r["doc_id"] for r in pure.collect()} == expected and pure.columns == docs.columns
 
-    mixed = stages["mixing"](spark, pure, sf_dir)
+    mixed = written(stages["mixing"](spark, pure, sf_dir), "mixed")
     assert mixed.columns == docs.columns
     size = Counter()
     for r in pure.collect():
