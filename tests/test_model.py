@@ -109,6 +109,27 @@ def test_planted_signal_is_found(spark):
     assert odd.toArray().tolist() == [0.0, 0.0]
 
 
+def test_the_shipped_setting_once(spark, sf_dir):
+    """300 trees on the smallest tables: one fit serves every consumer of the bundle."""
+    from holdfast.plans import dashboards
+    from holdfast.sources.tpch import clean_tables
+
+    t = clean_tables(spark, sf_dir)
+    fit = m.fitted(t)
+    assert fit is m.fitted(t) and fit.models[m.FOREST].stages[1].getNumTrees == 300
+    assert {r["model"] for r in m.metrics_report(t).collect()} == {m.LOGISTIC, m.FOREST}
+    scores = m.scores(t).collect()
+    assert len(scores) == t.customers.join(t.subscriptions, "customer_id").select("customer_id").distinct().count()
+    tier = lambda p: "High" if p >= 0.7 else "Medium" if p >= 0.4 else "Low"
+    assert all(0 <= r["churn_probability"] <= 1 and r["risk_level"] == tier(r["churn_probability"]) for r in scores)
+    tiers = {r["risk_level"]: r["customers"] for r in m.risk_distribution(t).collect()}
+    assert sum(tiers.values()) == len(scores)
+    parts = {r["retention_priority"]: r["customers"] for r in m.priority_report(t).collect()}
+    assert sum(parts.values()) == m.worklist_report(t).count() == m.revenue_at_risk_total(t).first()["active_customers"]
+    assert dashboards.worklist_filtered(t).count() == parts.get(PRIORITY_LABELS[0], 0)
+    assert clean_tables(spark, sf_dir).once("fit", lambda: None) is None  # other tables, other fit
+
+
 # table values of the two distributions
 @pytest.mark.parametrize("t,df,p", [(2.228, 10, 0.05), (2.845, 20, 0.01), (1.96, 1e6, 0.05), (12.706, 1, 0.05), (0.0, 5, 1.0)])
 def test_t_tail(t, df, p):
