@@ -15,19 +15,27 @@ SELECT doc_id,
 FROM d
 """
 
-OP4 = r"""
+# the control strings and how they are broken, as in the formatter's rule
+_CONTROL = (
+    r"(<)(\||s>|/s>|<SYS>>|</SYS>>|bos>|eos>|pad>|unk>|start_of_turn>|end_of_turn>)"
+    r"|(\[)(INST\]|/INST\]|SYSTEM_PROMPT\]|/SYSTEM_PROMPT\]|AVAILABLE_TOOLS\]|/AVAILABLE_TOOLS\]"
+    r"|TOOL_CALLS\]|TOOL_RESULTS\]|/TOOL_RESULTS\])"
+)
+
+
+def _escaped_chars(text: str) -> str:
+    return rf"length(regexp_replace({text}, '{_CONTROL}', '\1\3\\\2\4', 'g'))"
+
+
+OP4 = rf"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 escaped AS (
   SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
-         length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\' || chr(10)),
-           '(<)(\||s>|/s>|<SYS>>|</SYS>>|bos>|eos>|pad>|unk>|start_of_turn>|end_of_turn>)|(\[)(INST\]|/INST\]|SYSTEM_PROMPT\]|/SYSTEM_PROMPT\]|AVAILABLE_TOOLS\]|/AVAILABLE_TOOLS\]|TOOL_CALLS\]|TOOL_RESULTS\]|/TOOL_RESULTS\])',
-           '\1\3\\\2\4', 'g')) AS role_chars,
-         length(regexp_replace(replace(text, '\', '\\'),
-           '(<)(\||s>|/s>|<SYS>>|</SYS>>|bos>|eos>|pad>|unk>|start_of_turn>|end_of_turn>)|(\[)(INST\]|/INST\]|SYSTEM_PROMPT\]|/SYSTEM_PROMPT\]|AVAILABLE_TOOLS\]|/AVAILABLE_TOOLS\]|TOOL_CALLS\]|TOOL_RESULTS\]|/TOOL_RESULTS\])',
-           '\1\3\\\2\4', 'g')) AS text_chars
+         {_escaped_chars(r"replace(replace(role, '\', '\\'), chr(10), '\' || chr(10))")} AS role_chars,
+         {_escaped_chars(r"replace(text, '\', '\\')")} AS text_chars
   FROM rows_)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
