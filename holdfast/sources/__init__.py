@@ -1,3 +1,3 @@
-from holdfast.sources.tables import Tables, read_tables, write_table, register_views
+from holdfast.sources.tables import Tables, read_tables, register_views, unreadable, write_table
 
-__all__ = ["Tables", "read_tables", "write_table", "register_views"]
+__all__ = ["Tables", "read_tables", "register_views", "unreadable", "write_table"]
