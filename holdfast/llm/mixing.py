@@ -59,7 +59,8 @@ def uniform(seed: int, doc_id: Column, text: Column) -> tuple[Column, Column]:
 def rates(docs: DataFrame, alpha: float, weights: dict[str | None, float] | None, total: float | None, source: str, text: str) -> DataFrame:
     """source, rate: mean number of copies of a document of that source."""
     size = F.greatest(F.coalesce(F.char_length(quoted(text)), F.lit(0)), F.lit(1)).cast("long")
-    sizes = docs.groupBy(quoted(source).cast("string").alias("source")).agg(F.sum(size).alias("size"))
+    # one row per source, read for its own rate and for the sums
+    sizes = stable(docs.groupBy(quoted(source).cast("string").alias("source")).agg(F.sum(size).alias("size")))
     if weights is None:
         sizes = sizes.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(alpha)))
     else:
