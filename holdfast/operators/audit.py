@@ -80,9 +80,10 @@ def mark_known(df: DataFrame, key: str, parents: DataFrame, flag: str) -> DataFr
     return df.join(known, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def known_rows(df: DataFrame, key: str, parents: DataFrame) -> DataFrame:
+def known_rows(df: DataFrame, key: str, parents: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Rows whose key the parent has. The unknown keys are found among the distinct ones; they are few, so that adaptive
-    execution can take them to the rows instead of shuffling the rows."""
-    used = df.select(key).where(F.col(key).isNotNull()).distinct()
+    execution can take them to the rows instead of shuffling the rows. ``source``: a table with all keys of ``df`` that is
+    cheaper to read."""
+    used = (df if source is None else source).select(key).where(F.col(key).isNotNull()).distinct()
     unknown = used.join(parents.select(key).distinct(), key, "left_anti")
     return df.where(F.col(key).isNotNull()).join(unknown, key, "left_anti")

@@ -138,7 +138,8 @@ def clean_transactions(t: Tables, dedupe_after_repair: bool = False) -> Cleaned:
         first = single.unionByName(keep_first(several, TXN_KEY, _order(raw, "transaction_id")).drop(COPIES))
         if not dedupe_after_repair:
             first = repair(first)
-        known = known_rows(known_rows(first, "subscription_id", t.subscriptions), "customer_id", t.customers)
+        known = known_rows(first, "subscription_id", t.subscriptions, raw)
+        known = known_rows(known, "customer_id", t.customers, raw)
         return known.withColumn("payment_status", F.coalesce("payment_status", F.lit(UNKNOWN_PAYMENT))).select(
             *[col for col in t.transactions.columns if col != "ingest_ord"])
 
