@@ -48,17 +48,6 @@ def first_order(df: DataFrame, key: str) -> Column:
     return F.struct("ingest_ord", key)
 
 
-def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The keys that more than one row has, found by a hash aggregate over the key columns alone."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-
-
-def join_keys(df: DataFrame, found: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Semi or anti join in which missing key values equal each other."""
-    other = found.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    return df.join(other, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), how)
-
-
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key in ``order`` plus the number of rows it stands for (column ``_copies``).
 

@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from holdfast.functions.business import ACTIVE, CANCELLED, CHARGE, is_cancelled
 from holdfast.functions.scalars import is_all_lower, is_all_upper, pct, title_case
 from holdfast.operators.audit import (
-    COPIES, Check, audit, first_order, join_keys, keep_first, known_rows, mark_known, repeated_keys,
+    COPIES, Check, audit, first_order, keep_first, known_rows, mark_known,
 )
 from holdfast.operators.quantiles import exact_median
-from holdfast.operators.stable import stable
 from holdfast.sources.tables import Tables
 
 # Bounds, fill labels and the key of a repeated charge.
@@ -131,11 +130,7 @@ def clean_transactions(t: Tables, dedupe_after_repair: bool = False) -> Cleaned:
 
     def table() -> DataFrame:
         rows = repair(raw) if dedupe_after_repair else raw
-        # few keys repeat: their rows alone are compared with each other
-        repeated = stable(repeated_keys(rows, TXN_KEY))
-        single = join_keys(rows, repeated, TXN_KEY, "left_anti")
-        several = join_keys(rows, repeated, TXN_KEY, "left_semi")
-        first = single.unionByName(keep_first(several, TXN_KEY, _order(raw, "transaction_id")).drop(COPIES))
+        first = keep_first(rows, TXN_KEY, _order(raw, "transaction_id")).drop(COPIES)
         if not dedupe_after_repair:
             first = repair(first)
         known = known_rows(first, "subscription_id", t.subscriptions, raw)
