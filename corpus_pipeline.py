@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import decontaminate, mixing, sharding, simhash, toxicity
+from holdfast.llm import decontaminate, mixing, near_copies, sharding, toxicity
 from holdfast.llm.common import prepare, table, written
 
 
@@ -14,8 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: three-word shingles, two differing bits."""
-    return simhash.representatives(docs)
+    """One document of each group of near copies stays: SimHash candidates whose five-word similarity is 0.8 or more."""
+    return near_copies.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

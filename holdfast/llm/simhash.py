@@ -42,15 +42,10 @@ FRONTIER = 1 << 18
 
 def shingle_hashes(text: str, width: int):
     """Arrays of shingle hashes of a text, STEP shingles at a time, so that a long text needs little memory."""
-    text = text.translate(LOWER)
-    if len(text) < 1 << 20:
-        chunks = [WORD.findall(text)]
-    else:
-        chunks = _word_chunks(text, STEP)
     tail: list[str] = []
     some = False
     digest = xxhash.xxh64_intdigest
-    for chunk in chunks:
+    for chunk in word_chunks(text):
         words = tail + chunk
         if len(words) >= width:
             some = True
@@ -62,6 +57,12 @@ def shingle_hashes(text: str, width: int):
         yield np.array([digest(" ".join(tail), SEED)], np.uint64)
 
 
+def word_chunks(text: str):
+    """Lists of the words of a text, all at once or STEP at a time if it is long."""
+    text = text.translate(LOWER)
+    return [WORD.findall(text)] if len(text) < 1 << 20 else _word_chunks(text, STEP)
+
+
 def _word_chunks(text: str, size: int):
     chunk: list[str] = []
     for m in WORD.finditer(text):
@@ -144,21 +145,25 @@ def deeper_pairs(rows: DataFrame, depth: int, budget: int) -> DataFrame:
     return spread.select(*_pair(own, other), "fp")
 
 
-def trie_links(nodes: DataFrame, budget: int = 2, node_rows: int = 8192) -> DataFrame:
+def trie_links(nodes: DataFrame, budget: int = 2, node_rows: int = 8192, head: tuple[int, int] = (0, 0), joined=None) -> DataFrame:
     """Links (u, v) that join all fingerprints of ``nodes`` (one column fp, distinct) within ``budget`` bits.
 
-    Every link is found; those that a task can tell to be implied by others of its own are left out."""
+    Every link is found; those that a task can tell to be implied by others of its own are left out. With ``head`` = (bits,
+    errors) only pairs are followed whose first bits differ in so many at most. ``joined`` (rows, depth, budget) replaces
+    what the tasks return."""
+    joined = joined or _joined
     depth = max(0, math.ceil(math.log2(max(1, nodes.count()) / node_rows)))
-    rows, done = start_pairs(nodes, depth, budget), []
+    at = lambda d: head[1] if d <= head[0] else budget
+    rows, done = start_pairs(nodes, depth, at(depth)), []
     while True:
         # a self pair of a full node shrinks by a level at least; distinct fingerprints end at 64 bits
         sizes = rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") > 8 * node_rows)
         full = stable(sizes.select("a", "b"))
         if depth + LEVEL_BITS > BITS or full.isEmpty():
-            done.append(_joined(rows, depth, budget))
+            done.append(joined(rows, depth, budget))
             break
-        done.append(_joined(rows.join(full, ["a", "b"], "left_anti"), depth, budget))
-        rows = stable(deeper_pairs(rows.join(full, ["a", "b"], "left_semi"), depth, budget))
+        done.append(joined(rows.join(full, ["a", "b"], "left_anti"), depth, budget))
+        rows = stable(deeper_pairs(rows.join(full, ["a", "b"], "left_semi"), depth, at(depth + LEVEL_BITS)))
         depth += LEVEL_BITS
     links = done[0]
     for more in done[1:]:
@@ -315,8 +320,13 @@ def representatives(
 ) -> DataFrame:
     """One row of ``docs``, all columns, for each component: the one with the smallest doc_id (null ids last), of several
     rows with that id the one with the smallest text digest, of rows equal in both any one."""
+    return first_rows(docs, grouped(docs, width, budget, doc_id, text, node_rows), doc_id, text)
+
+
+def first_rows(docs: DataFrame, named: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The chosen row of each ``root`` of ``named`` (doc_id, digest, root for every row of ``docs``)."""
     choice = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("ident"), "digest")
-    chosen = grouped(docs, width, budget, doc_id, text, node_rows).groupBy("root").agg(F.min(choice).alias("c")).select("c.*")
+    chosen = named.groupBy("root").agg(F.min(choice).alias("c")).select("c.*")
     ident = quoted(doc_id).cast("long")
     rows = docs.select(
         packed(docs).alias("row"), ident.isNull().alias("none"), F.coalesce(ident, F.lit(0).cast("long")).alias("ident"),
