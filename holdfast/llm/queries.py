@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import chat, decontaminate, exact_dedup, language, lm_score, mixing, sharding, simhash, toxicity, url_filter
+from holdfast.llm import chat, decontaminate, exact_dedup, language, mixing, sharding, simhash, term_score, toxicity, url_filter
 from holdfast.llm.common import held_out, table
 
 
@@ -77,7 +77,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the target is what people have labelled as good
     good = table(spark, sf_dir, "labels").filter("quality = 1")
-    return lm_score.score(table(spark, sf_dir, "documents"), good)
+    return term_score.score(table(spark, sf_dir, "documents"), good)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
