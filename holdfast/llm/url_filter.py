@@ -4,7 +4,8 @@ A list is a table of dated events: entry, action (``add`` or ``remove``), listed
 subdomains) or a host with leading path segments and a closing slash (it covers everything below). Events of one entry
 follow each other; each holds until the next one, so the ``add`` events with the date that ends them are the intervals in
 which the entry is active: ``valid_from`` inclusive, ``valid_to`` exclusive, null while it still holds. Of events on the
-same date ``remove`` comes last and so wins; repeated events count once.
+same date ``remove`` comes last and so wins; repeated events count once. Hosts of entries and captures are compared, and
+come back, in lower case and without a closing dot; an IPv6 address in brackets is one label. Paths stay as they are.
 
 A capture has one candidate key per host suffix of two or more labels (or the host itself) and per leading path; the as-of
 join is an equi-join on the key with the fetch time inside the interval. All rows come back, in DataFrame functions only.
@@ -23,19 +24,29 @@ from holdfast.llm.common import quoted, written
 
 #: intervals of about 80 bytes each
 BROADCAST_INTERVALS = 300_000
-AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
 
+def _plain(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), r"\.$", "")
+
+
 def host(url: Column) -> Column:
-    """Host in lower case; null where the URL has none."""
-    return F.nullif(F.lower(F.regexp_extract(url, AUTHORITY, 1)), F.lit(""))
+    """Host in lower case, without a closing dot; null where the URL has none."""
+    return F.nullif(_plain(F.regexp_extract(url, AUTHORITY, 1)), F.lit(""))
+
+
+def normal_entry(entry: Column) -> Column:
+    """A list entry with its host as ``host`` writes it."""
+    return F.concat(_plain(F.regexp_extract(entry, r"^[^/]*", 0)), F.regexp_extract(entry, r"/[\s\S]*$", 0))
 
 
 def _suffixes(name: Column) -> Column:
     labels = F.split(name, r"\.")
     n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    return F.when(name.startswith("["), F.array(name)).otherwise(suffixes)
 
 
 def _paths(name: Column, url: Column) -> Column:
@@ -52,6 +63,7 @@ def candidate_keys(url: Column) -> Column:
 def intervals(events: DataFrame) -> DataFrame:
     """entry, valid_from, valid_to of every time span in which an entry is active."""
     known = events.filter(F.col("action").isin("add", "remove") & F.col("entry").isNotNull() & F.col("listed_at").isNotNull())
+    known = known.withColumn("entry", normal_entry(F.col("entry")))
     # of one date remove wins; repeated events meet here before any window
     daily = known.groupBy("entry", "listed_at").agg(F.max("action").alias("action"))
     after = F.lead("listed_at").over(Window.partitionBy("entry").orderBy("listed_at"))

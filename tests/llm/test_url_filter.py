@@ -43,6 +43,21 @@ def test_edges(spark):
     assert not any(r["blocked"] for r in url_filter.judge(pages, events.limit(0)).collect())
 
 
+def test_hosts_of_entries_and_captures_are_written_alike(spark):
+    events = spark.createDataFrame([
+        ("Bad.COM", "add", D(2024, 1, 1)), ("bad.com.", "remove", D(2024, 2, 1)), ("Dot.net./Spam/", "add", D(2024, 1, 1)),
+        ("[2001:DB8::1]", "add", D(2024, 1, 1)), ("[::ffff:1.2.3.4]", "add", D(2024, 1, 1)),
+    ], "entry string, action string, listed_at date")
+    pages = [
+        (1, "http://www.bad.com/", D(2024, 1, 5)), (2, "http://BAD.com./", D(2024, 1, 5)), (3, "http://bad.com/", D(2024, 2, 5)),
+        (4, "http://dot.net/Spam/x", D(2024, 1, 5)), (5, "http://dot.net/spam/x", D(2024, 1, 5)), (6, "http://[2001:db8::1]:80/", D(2024, 1, 5)),
+        (7, "http://[2001:db8::2]/", D(2024, 1, 5)), (8, "http://u@[::FFFF:1.2.3.4]/a/", D(2024, 1, 5)), (9, "http://[::1.2.3.4]/", D(2024, 1, 5)),
+    ]
+    out = {r["page_id"]: r for r in url_filter.judge(frame(spark, pages), events).collect()}
+    assert {i for i, r in out.items() if r["blocked"]} == {1, 2, 4, 6, 8}
+    assert (out[2]["host"], out[7]["host"], out[4]["entry"]) == ("bad.com", "[2001:db8::2]", "dot.net/Spam/")
+
+
 def test_the_plan_has_no_python(spark, sf_dir):
     from holdfast.llm.queries import op7_exact_dedup, op10_url_filter
 
