@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import chat, decontaminate, exact_dedup, language, mixing, sharding, simhash, spelling, term_score, toxicity, url_filter
+from holdfast.llm import chat, decontaminate, exact_dedup, language, lexical, mixing, sharding, simhash, spelling, term_score, toxicity, url_filter
 from holdfast.llm.common import held_out, table
 
 
@@ -119,6 +119,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages.withColumn("fetched_at", day), block_list(pages))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
@@ -134,5 +138,6 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
+    "op11_search": op11_search,
     "op12_spelling": op12_spelling,
 }
