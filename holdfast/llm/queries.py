@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import chat, decontaminate, exact_dedup, language, lexical, mixing, sharding, simhash, spelling, term_score, toxicity, url_filter
+from holdfast.llm import chat, decontaminate, exact_dedup, language, lexical, mixing, sharding, simhash, spelling, suffixes, term_score, toxicity, url_filter
 from holdfast.llm.common import held_out, table
 
 
@@ -127,6 +127,13 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", suffixes.removed_bytes().cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -140,4 +147,5 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_search": op11_search,
     "op12_spelling": op12_spelling,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }

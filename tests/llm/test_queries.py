@@ -25,7 +25,7 @@ def test_equals_sql(spark, sf_dir, key):
 def test_registered(spark):
     known = entry.queries()
     assert {*queries.QUERIES, "pipeline"} <= set(known)
-    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 13)}
+    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_sharding_query(spark, sf_dir):
