@@ -1,3 +1,3 @@
-from holdfast.sources.tables import Tables, read_tables, register_views, unreadable, write_table
+from holdfast.sources.tables import Tables, broken_records, read_tables, register_views, unreadable, write_table
 
-__all__ = ["Tables", "read_tables", "register_views", "unreadable", "write_table"]
+__all__ = ["Tables", "broken_records", "read_tables", "register_views", "unreadable", "write_table"]

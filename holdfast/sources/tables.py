@@ -89,11 +89,22 @@ class Tables:
         return self["customer_campaign_interactions"]
 
 
+#: holds a CSV record that has more or fewer values than the header
+BROKEN = "_broken_record"
+_CSV = {"header": True, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+
+
 def read_tables(
-    spark: SparkSession, folder: str, fmt: str = "csv", as_of: dt.date = DEFAULT_AS_OF, ingest_order: bool = False
+    spark: SparkSession, folder: str, fmt: str = "csv", as_of: dt.date = DEFAULT_AS_OF, ingest_order: bool = False,
+    mixed_headers: bool = False, multiline: bool = False,
 ) -> Tables:
     """Open ``folder/<table>`` (parquet) or ``folder/<table>.csv`` with the declared schema, never inferring types.
 
+    CSV columns are found by the names in the header, in any order; further columns are passed over and a missing one is an
+    error. All files of a table must have one header, else the read fails, unless ``mixed_headers`` matches file by file. A
+    record with more or fewer values than its header is left out; ``broken_records`` counts these. ``multiline`` allows line
+    breaks inside quotes, at the price of reading each file in one task.
+
     ``ingest_order`` adds the position in the files as ``ingest_ord`` to customers and transactions, so that
     "keep the first occurrence" means what it means for a file. Whole numbers in CSV may be written as ``34.0``, as they
     are once a column had a missing value; ``unreadable`` counts what no type can read.
@@ -101,22 +112,61 @@ def read_tables(
 
     def opener(name: str) -> Callable[[], DataFrame]:
         def load() -> DataFrame:
+            ordered = ingest_order and name in ("customers", "transactions")
             if fmt == "csv":
-                df = _csv_text(spark, folder, name)
-            else:
-                df = spark.read.schema(SCHEMAS[name]).format(fmt).load(f"{folder}/{name}")
-            if ingest_order and name in ("customers", "transactions"):
-                df = with_ingest_order(df)
-            return df.withColumns({f.name: typed(f) for f in SCHEMAS[name]}) if fmt == "csv" else df
+                df = csv_records(spark, folder, name, mixed_headers, multiline, ordered).filter(F.col(BROKEN).isNull()).drop(BROKEN)
+                return df.withColumns({f.name: typed(f) for f in SCHEMAS[name]})
+            df = spark.read.schema(SCHEMAS[name]).format(fmt).load(f"{folder}/{name}")
+            return with_ingest_order(df) if ordered else df
 
         return load
 
     return Tables({name: opener(name) for name in SCHEMAS}, as_of)
 
 
-def _csv_text(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in SCHEMAS[name]])
-    return spark.read.schema(text).option("header", True).csv(f"{folder}/{name}.csv")
+def csv_records(
+    spark: SparkSession, folder: str, name: str, mixed_headers: bool = False, multiline: bool = False, ingest_order: bool = False,
+) -> DataFrame:
+    """Every record of a table's CSV files: its declared columns as text, by header name, and ``BROKEN``."""
+    path = f"{folder}/{name}.csv"
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for part in _csv_files(spark, path) if mixed_headers else [path]:
+        groups.setdefault(tuple(_header(spark, part)), []).append(part)
+    return reduce(DataFrame.unionByName, [_by_header(spark, name, header, paths, multiline, ingest_order) for header, paths in groups.items()])
+
+
+def _csv_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a table, from its folder's listing; no contents are read."""
+    return sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    return spark.read.options(**_CSV).csv(path).columns
+
+
+def _by_header(spark: SparkSession, name: str, header: tuple[str, ...], paths: list[str], multiline: bool, ingest_order: bool) -> DataFrame:
+    plain = [c.removeprefix("\ufeff").strip().lower() for c in header]
+    missing = [f.name for f in SCHEMAS[name] if f.name not in plain]
+    if missing:
+        raise ValueError(f"{name}: no column {', '.join(missing)} in the header of {paths[0]}")
+    text = T.StructType([T.StructField(c, T.StringType()) for c in [*header, BROKEN]])
+    # enforceSchema: a file whose header differs fails instead of being read by position; columnPruning: a record is compared
+    # with the whole header whatever columns a plan needs
+    df = spark.read.schema(text).options(**_CSV, enforceSchema=False, columnPruning=False, multiLine=multiline).csv(paths)
+    columns = [F.col("`" + header[plain.index(f.name)].replace("`", "``") + "`").alias(f.name) for f in SCHEMAS[name]]
+    # Spark refuses plans that need the broken record alone, as a count of the good ones does: it comes with another column
+    broken = F.when(F.coalesce(F.octet_length(F.col("`" + header[0].replace("`", "``") + "`")), F.lit(0)) >= 0, F.col(BROKEN))
+    return df.select(*[_position()] * ingest_order, *columns, broken.alias(BROKEN))
+
+
+def broken_records(spark: SparkSession, folder: str, mixed_headers: bool = False, multiline: bool = False) -> DataFrame:
+    """(table_name, records, broken, example): how many records of each table's CSV files have more or fewer values than their
+    header and are therefore in no table; one pass over each file."""
+    def one(name: str) -> DataFrame:
+        return csv_records(spark, folder, name, mixed_headers, multiline).agg(
+            F.lit(name).alias("table_name"), F.count("*").alias("records"), F.count(BROKEN).alias("broken"), F.min(BROKEN).alias("example"))
+
+    return reduce(DataFrame.unionByName, [one(name) for name in SCHEMAS])
 
 
 def typed(field: T.StructField) -> Column:
@@ -134,11 +184,11 @@ def typed(field: T.StructField) -> Column:
     return text.try_cast(field.dataType)
 
 
-def unreadable(spark: SparkSession, folder: str) -> DataFrame:
+def unreadable(spark: SparkSession, folder: str, mixed_headers: bool = False, multiline: bool = False) -> DataFrame:
     """(table_name, column_name, unreadable, example): per column of the CSV files the values that are there but cannot be
-    read in the declared type; one pass over each file. Columns without any are left out."""
+    read in the declared type; one pass over each file. Columns without any, and broken records, are left out."""
     def one(name: str) -> DataFrame:
-        raw = _csv_text(spark, folder, name)
+        raw = csv_records(spark, folder, name, mixed_headers, multiline).filter(F.col(BROKEN).isNull())
         lost = {f.name: F.col(f.name).isNotNull() & (F.trim(f.name) != "") & typed(f).isNull() for f in SCHEMAS[name]}
         cells = raw.agg(*[
             F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.count_if(bad).alias("unreadable"),
@@ -152,18 +202,21 @@ def unreadable(spark: SparkSession, folder: str) -> DataFrame:
 
 def with_ingest_order(df: DataFrame) -> DataFrame:
     """Add the file, the offset of the split and the row position inside it, which sort in file order."""
-    position = F.struct(
+    return df.select(_position(), *df.columns)
+
+
+def _position() -> Column:
+    return F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"),
         F.monotonically_increasing_id().alias("row"),
-    )
-    return df.select(position.alias("ingest_ord"), *df.columns)
+    ).alias("ingest_ord")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """Overwrite ``path``; every task writes its own part file."""
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("dateFormat", "yyyy-MM-dd")
+        writer = writer.option("header", True).option("escape", '"').option("dateFormat", "yyyy-MM-dd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
