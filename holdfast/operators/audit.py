@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from holdfast.functions.scalars import pct
 
@@ -62,6 +63,53 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     )
 
 
+def key_digest(keys: Sequence[str]) -> dict[str, Column]:
+    """Two 64-bit digests of a key as columns ``_d1`` and ``_d2``; missing values count."""
+    absent = F.concat(*[F.when(F.col(k).isNull(), "1").otherwise("0") for k in keys])
+    return {"_d1": F.xxhash64(*keys, absent), "_d2": F.xxhash64(F.lit("second"), absent, *keys)}
+
+
+def first_of_repeated(df: DataFrame, keys: Sequence[str], key: str) -> DataFrame:
+    """First row per key, for a table in which few keys repeat; what "first" means says ``first_order(df, key)``.
+
+    A hash aggregate over digests of the key finds the repeated ones and their first place. Rows of all other keys stream
+    past these few by an adaptive anti-join and are never shuffled; only the repeated keys' first rows are reduced further.
+    NULL keys form a group of their own. Rows with the same key and place are told apart by their remaining columns."""
+    place = first_order(df, key)
+    digests = list(key_digest(keys))
+    tagged = df.withColumns({**key_digest(keys), "_place": place})
+    seen = tagged.groupBy(*digests).agg(F.count("*").alias(COPIES), F.min("_place").alias("_least"))
+    repeated = seen.where(F.col(COPIES) > 1).select(*digests, "_least")
+    same = [tagged[d] == repeated[d] for d in digests]
+    alone = tagged.join(repeated, [*same, repeated["_least"].isNotNull()], "left_anti")
+    firsts = tagged.join(repeated, [*same, tagged["_place"] == repeated["_least"]], "left_semi")
+    rest = [c for c in df.columns if c not in keys]
+    tie = Window.partitionBy(*digests).orderBy(*rest)
+    # copies that are equal in all columns are one row before they are ordered
+    picked = firsts.distinct().withColumn("_n", F.row_number().over(tie)).where("_n = 1")
+    return alone.select(*df.columns).unionByName(picked.select(*df.columns))
+
+
+def unknown_codes(df: DataFrame, parents: dict[str, DataFrame]) -> DataFrame:
+    """(_code): the values of several key columns that no parent has, from one pass over the keys; see ``rows_without``."""
+    used = df.select(F.explode(F.array(*[_code(c, i, len(parents)) for i, c in enumerate(parents)])).alias("_code"))
+    held = reduce(DataFrame.unionAll, [t.select(_code(c, i, len(parents)).alias("_code")) for i, (c, t) in enumerate(parents.items())])
+    return used.where("_code IS NOT NULL").distinct().join(held.distinct(), "_code", "left_anti")
+
+
+def _code(column: str, number: int, columns: int) -> Column:
+    """A key and the number of its column as one value."""
+    return F.col(column).cast("decimal(20,0)") * columns + number
+
+
+def rows_without(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows all of whose key columns are known; unknown codes are few, so that adaptive execution takes them to the rows."""
+    out = df
+    for i, column in enumerate(columns):
+        out = out.where(F.col(column).isNotNull()).join(codes, _code(column, i, len(columns)) == codes["_code"], "left_anti")
+    return out
+
+
 def mark_known(df: DataFrame, key: str, parents: DataFrame, flag: str) -> DataFrame:
     """Add ``flag``: true where ``key`` occurs in the parent's column of the same name."""
     known = parents.select(key).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))

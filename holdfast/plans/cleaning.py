@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from holdfast.functions.business import ACTIVE, CANCELLED, CHARGE, is_cancelled
 from holdfast.functions.scalars import is_all_lower, is_all_upper, pct, title_case
 from holdfast.operators.audit import (
-    COPIES, Check, audit, first_order, keep_first, known_rows, mark_known,
+    COPIES, Check, audit, first_of_repeated, first_order, keep_first, known_rows, mark_known, rows_without, unknown_codes,
 )
 from holdfast.operators.quantiles import exact_median
 from holdfast.sources.tables import Tables
@@ -130,11 +130,11 @@ def clean_transactions(t: Tables, dedupe_after_repair: bool = False) -> Cleaned:
 
     def table() -> DataFrame:
         rows = repair(raw) if dedupe_after_repair else raw
-        first = keep_first(rows, TXN_KEY, _order(raw, "transaction_id")).drop(COPIES)
+        first = first_of_repeated(rows, TXN_KEY, "transaction_id")
         if not dedupe_after_repair:
             first = repair(first)
-        known = known_rows(first, "subscription_id", t.subscriptions, raw)
-        known = known_rows(known, "customer_id", t.customers, raw)
+        parents = {"subscription_id": t.subscriptions, "customer_id": t.customers}
+        known = rows_without(first, unknown_codes(raw, parents), list(parents))
         return known.withColumn("payment_status", F.coalesce("payment_status", F.lit(UNKNOWN_PAYMENT))).select(
             *[col for col in t.transactions.columns if col != "ingest_ord"])
 
