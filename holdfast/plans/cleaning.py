@@ -75,17 +75,34 @@ def clean_customers(t: Tables) -> Cleaned:
             F.coalesce("referral_source", F.lit(NO_REFERRAL)).alias("referral_source"),
         )
 
+    flags = ["_upper_country", "_lower_gender", "_bad_age", "_no_age", "_no_gender", "_no_country", "_no_referral"]
+
+    def flagged_only() -> DataFrame:
+        """The first rows' flags alone, as one whole number per customer, which Spark reduces by hash."""
+        if "ingest_ord" not in raw.columns:
+            # nothing but the remaining columns tells which row is the first
+            return flagged.withColumn("_no_age", c("age").isNull())
+        rows = raw.withColumns({
+            "_upper_country": is_all_upper("country"), "_lower_gender": is_all_lower("gender"), "_bad_age": bad_age,
+            "_no_age": c("age").isNull() | bad_age, "_no_gender": c("gender").isNull(), "_no_country": c("country").isNull(),
+            "_no_referral": c("referral_source").isNull(),
+        })
+        bits = reduce(Column.__add__, [F.coalesce(c(f), F.lit(False)).cast("int") * (1 << i) for i, f in enumerate(flags)])
+        first = rows.select("customer_id", bits.alias("_bits"), first_order(raw, "customer_id").alias("_place")).groupBy("customer_id").agg(
+            F.min_by("_bits", "_place").alias("_bits"), F.count("*").alias(COPIES))
+        return first.withColumns({f: c("_bits").bitwiseAND(1 << i) > 0 for i, f in enumerate(flags)})
+
     checks = [
         Check("duplicate_customers", F.sum(c(COPIES) - 1), F.sum(COPIES), "first row kept", "customer_id is the natural key"),
         Check("country_case", _n(c("_upper_country")), _rows(), "title case", "sources differ in letter case"),
         Check("gender_case", _n(c("_lower_gender")), _rows(), "title case", "manual entry"),
         Check("invalid_age", _n(c("_bad_age")), _rows(), "set missing, then imputed", "outside the human range"),
-        Check("missing_age", _n(c("age").isNull()), _rows(), "median of the region", "needed for age bands"),
+        Check("missing_age", _n(c("_no_age")), _rows(), "median of the region", "needed for age bands"),
         Check("missing_gender", _n(c("_no_gender")), _rows(), "label Unknown", "no value is invented"),
         Check("missing_country", _n(c("_no_country")), _rows(), "label Unknown", "keeps the revenue history"),
         Check("missing_referral", _n(c("_no_referral")), _rows(), "label Not Captured", "optional attribute"),
     ]
-    return Cleaned(table, lambda: audit(flagged, checks))
+    return Cleaned(table, lambda: audit(flagged_only(), checks))
 
 
 def clean_subscriptions(t: Tables) -> Cleaned:
@@ -139,43 +156,76 @@ def clean_transactions(t: Tables, dedupe_after_repair: bool = False) -> Cleaned:
             *[col for col in t.transactions.columns if col != "ingest_ord"])
 
     def audit_rows() -> DataFrame:
-        # only key columns and a code of the first row's status are moved: 0 missing, 1 refunded, 2 any other
-        status = F.when(c("payment_status").isNull(), 0).when(c("payment_status") == "Refunded", 1).otherwise(2)
-        rows = raw.select(*TXN_KEY, status.alias("status"), first_order(raw, "transaction_id").alias("place"))
-        if dedupe_after_repair:
-            fixed = (c("transaction_type") == CHARGE) & (c("amount") < 0) & (c("status") != 1)
-            rows = rows.withColumn("negative", fixed.cast("int")).withColumn("amount", F.when(fixed, F.abs("amount")).otherwise(c("amount")))
-        else:
-            rows = rows.withColumn("negative", F.lit(0))
-        first = rows.groupBy(*TXN_KEY).agg(
-            F.count("*").alias(COPIES), F.min_by("status", "place").alias("status"), F.min_by("negative", "place").alias("negative"))
-        if not dedupe_after_repair:
-            found = (c("transaction_type") == CHARGE) & (c("amount") < 0) & (c("status") != 1)
-            first = first.withColumn("negative", found.cast("int"))
-        # one row per subscription and customer meets the parents
-        counts = first.groupBy("subscription_id", "customer_id").agg(
-            F.sum(COPIES).alias(COPIES), F.count("*").alias("rows"), F.sum("negative").alias("negative"),
-            F.count_if(c("status") == 0).alias("no_status"))
-        flagged = mark_known(
-            mark_known(counts, "subscription_id", t.subscriptions, "_sub_ok"), "customer_id", t.customers, "_cust_ok")
-        of = lambda condition, n: F.sum(F.when(condition, c(n)))
-        known = of(c("_sub_ok"), "rows")
-        return audit(flagged, [
-            Check("duplicate_transactions", F.sum(c(COPIES) - c("rows")), F.sum(COPIES), "first row kept", "repeated billing event"),
-            Check("orphan_subscription", of(~c("_sub_ok"), "rows"), F.sum(COPIES), "excluded", "no subscription to attribute to"),
-            Check("negative_charge", of(c("_sub_ok"), "negative"), known, "absolute value", "sign error at the source"),
-            Check("missing_payment_status", of(c("_sub_ok"), "no_status"), known, "label Unknown", "row kept, status flagged"),
-            Check("orphan_customer", of(c("_sub_ok") & ~c("_cust_ok"), "rows"), known, "excluded", "no customer to attribute to"),
-        ])
+        counts = mark_known(_transaction_counts(t, dedupe_after_repair), "customer_id", t.customers, "_cust_ok")
+        return audit(counts, _transaction_checks())
 
     return Cleaned(table, audit_rows)
 
 
-def _keyed_counts(rows: DataFrame, customers: DataFrame, **missing: str) -> DataFrame:
-    """Rows and missing values per customer, flagged by whether the customer is known; a hot customer is one row."""
-    counts = rows.groupBy("customer_id").agg(
-        F.count("*").alias("rows"), *[F.count_if(F.col(column).isNull()).alias(name) for name, column in missing.items()])
-    return mark_known(counts, "customer_id", customers, "_cust_ok")
+def _transaction_counts(t: Tables, dedupe_after_repair: bool = False) -> DataFrame:
+    """What the audit counts of the deduplicated transactions, per customer and whether the subscription is known."""
+    c = F.col
+    raw = t.transactions
+    # only key columns and a code of the first row's status are moved: 0 missing, 1 refunded, 2 any other
+    status = F.when(c("payment_status").isNull(), 0).when(c("payment_status") == "Refunded", 1).otherwise(2)
+    rows = raw.select(*TXN_KEY, status.alias("status"), first_order(raw, "transaction_id").alias("place"))
+    if dedupe_after_repair:
+        fixed = (c("transaction_type") == CHARGE) & (c("amount") < 0) & (c("status") != 1)
+        rows = rows.withColumn("negative", fixed.cast("int")).withColumn("amount", F.when(fixed, F.abs("amount")).otherwise(c("amount")))
+    else:
+        rows = rows.withColumn("negative", F.lit(0))
+    first = rows.groupBy(*TXN_KEY).agg(
+        F.count("*").alias(COPIES), F.min_by("status", "place").alias("status"), F.min_by("negative", "place").alias("negative"))
+    if not dedupe_after_repair:
+        found = (c("transaction_type") == CHARGE) & (c("amount") < 0) & (c("status") != 1)
+        first = first.withColumn("negative", found.cast("int"))
+    # one row per subscription and customer meets the subscriptions
+    counts = first.groupBy("subscription_id", "customer_id").agg(
+        F.sum(COPIES).alias("txn_copies"), F.count("*").alias("txn_rows"), F.sum("negative").alias("txn_negative"),
+        F.count_if(c("status") == 0).alias("txn_no_status"))
+    flagged = mark_known(counts, "subscription_id", t.subscriptions, "_sub_ok")
+    figures = ["txn_copies", "txn_rows", "txn_negative", "txn_no_status"]
+    return flagged.groupBy("customer_id", "_sub_ok").agg(*[F.sum(x).alias(x) for x in figures])
+
+
+def _transaction_checks() -> list[Check]:
+    c = F.col
+    of = lambda condition, n: F.sum(F.when(condition, c(n)))
+    known = of(c("_sub_ok"), "txn_rows")
+    return [
+        Check("duplicate_transactions", F.sum(c("txn_copies") - c("txn_rows")), F.sum("txn_copies"), "first row kept", "repeated billing event"),
+        Check("orphan_subscription", of(~c("_sub_ok"), "txn_rows"), F.sum("txn_copies"), "excluded", "no subscription to attribute to"),
+        Check("negative_charge", of(c("_sub_ok"), "txn_negative"), known, "absolute value", "sign error at the source"),
+        Check("missing_payment_status", of(c("_sub_ok"), "txn_no_status"), known, "label Unknown", "row kept, status flagged"),
+        Check("orphan_customer", of(c("_sub_ok") & ~c("_cust_ok"), "txn_rows"), known, "excluded", "no customer to attribute to"),
+    ]
+
+
+def _keyed_counts(rows: DataFrame, prefix: str, **missing: str) -> DataFrame:
+    """Rows and missing values per customer; a hot customer is one row."""
+    return rows.groupBy("customer_id").agg(
+        F.count("*").alias(f"{prefix}_rows"),
+        *[F.count_if(F.col(column).isNull()).alias(f"{prefix}_{name}") for name, column in missing.items()])
+
+
+def _activity_counts(t: Tables) -> DataFrame:
+    return _keyed_counts(t.activity, "act", no_minutes="session_minutes", no_features="feature_usage_count")
+
+
+def _activity_checks() -> list[Check]:
+    return [
+        Check("missing_minutes", F.sum("act_no_minutes"), F.sum("act_rows"), "median", "tracking gaps"),
+        Check("missing_features", F.sum("act_no_features"), F.sum("act_rows"), "0", "no event means no usage"),
+        Check("orphan_activity", F.sum(F.when(~F.col("_cust_ok"), F.col("act_rows"))), F.sum("act_rows"), "excluded", "no customer to attribute to"),
+    ]
+
+
+def _interaction_counts(t: Tables) -> DataFrame:
+    return _keyed_counts(t.interactions, "int")
+
+
+def _interaction_checks() -> list[Check]:
+    return [Check("orphan_interactions", F.sum(F.when(~F.col("_cust_ok"), F.col("int_rows"))), F.sum("int_rows"), "excluded", "no customer to attribute to")]
 
 
 def clean_activity(t: Tables) -> Cleaned:
@@ -189,13 +239,7 @@ def clean_activity(t: Tables) -> Cleaned:
             "feature_usage_count": F.coalesce("feature_usage_count", F.lit(0)),
         }).select(*t.activity.columns)
 
-    checks = [
-        Check("missing_minutes", F.sum("no_minutes"), F.sum("rows"), "median", "tracking gaps"),
-        Check("missing_features", F.sum("no_features"), F.sum("rows"), "0", "no event means no usage"),
-        Check("orphan_activity", F.sum(F.when(~c("_cust_ok"), c("rows"))), F.sum("rows"), "excluded", "no customer to attribute to"),
-    ]
-    return Cleaned(table, lambda: audit(
-        _keyed_counts(t.activity, t.customers, no_minutes="session_minutes", no_features="feature_usage_count"), checks))
+    return Cleaned(table, lambda: audit(mark_known(_activity_counts(t), "customer_id", t.customers, "_cust_ok"), _activity_checks()))
 
 
 def clean_tickets(t: Tables) -> Cleaned:
@@ -221,13 +265,13 @@ def clean_tickets(t: Tables) -> Cleaned:
 
 def clean_interactions(t: Tables) -> Cleaned:
     """The audit has a row only if something was excluded."""
-    c = F.col
-    checks = [
-        Check("orphan_interactions", F.sum(F.when(~c("_cust_ok"), c("rows"))), F.sum("rows"), "excluded", "no customer to attribute to"),
-    ]
     return Cleaned(
         lambda: known_rows(t.interactions, "customer_id", t.customers).select(*t.interactions.columns),
-        lambda: audit(_keyed_counts(t.interactions, t.customers), checks).where(c("affected") > 0))
+        lambda: _only_found(audit(mark_known(_interaction_counts(t), "customer_id", t.customers, "_cust_ok"), _interaction_checks())))
+
+
+def _only_found(rows: DataFrame) -> DataFrame:
+    return rows.where((F.col("issue") != "orphan_interactions") | (F.col("affected") > 0))
 
 
 CLEANERS: dict[str, Callable[[Tables], Cleaned]] = {
@@ -274,8 +318,14 @@ def audit_of(table: str, *issues: str) -> Callable[[Tables], DataFrame]:
 
 
 def quality_report(t: Tables) -> DataFrame:
-    """All audit rows of all tables."""
-    return reduce(DataFrame.unionByName, [clean(t).audit() for clean in CLEANERS.values()])
+    """All audit rows of all tables. The tables that refer to customers are reduced to counts per customer, which meet the
+    customers together: each table is read once, customers and subscriptions once more as parents."""
+    alone = [CLEANERS[name](t).audit() for name in ("customers", "subscriptions", "support_tickets")]
+    # columns of one table are empty in the rows of the others, so sums pass them over
+    counts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_transaction_counts(t), _activity_counts(t), _interaction_counts(t)])
+    together = audit(
+        mark_known(counts, "customer_id", t.customers, "_cust_ok"), [*_transaction_checks(), *_activity_checks(), *_interaction_checks()])
+    return reduce(DataFrame.unionByName, [*alone, _only_found(together)])
 
 
 def quality_totals(t: Tables) -> DataFrame:
