@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from holdfast.plans import (
     association, behaviour, churn, churn_model, cleaning, cohorts, customer_view, customers, dashboards, exploration, features,
-    kpi, quality, revenue, rfm, value_at_risk,
+    kpi, model_checks, quality, records, revenue, rfm, value_at_risk,
 )
 from holdfast.plans.cleaning import audit_of
 from holdfast.sources.tables import Tables
@@ -153,13 +153,18 @@ SCORED: dict[str, Plan] = {
     "m02_one_hot": churn_model.one_hot_report,
     "m03_class_weight": churn_model.class_weight_report,
     "m04_logistic": churn_model.logistic_report,
+    "m04_coefficients": model_checks.coefficients,
+    "m04_optimality": model_checks.optimality_check,
     "m05_random_forest": churn_model.forest_report,
+    "m05_forest_nodes": model_checks.forest_nodes,
+    "m05_forest_walk": model_checks.forest_walk_check,
     "m06_metrics": churn_model.metrics_report,
     "m07_confusion": churn_model.confusion_report,
     "m07_class_report": churn_model.class_report_table,
     "m08_roc_curve": churn_model.roc_report,
     "m09_feature_importance": churn_model.importance_report,
     "m09_top_features": churn_model.top_importance_report,
+    "m09_importance_check": model_checks.importance_check,
     "m10_select_best": churn_model.best_model_report,
     "m11_score_customers": churn_model.scores_report,
     "m12_risk_distribution": churn_model.risk_distribution,
@@ -169,6 +174,7 @@ SCORED: dict[str, Plan] = {
     "m15_priority_worklist": churn_model.worklist_report,
     "m15_worklist_top10": churn_model.worklist_top,
     "m16_run_summary": churn_model.run_summary,
+    "m16_summary_rows": records.summary_rows,
     "k15_revenue_at_risk": kpi.measure("revenue_at_risk"),
     "k22_high_risk_customers": kpi.measure("high_risk_customers"),
     "k23_high_value_at_risk": kpi.measure("high_value_at_risk"),
@@ -176,6 +182,7 @@ SCORED: dict[str, Plan] = {
     "k25_dynamic_risk_level": kpi.dynamic_risk_level,
     "k25_risk_level_sweep": kpi.risk_level_sweep,
     "k27_headline_json": kpi.headline_json,
+    "k27_json_rows": records.snapshot_rows,
     "d06_risk_by_plan_region": dashboards.risk_by_plan_region,
     "d09_worklist_filtered": dashboards.worklist_filtered,
     "dq13_derived_grain": dashboards.derived_grain,
@@ -187,11 +194,13 @@ def _fixed(plan: Plan) -> Plan:
     return lambda t: plan(t.once("fixed", lambda: churn_model.with_fixed_formula(t)))
 
 
-# everything that follows from a score; importances need the trained forest, the snapshot repeats others
-SCORED.update({
-    f"{key}_fixed": _fixed(plan) for key, plan in list(SCORED.items())
-    if key not in ("m01_split", "m02_preprocess", "m02_one_hot", "m03_class_weight", "m09_feature_importance", "m09_top_features", "m16_run_summary", "k27_headline_json")
-})
+# what needs no score or the trained models themselves, and records whose rows have a twin
+_NO_TWIN = (
+    "m01_split", "m02_preprocess", "m02_one_hot", "m03_class_weight", "m04_coefficients", "m04_optimality", "m05_forest_nodes",
+    "m05_forest_walk", "m09_feature_importance", "m09_top_features", "m09_importance_check", "m16_run_summary", "k27_headline_json",
+)
+# everything that follows from a score
+SCORED.update({f"{key}_fixed": _fixed(plan) for key, plan in list(SCORED.items()) if key not in _NO_TWIN})
 
 # plans over the tables as they arrive, defects included
 RAW: dict[str, Plan] = {

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle.base import CTES, rnd, sql
-from oracle.measures import CTES as _  # noqa: F401  the split these start from
+from oracle import analysis, measures
 
 LOGISTIC, FOREST = "Logistic Regression", "Random Forest"
 
@@ -49,7 +49,41 @@ CELLS = """SELECT m.model, v.churn, w.prediction, (SELECT COUNT(*) FROM guesses
 PAIRS = """SELECT CAST(h AS DOUBLE) / 100 AS high, CAST(m AS DOUBLE) / 100 AS medium
     FROM range(50, 91, 5) a(h), range(20, 61, 5) b(m)"""
 
+# names of the models' inputs: the numbers, then every category value of the training rows
+INPUTS = " UNION ALL ".join([
+    *[f"SELECT '{c}' AS feature" for c in measures.NUMERIC],
+    *[f"SELECT DISTINCT '{c}_' || {c} FROM train_rows WHERE {c} IS NOT NULL" for c in ("acquisition_channel", "plan_name", "billing_cycle")]])
+
+
+def _cells(source: str, section: str, names, item: str = "") -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, {item + ' || ' if item else ''}'{'.' if item else ''}{n}' AS item, CAST({n} AS DOUBLE) AS value, "
+        f"CAST(NULL AS VARCHAR) AS label FROM {source}" for n in names)
+
+
+METRICS = ("accuracy", "precision", "recall", "f1_score", "roc_auc")
+SUMMARY_ROWS = f"""SELECT 'best_model' AS section, 'model' AS item, CAST(NULL AS DOUBLE) AS value, model AS label FROM chosen
+    UNION ALL SELECT 'risk', 'total_revenue_at_risk', {rnd('SUM(revenue_at_risk)')}, NULL FROM valued
+    UNION ALL SELECT 'risk', LOWER(level) || '_risk_customers', CAST((SELECT COUNT(*) FROM risky WHERE risk_level = level) AS DOUBLE), NULL
+      FROM (VALUES ('High'), ('Medium'), ('Low')) v(level)
+    UNION ALL SELECT 'threshold', name, bound, NULL FROM (VALUES ('high', 0.7::DOUBLE), ('medium', 0.4::DOUBLE)) v(name, bound)
+    UNION ALL {_cells('judged', 'comparison', METRICS, 'model')}"""
+SNAPSHOT_ROWS = " UNION ALL ".join([
+    _cells(f"({measures.QUERIES['k27_headline_snapshot']}) a", "headline", (
+        "total_customers", "churned_customers", "active_customers", "total_subscriptions", "total_transactions", "overall_churn_rate_pct",
+        "churn_monthly_pct", "churn_annual_pct", "total_revenue", "arpu", "annualized_revenue_lost_to_churn")),
+    f"SELECT 'churn_by_plan', plan_name, churn_rate_pct, NULL FROM ({analysis.QUERIES['e07_churn_by_plan_cust']}) b",
+    _cells(f"({analysis.QUERIES['r04_segment_summary']}) c", "segments", ("customers", "total_revenue", "churn_rate", "pct_of_customers", "pct_of_revenue"), "segment"),
+    SUMMARY_ROWS,
+])
+
 QUERIES: dict[str, str] = {
+    # the checks of the trained models: nothing may differ
+    "m04_optimality": sql("SELECT feature, TRUE AS flat FROM inputs UNION ALL SELECT 'intercept', TRUE", inputs=INPUTS),
+    "m05_forest_walk": sql("SELECT COUNT(*) AS rows, 0::BIGINT AS differing FROM split_rows WHERE split = 'test'"),
+    "m09_importance_check": sql("SELECT feature, TRUE AS agrees FROM inputs", inputs=INPUTS),
+    "m16_summary_rows_fixed": sql(SUMMARY_ROWS),
+    "k27_json_rows_fixed": sql(SNAPSHOT_ROWS),
     "m02_one_hot": sql("""SELECT feature, value, n, CAST(ROW_NUMBER() OVER (PARTITION BY feature ORDER BY n DESC, value) - 1 AS INTEGER) AS position FROM (
         SELECT 'acquisition_channel' AS feature, acquisition_channel AS value, COUNT(*) AS n FROM train_rows GROUP BY ALL
         UNION ALL SELECT 'plan_name', plan_name, COUNT(*) FROM train_rows GROUP BY ALL
