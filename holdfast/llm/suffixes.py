@@ -11,15 +11,17 @@ behind its anchor that all its strings hold (``lead``), and of all bytes that it
 
 1. A lead that occurs once: none of the stretch's strings is repeated. These are most of a clean text.
 2. A hull that occurs twice or more: all of the stretch's strings are repeated. This is the inside of copies.
-3. Left are stretches whose lead meets other hulls: the ends of copied passages. Every string start in them is a suffix of
-   the array, with one stretch standing for all of an equal hull. Suffixes are range-partitioned by their leading tokens (the
+3. Left are stretches whose lead meets other hulls: the ends of copied passages, with one stretch standing for all of an equal
+   hull. They are cut into blocks of ``BLOCK`` starts at equal distances from the anchor and judged once more in the same
+   way, a block's lead being all bytes that its strings have in common. The bytes of these stretches are written once.
+4. Every string start in the blocks still left is a suffix of the array. Suffixes are range-partitioned by their leading tokens (the
    first eight bytes, then two 64-bit digests of the whole string) with splitters that Spark samples, each bucket is sorted by
    multikey quicksort, and suffixes equal to a neighbour are repeated. The first and the last suffix of each bucket are
    compared with those of the buckets beside it, so a string that a third of all documents hold may fill many buckets.
 
 Hashes are told apart by 128 bits at least (lead with hull; the two digests). Counts are aggregated before they are shuffled;
 what is joined by a hot lead or hull is dealt out by adaptive execution. A text that repeats itself at short distance merges
-into few stretches.
+into few stretches, of which the first turn stands for all.
 
 Null texts are empty; empty and short texts lose nothing. Rows equal in id and text are copies of each other like any other;
 a null id is an id of its own. Texts of any length are read whole, in steps. An empty table gives an empty result. Other
@@ -41,12 +43,14 @@ LENGTH = 400
 GRAM = 24
 #: string starts of one numpy step
 STEP = 1 << 20
+#: string starts that are judged together in the second turn
+BLOCK = 16
 #: suffixes of a bucket
 BUCKET = 1 << 20
 #: suffixes below which a part is sorted by numpy
 PART = 1 << 12
-#: stretches or spans are broadcast up to this many (about 40 bytes each)
-BROADCAST_ROWS = 500_000
+#: stretches, or removed runs with their documents, are broadcast up to this many (about 40 bytes each)
+BROADCAST_ROWS = 2_000_000
 
 
 def window_of(length: int) -> int:
@@ -81,8 +85,8 @@ def anchors(data: np.ndarray, n: int, window: int) -> np.ndarray:
 
 
 def stretches(text: bytes, length: int):
-    """Arrays (first start, last start, lead, hull, occurrences) of a document, a step at a time. Of stretches with equal
-    hashes the first counts all, and those that touch are merged."""
+    """Arrays (first start, last start, last start of the first turn, anchor, lead, hull, occurrences) of a document, a step at
+    a time. Of stretches with equal hashes the first counts all, and those that touch are merged."""
     window, whole = window_of(length), len(text) - length + 1
     lead_bytes, digest = length - window + 1, xxhash.xxh64_intdigest
     for start in range(0, whole, STEP):
@@ -91,28 +95,39 @@ def stretches(text: bytes, length: int):
         anchor = anchors(np.frombuffer(part, np.uint8), n, window)
         first = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
         last = np.append(first[1:], n) - 1
-        view = memoryview(part)
-        spots = list(zip(first.tolist(), last.tolist(), anchor[first].tolist()))
+        anchor, view = anchor[first], memoryview(part)
+        spots = list(zip(first.tolist(), last.tolist(), anchor.tolist()))
         lead = np.array([digest(view[a:a + lead_bytes]) for _, _, a in spots], np.uint64)
         hull = np.array([digest(view[p:q + length], a - p) for p, q, a in spots], np.uint64)
-        yield merged(first + start, last + start, lead, hull)
+        yield merged(first + start, last + start, anchor + start, lead, hull)
 
 
-def merged(first, last, lead, hull):
+def merged(first, last, anchor, lead, hull):
     if len(np.unique(hull)) == len(hull):
-        return first, last, lead, hull, np.ones(len(hull), np.int64)
+        return first, last, last, anchor, lead, hull, np.ones(len(hull), np.int64)
     order = np.lexsort([first, hull, lead])
-    first, last, lead, hull = first[order], last[order], lead[order], hull[order]
+    first, last, anchor, lead, hull = first[order], last[order], anchor[order], lead[order], hull[order]
     new = np.append(True, (lead[1:] != lead[:-1]) | (hull[1:] != hull[:-1]))
     apart = new | np.append(True, first[1:] != last[:-1] + 1)
     head = np.flatnonzero(apart)
     counts = np.zeros(len(first), np.int64)
     starts = np.flatnonzero(new)
     counts[starts] = np.diff(np.append(starts, len(first)))
-    return first[head], last[np.append(head[1:], len(first)) - 1], lead[head], hull[head], counts[head]
+    return first[head], last[np.append(head[1:], len(first)) - 1], last[head], anchor[head], lead[head], hull[head], counts[head]
+
+
+def blocks(text: bytes, first: int, until: int, anchor: int, length: int):
+    """The same for the blocks of one stretch, whose bytes are ``text``: from its first start on."""
+    digest, view, rows = xxhash.xxh64_intdigest, memoryview(text), []
+    for k in range((anchor - until) // BLOCK, (anchor - first) // BLOCK + 1):
+        top = anchor - BLOCK * k
+        p, q = max(first, top - BLOCK + 1), min(until, top)
+        rows.append((p, q, q, anchor, digest(view[top - first:top - BLOCK + 1 + length - first], k), digest(view[p - first:q + length - first], anchor - p), 1))
+    return rows
 
 
 KEY = ["ident", "mark"]
+SPOT = "first int, last int, until int, anchor int, lead long, hull long, n long"
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -123,79 +138,123 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.xxhash64(body, ident.isNull()).alias("mark"))
 
 
+def spot_batch(batch: pa.RecordBatch, rows: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
+    at = pa.array(rows)
+    kinds = [np.int32] * 4 + [np.int64] * 3
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(c).take(at) for c in KEY), *(pa.array(x.astype(kind)) for x, kind in zip(found, kinds))],
+        [*KEY, *(c.split()[0] for c in SPOT.split(", "))])
+
+
 def stretch_table(source: DataFrame, length: int) -> DataFrame:
-    """ident, mark, first, last, lead, hull, n for every stretch of every document."""
+    """Every stretch of every document."""
 
     def find(batches):
         for batch in batches:
-            out, rows = [[] for _ in range(5)], []
+            out, rows = [[] for _ in range(7)], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                for found in stretches(text, length) if len(text) >= length else ():
+                for found in stretches(text, length):
                     for held, values in zip(out, found):
                         held.append(values)
                     rows.append(np.full(len(found[0]), k))
             if rows:
-                first, last, lead, hull, n = (np.concatenate(x) for x in out)
-                at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("ident").take(at), batch.column("mark").take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32()),
-                    pa.array(lead.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(n)], ["ident", "mark", "first", "last", "lead", "hull", "n"])
+                yield spot_batch(batch, np.concatenate(rows), [np.concatenate(x) for x in out])
 
     tall = source.select(*KEY, "text").filter(F.octet_length("text") >= length)
-    return tall.mapInArrow(find, "ident long, mark long, first int, last int, lead long, hull long, n long")
+    return tall.mapInArrow(find, f"ident long, mark long, {SPOT}")
 
 
 def sorted_out(table: DataFrame) -> DataFrame:
-    """ident, mark, first, last, repeated, open: stretches whose strings are all repeated, and those to be sorted."""
+    """The stretches of a written ``table`` that are ``repeated``, or ``open``: still to be judged."""
     # written, so that the join below has a shuffle of its own on either side and a hot lead can be split
     leads = written(table.groupBy("lead").agg(F.sum("n").alias("n")).filter("n > 1").select("lead"), "repeated_leads")
-    pick = F.xxhash64(*KEY, "first").alias("pick")
-    kept = written(table.join(leads, "lead").select("*", pick), "led_stretches")
+    kept = written(table.join(leads, "lead").withColumn("pick", F.xxhash64(*KEY, "first")), "led_stretches")
     hulls = written(kept.groupBy("lead", "hull").agg(F.sum("n").alias("times"), F.min("pick").alias("least")), "hulls")
     several = hulls.groupBy("lead").agg(F.count("*").alias("k")).filter("k > 1").select("lead", F.lit(True).alias("several"))
     several = written(several, "shared_leads")
-    open_hulls = written(hulls.join(several, "lead", "left").select("lead", "hull", "times", "least", "several"), "judged_hulls")
-    judged = kept.join(open_hulls, ["lead", "hull"])
-    stands = F.coalesce("several", F.lit(False)) & (F.col("pick") == F.col("least"))
-    found = judged.select(*KEY, "first", "last", (F.col("times") > 1).alias("repeated"), ((F.col("times") == 1) & F.coalesce("several", F.lit(False)) | stands).alias("open"))
-    return written(found.filter("repeated OR open"), "stretches")
+    hulls = written(hulls.join(several, "lead", "left").withColumn("several", F.coalesce("several", F.lit(False))), "judged_hulls")
+    stands = F.col("several") & ((F.col("times") == 1) | (F.col("pick") == F.col("least")))
+    judged = kept.join(hulls, ["lead", "hull"]).withColumns({"repeated": F.col("times") > 1, "open": stands})
+    return written(judged.filter("repeated OR open").drop("pick", "times", "least", "several", "lead", "hull", "n"), "judged_stretches")
 
 
-# --- suffixes ---------------------------------------------------------------------------------------------------------
+def with_rows(source: DataFrame, rows: DataFrame, keys: list[str], size: int, how: str) -> DataFrame:
+    """``source`` joined with ``rows``, which are broadcast if there are few."""
+    return source.join(F.broadcast(rows) if size <= BROADCAST_ROWS else rows, keys, how)
 
 
-TOKENS = ["lead", "high", "low"]
+def segments(source: DataFrame, judged: DataFrame, length: int) -> DataFrame:
+    """The open stretches of ``judged`` with their bytes, written."""
+
+    def cut_out(batches):
+        for batch in batches:
+            rows, spots, found = [], [], []
+            for k, (text, own) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spots").to_pylist())):
+                for x in own:
+                    rows.append(k)
+                    spots.append((x["first"], x["until"], x["anchor"]))
+                    found.append(text[x["first"]:x["until"] + length])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in KEY), *(pa.array(x, pa.int32()) for x in (zip(*spots) if spots else ((), (), ()))), pa.array(found, pa.binary())],
+                [*KEY, "first", "until", "anchor", "bytes"])
+
+    # rows equal in id and text have equal stretches
+    spots = judged.filter("open").groupBy(*KEY, "first", "until", "anchor").agg(F.lit(1).alias("one"))
+    per_text = written(spots.groupBy(*KEY).agg(F.collect_list(F.struct("first", "until", "anchor")).alias("spots")), "open_stretches")
+    size = per_text.agg(F.coalesce(F.sum(F.size("spots")), F.lit(0))).first()[0]
+    held = with_rows(source.select(*KEY, "text"), per_text, KEY, size, "inner")
+    return written(held.mapInArrow(cut_out, "ident long, mark long, first int, until int, anchor int, bytes binary"), "segments")
+
+
+def block_table(held: DataFrame, length: int) -> DataFrame:
+    """Every block of the segments; ``anchor`` is that of the segment, ``segment`` its first start."""
 
+    def find(batches):
+        for batch in batches:
+            rows, out = [], []
+            for k, x in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bytes", "first", "until", "anchor")))):
+                found = blocks(*x, length)
+                rows += [k] * len(found)
+                out += found
+            if rows:
+                own = spot_batch(batch, np.array(rows), [np.array(x, np.uint64).view(np.int64) for x in zip(*out)])
+                yield own.append_column("segment", batch.column("first").take(pa.array(rows)))
 
-def with_spans(source: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """``source`` with arrays firsts and lasts of the distinct ``spans`` of each document."""
-    spans = written(spans.groupBy(*KEY, "first", "last").agg(F.lit(1).alias("one")).drop("one"), "spans")
-    rows = spans.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans")).select(
-        *KEY, F.col("spans.first").alias("firsts"), F.col("spans.last").alias("lasts"))
-    return source.join(F.broadcast(rows) if spans.count() <= BROADCAST_ROWS else rows, KEY, how)
+    return held.mapInArrow(find, f"ident long, mark long, {SPOT}, segment int")
 
 
-def suffixes(source: DataFrame, spans: DataFrame, length: int) -> DataFrame:
-    """lead, high, low, ident, mark, start: every suffix that starts in a span."""
+# --- suffixes ---------------------------------------------------------------------------------------------------------
+
+
+TOKENS = ["lead", "high", "low"]
+
+
+def suffixes(held: DataFrame, judged: DataFrame, length: int) -> DataFrame:
+    """lead, high, low, ident, mark, start: every suffix that starts in an open block of ``judged``; ``held``: the segments."""
 
     def make(batches):
         for batch in batches:
-            for k, (text, firsts, lasts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "firsts", "lasts")))):
-                starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(firsts, lasts)])
+            rows, starts, eight, digests = [], [], [], []
+            for k, (text, first, blocks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bytes", "first", "blocks")))):
                 view = memoryview(text)
-                for low in range(0, len(starts), 1 << 16):
-                    part = starts[low:low + (1 << 16)]
-                    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[p:p + length]) for p in part.tolist()]), ">u8").astype(np.uint64).reshape(-1, 2)
-                    eight = np.ndarray(len(text) - 7, ">u8", text, strides=(1,))[part].astype(np.uint64)
-                    # signed numbers in the order of the bytes
-                    words = [(w ^ np.uint64(1 << 63)).view(np.int64) for w in (eight, digests[:, 0].copy(), digests[:, 1].copy())]
-                    same = pa.array(np.full(len(part), k))
-                    yield pa.RecordBatch.from_arrays(
-                        [*map(pa.array, words), batch.column("ident").take(same), batch.column("mark").take(same), pa.array(part, pa.int32())],
-                        [*TOKENS, *KEY, "start"])
-
-    held = with_spans(source.select(*KEY, "text"), spans, "inner")
-    return held.mapInArrow(make, "lead long, high long, low long, ident long, mark long, start int")
+                for x in blocks:
+                    for p in range(x["first"] - first, x["until"] - first + 1):
+                        rows.append(k)
+                        starts.append(p + first)
+                        eight.append(text[p:p + 8])
+                        digests.append(xxhash.xxh3_128_digest(view[p:p + length]))
+            words = np.frombuffer(b"".join(eight), ">u8").astype(np.uint64), *np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2).T
+            # signed numbers in the order of the bytes
+            words = [pa.array((w ^ np.uint64(1 << 63)).view(np.int64)) for w in words]
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*words, *(batch.column(c).take(at) for c in KEY), pa.array(starts, pa.int32())], [*TOKENS, *KEY, "start"])
+
+    per_segment = judged.filter("open").groupBy(*KEY, "segment").agg(F.collect_list(F.struct("first", "until")).alias("blocks"))
+    per_segment = written(per_segment.withColumnRenamed("segment", "first"), "open_blocks")
+    size = per_segment.agg(F.coalesce(F.sum(F.size("blocks")), F.lit(0))).first()[0]
+    found = with_rows(held.select(*KEY, "first", "bytes"), per_segment, [*KEY, "first"], size, "inner")
+    return found.mapInArrow(make, "lead long, high long, low long, ident long, mark long, start int")
 
 
 def multikey(tokens: list[np.ndarray]) -> np.ndarray:
@@ -253,42 +312,60 @@ def repeated_starts(found: DataFrame, n: int) -> DataFrame:
 # --- removal ----------------------------------------------------------------------------------------------------------
 
 
-def cut(text: bytes, firsts, lasts, length: int):
-    """Starts and ends of the removed runs, and the bytes that stay."""
-    steps = np.zeros(len(text) + 1, np.int32)
-    np.add.at(steps, np.asarray(firsts, np.int64), 1)
-    np.add.at(steps, np.asarray(lasts, np.int64) + length, -1)
-    gone = np.cumsum(steps)[:-1] > 0
-    turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-    return turns[0::2], turns[1::2], np.frombuffer(text, np.uint8)[~gone].tobytes()
+def runs_of(firsts: np.ndarray, lasts: np.ndarray, length: int):
+    """Starts and ends of the bytes that spans of string starts cover."""
+    order = np.argsort(firsts, kind="stable")
+    low, high = firsts[order], np.maximum.accumulate(lasts[order] + length)
+    new = np.append(True, low[1:] > high[:-1])
+    return low[new], high[np.append(np.flatnonzero(new)[1:], len(low)) - 1]
+
+
+def removed_runs(spans: DataFrame, length: int) -> DataFrame:
+    """ident, mark, starts, ends: the runs of bytes that go, written, a row for each document that loses any."""
+
+    def merge(batches):
+        for batch in batches:
+            starts, ends = [], []
+            for spots in batch.column("spans"):
+                found = spots.values
+                a, b = runs_of(*(found.field(c).to_numpy().astype(np.int64) for c in ("first", "last")), length)
+                starts.append(a)
+                ends.append(b)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(starts, longs), pa.array(ends, longs)], [*KEY, "starts", "ends"])
+
+    once = spans.groupBy(*KEY, "first", "last").agg(F.lit(1).alias("one"))
+    per_text = once.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return written(per_text.mapInArrow(merge, "ident long, mark long, starts array<long>, ends array<long>"), "removed_runs")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, starts and ends of the removed runs of bytes, and kept (the remaining bytes), for every row."""
     prepare(docs.sparkSession)
     source = keyed(docs, doc_id, text)
-    found = sorted_out(written(stretch_table(source, length), "all_stretches"))
-    span = found.select(*KEY, "first", "last", "repeated", "open")
-    wanted = span.filter("open").select(*KEY, "first", "last")
-    n = wanted.agg(F.sum(F.col("last") - F.col("first") + 1).alias("n")).first()["n"] or 0
-    single = repeated_starts(suffixes(source, wanted, length), n)
-    spans = span.filter("repeated").select(*KEY, "first", "last").unionByName(single)
+    judged = sorted_out(written(stretch_table(source, length), "all_stretches"))
+    held = segments(source, judged, length)
+    finer = sorted_out(written(block_table(held, length), "all_blocks"))
+    n = finer.filter("open").agg(F.sum(F.col("until") - F.col("first") + 1).alias("n")).first()["n"] or 0
+    spans = repeated_starts(suffixes(held, finer, length), n)
+    for found in (judged, finer):
+        spans = spans.unionByName(found.filter("repeated").select(*KEY, "first", "last"))
+    runs = removed_runs(spans, length)
+    size = runs.agg(F.coalesce(F.sum(F.size("starts") + 1), F.lit(0))).first()[0]
 
     def apply(batches):
         for batch in batches:
-            starts, ends, kept, sizes = [], [], [], []
-            for text, firsts, lasts in zip(*(batch.column(c).to_pylist() for c in ("text", "firsts", "lasts"))):
-                a, b, rest = cut(text, firsts, lasts, length) if firsts else ([], [], text)
-                starts.append(a)
-                ends.append(b)
-                kept.append(rest)
+            kept, sizes = [], []
+            for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends"))):
+                kept.append(b"".join([text[a:b] for a, b in zip([0, *ends], [*starts, len(text)])]) if starts else text)
                 sizes.append(len(text))
-            ints = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(starts, ints), pa.array(ends, ints), pa.array(kept, pa.binary())],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), batch.column("starts"), batch.column("ends"), pa.array(kept, pa.binary())],
                 ["doc_id", "n_bytes", "starts", "ends", "kept"])
 
-    marked = with_spans(source, spans, "left").select("doc_id", "text", "firsts", "lasts")
+    none = F.array().cast("array<long>")
+    marked = with_rows(source, runs, KEY, size, "left").select(
+        "doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"))
     return marked.mapInArrow(apply, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
