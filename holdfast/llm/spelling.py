@@ -46,8 +46,8 @@ HELD_WORDS = 400_000
 STEP_CHARS = 1 << 22
 
 BITS_PER_WORD, BLOCK_WORDS, PROBES = 16, 8, 6
-#: blocks of one filter row, 256 KB
-PIECE_BLOCKS = 4096
+#: blocks of one filter row, 16 KB
+PIECE_BLOCKS = 256
 #: bytes of filters that one round broadcasts
 FILTER_BYTES = 64 << 20
 #: words of this length and more share a filter
