@@ -6,13 +6,13 @@ token's probability of being toxic. A document's score is a logistic function of
 hold, how many for its length, and how sure it is that there is one; tokens of probability one half or more that follow
 each other are the reported spans.
 
-Learning reads a bounded sample of labelled documents outside the held-out fifth: at most ``SAMPLE_ROWS`` of each label, in
-the order of a hash of the id, of at most ``SAMPLE_CHARS`` code points. Labels are given for documents, so tokens are
-labelled first: a token of a toxic document is toxic if its word or one of its prefixes is found in far more toxic than
+Learning reads a bounded sample of labelled documents outside the held-out fifth: at most ``SAMPLE_ROWS`` whole texts of each
+label, in the order of a hash of the id, texts of at most ``SAMPLE_CHARS`` code points first, and as many longer ones as fit
+into ``SAMPLE_ROWS`` times ``SAMPLE_CHARS`` code points. Labels are given for documents, so tokens are labelled first: a token of a toxic document is toxic if its word or one of its prefixes is found in far more toxic than
 clean documents. Copies and near copies count once for that. Everything else covers all rows and whole texts.
 
-A null or empty text has no token and the score of none. Without any usable label every score is the share of toxic labels,
-or 0. Repeated rows are scored each; of contradicting labels of one document each counts. Extra columns are ignored.
+A null or empty text has no token and the score of none. Without usable texts of both labels nothing is learned: every score is
+the share of toxic labels, or 0, and ``reject`` keeps all rows. Repeated rows are scored each; of contradicting labels of one document each counts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,13 +151,19 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: st
         quoted(doc_id).cast("long").alias("doc_id"), quoted(label).cast("int").alias("label"))
     share = usable.agg(F.avg("label").alias("x")).first()["x"] or 0.0
     place = F.xxhash64(F.lit(1), "doc_id")
-    picked = [r for kind in (1, 0) for r in usable.filter(F.col("label") == kind).orderBy(place, "doc_id").limit(SAMPLE_ROWS).collect()]
+    body = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text")).withColumn("n", F.char_length("text"))
+    whole = SAMPLE_ROWS * SAMPLE_CHARS
+    sized = usable.join(body.select("doc_id", "n").filter(F.col("n").between(1, whole)).distinct(), "doc_id")
+    picked = []
+    for kind in (1, 0):
+        found = sized.filter(F.col("label") == kind).orderBy(F.col("n") > SAMPLE_CHARS, place, "doc_id", "n").limit(SAMPLE_ROWS).collect()
+        room = np.cumsum([r["n"] for r in found])
+        picked += [tuple(r) for r, used in zip(found, room) if used <= whole]
     # twice SAMPLE_ROWS ids at most
-    ids = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in picked], "doc_id long, label int"))
-    short = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text")).filter(
-        F.char_length("text").between(1, SAMPLE_CHARS))
+    ids = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, label int, n int"))
     # ids may repeat in docs: the bound holds for rows
-    rows = short.join(ids, "doc_id").orderBy(place, "doc_id", "label").limit(2 * SAMPLE_ROWS).select("text", "label").collect()
+    texts = body.join(ids, ["doc_id", "n"]).select("doc_id", "text", "label").distinct()
+    rows = texts.orderBy(place, "doc_id", "label", "text").limit(2 * SAMPLE_ROWS).select("text", "label").collect()
     return sorted({(r["text"], r["label"]) for r in rows}), share
 
 
@@ -341,8 +347,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below the threshold."""
+    """The rows of ``docs``, all columns, whose score is below the threshold; all of them if the model has learned nothing."""
     prepare(docs.sparkSession)
+    if not model.weights:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,3 +95,39 @@ def test_edges(spark):
         assert [r["n_tokens"] for r in rows if r["doc_id"] == 4] == [60_000]
         assert toxicity.score(edges.empty(spark), model).collect() == []
         assert set(toxicity.reject(docs, model).columns) == set(docs.columns)
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    rnd = np.random.default_rng(7)
+    words = ["".join(rnd.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    docs, labels = [], []
+    for i in range(120):
+        text = list(rnd.choice(words, 1300))
+        if i % 3 == 0:
+            for k in rnd.integers(0, 1300, 30):
+                text[k] = "scumbagged"
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(i % 3 == 0)))
+    assert min(len(x) for _, x in docs) > toxicity.SAMPLE_CHARS
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.weights
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(frame, model).collect()}
+    assert all((score[i] >= 0.5) == bool(y) for i, y in labels)
+
+
+def test_sample_keeps_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 10)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 20)
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * (5 if i < 5 else 60 if i < 200 else 500)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, toxic int")
+    rows, _ = toxicity.sample(docs, labels, "doc_id", "text", "toxic")
+    size = [len(x) for x, _ in rows]
+    assert len(rows) <= 10 and sum(size) <= 200 and min(size) < 20 < max(size) < 500
+
+
+def test_untrained_model_rejects_nothing(spark):
+    docs = spark.createDataFrame([(i, "some words") for i in range(5)], "doc_id long, text string")
+    for rows in ([(1, 1)], [(1, 1), (2, 1)], []):
+        model = toxicity.train(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+        assert toxicity.reject(docs, model).count() == 5
