@@ -8,7 +8,8 @@ centred on the mean of all prototypes, has the largest cosine with it.
 Counting first and multiplying once (trigram counts of a block of texts times the block's trigram vectors) gives exactly
 these sums. Training reads every document with a known language outside the held-out fifth; tasks return one partial sum per
 language. A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing could be learned.
-Texts of any length are used whole. Ties go to the first language in alphabetical order. Extra columns are ignored.
+Texts of any length are used whole. Ties go to the first language in alphabetical order. A language
+column of more than ``MOST_LANGUAGES`` values is refused. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ DIM = 1024
 SEED = 11
 #: trigrams whose vectors are held at once, and texts counted at once
 GRAM_STEP, TEXT_STEP = 4096, 128
+#: cells of a table of texts and trigrams that is counted at once
+DENSE_CELLS = 1 << 25
+#: a column with more values than this holds something else than languages
+MOST_LANGUAGES = 4096
 
 
 @functools.lru_cache(maxsize=4096)
@@ -83,9 +88,23 @@ def bundle(rows: int, grams: np.ndarray, owner: np.ndarray, index: np.ndarray) -
     out = np.zeros((rows, DIM), np.float32)
     if not len(grams):
         return out
-    count = np.bincount(owner * len(grams) + index, minlength=rows * len(grams)).reshape(rows, len(grams)).astype(np.float32)
+    if rows * len(grams) <= DENSE_CELLS:
+        count = np.bincount(owner * len(grams) + index, minlength=rows * len(grams)).reshape(rows, len(grams)).astype(np.float32)
+        for k in range(0, len(grams), GRAM_STEP):
+            out += count[:, k:k + GRAM_STEP] @ gram_vectors(grams[k:k + GRAM_STEP])
+        return out
+    # many trigrams: their occurrences in order, a step of trigrams at a time and as many texts as fit beside it
+    order = np.argsort(index, kind="stable")
+    owner, index = owner[order], index[order]
+    some = max(1, DENSE_CELLS // GRAM_STEP)
     for k in range(0, len(grams), GRAM_STEP):
-        out += count[:, k:k + GRAM_STEP] @ gram_vectors(grams[k:k + GRAM_STEP])
+        a, b = np.searchsorted(index, [k, k + GRAM_STEP])
+        vectors, width = gram_vectors(grams[k:k + GRAM_STEP]), min(GRAM_STEP, len(grams) - k)
+        for low in range(0, rows, some):
+            here = (owner[a:b] >= low) & (owner[a:b] < low + some)
+            cells = (owner[a:b][here] - low) * width + index[a:b][here] - k
+            high = min(rows, low + some)
+            out[low:high] += np.bincount(cells, minlength=(high - low) * width).reshape(high - low, width).astype(np.float32) @ vectors
     return out
 
 
@@ -123,7 +142,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     known = docs.filter(~held_out(quoted(doc_id)) & quoted(lang).isNotNull() & quoted(text).isNotNull())
     parts = known.select(quoted(text).cast("string").alias("text"), quoted(lang).cast("string").alias("lang")).mapInArrow(
         partial, "lang string, dim int, value double")
-    # one row per language: DIM numbers each
+    if known.select(quoted(lang)).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"column {lang} has more than {MOST_LANGUAGES} values")
+    # one row per language: DIM numbers each, at most MOST_LANGUAGES rows
     rows = parts.groupBy("lang", "dim").agg(F.sum("value").alias("value")).groupBy("lang").agg(
         F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v")).orderBy("lang").collect()
     languages = [r["lang"] for r in rows]

@@ -53,3 +53,18 @@ def test_edges(spark):
     nothing = language.learn(edges.empty(spark))
     assert nothing.languages == [] and {r["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"}
     assert language.identify(edges.empty(spark), profiles).collect() == []
+
+
+def test_many_trigrams_are_counted_in_steps(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x5200, 300))) for _ in range(40)]
+    whole = language.bundle(len(texts), *language.trigrams(texts))
+    monkeypatch.setattr(language, "DENSE_CELLS", 7 * language.GRAM_STEP)
+    assert np.array_equal(language.bundle(len(texts), *language.trigrams(texts)), whole)
+
+
+def test_a_column_that_holds_no_languages_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "text", f"v{i}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language.learn(docs)
