@@ -8,7 +8,10 @@ shuffled by a seeded hash of document and copy number.
 Without explicit weights a source's target is its size to the power ``alpha`` (1: as it is, 0: all sources equal). With
 weights, a source that is not named gets none. A null source is a source of its own. Null or empty texts have one code point
 for this purpose, so that a source of them has a size. Repeated rows get the same count each. Extra columns are carried
-along; an input column named ``copy`` is replaced. An empty table gives an empty result.
+along; an input column named ``copy`` is replaced where copies are numbered. An empty table gives an empty result.
+
+The shuffle's hash also takes the row's place in the input, so that a row repeated very often is scattered too. Counts hang
+on seed, id and text alone; the order of the output repeats for the same files and split size.
 """
 
 from __future__ import annotations
@@ -75,14 +78,15 @@ def rates(docs: DataFrame, alpha: float, weights: dict[str | None, float] | None
 
 def mix(
     docs: DataFrame, alpha: float = 0.5, weights: dict[str | None, float] | None = None, total: float | None = None,
-    seed: int = 20240229, doc_id: str = "doc_id", source: str = "source", text: str = "text",
+    seed: int = 20240229, doc_id: str = "doc_id", source: str = "source", text: str = "text", numbered: bool = True,
 ) -> DataFrame:
-    """The columns of ``docs`` and ``copy`` (from 1), one row per copy, in shuffled order. ``total``: code points of the
-    whole output, by default as many as come in."""
+    """The columns of ``docs`` and, if ``numbered``, ``copy`` (from 1), one row per copy, in shuffled order. ``total``: code
+    points of the whole output, by default as many as come in."""
     tables = stable(with_tables(rates(docs, alpha, weights, total, source, text)))
     key, u = uniform(seed, quoted(doc_id), quoted(text))
     name = quoted(source).cast("string")
-    rows = docs.select(packed(docs).alias("row"), name.isNull().alias("none"), F.coalesce(name, F.lit("")).alias("name"), key.alias("key"), u.alias("u"))
+    rows = docs.select(packed(docs).alias("row"), name.isNull().alias("none"), F.coalesce(name, F.lit("")).alias("name"), key.alias("key"), u.alias("u"),
+                       F.monotonically_increasing_id().alias("at"))
     known = tables.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "low", "cdf")
     cells = tables.agg(F.sum(F.size("cdf")).alias("n")).first()["n"] or 0
     if cells <= BROADCAST_CELLS:
@@ -90,8 +94,8 @@ def mix(
     below = F.size(F.filter(F.col("cdf"), lambda c: c < F.col("u")))
     # beyond the table's end the distribution is 1 but for rounding
     count = F.col("low") + F.least(below, F.size("cdf") - 1)
-    counted = rows.join(known, ["none", "name"]).select("row", "key", count.alias("count")).filter("count > 0")
-    copies = counted.select("row", "key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
-    placed = copies.withColumn("place", F.xxhash64(F.lit(seed), "key", "copy"))
+    counted = rows.join(known, ["none", "name"]).select("row", "key", "at", count.alias("count")).filter("count > 0")
+    copies = counted.select("row", "key", "at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
+    placed = copies.withColumn("place", F.xxhash64(F.lit(seed), "key", "copy", "at"))
     shuffled = placed.repartition("place").sortWithinPartitions("place")
-    return unpacked(shuffled, docs.columns, {"copy": F.col("copy")})
+    return unpacked(shuffled, docs.columns, {"copy": F.col("copy")} if numbered else {})

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from holdfast.llm import mixing
 from tests.llm import edges
@@ -52,3 +53,12 @@ def test_edges(spark):
     assert out.filter("source IS NULL").count() > 0 and out.filter("text IS NULL").count() > 0
     assert mixing.mix(edges.empty(spark)).collect() == []
     assert mixing.mix(docs, weights={"nowhere": 1.0}).collect() == []
+
+
+def test_equal_rows_are_scattered(spark):
+    docs = spark.createDataFrame([(1, "same", "a")] * 4000 + [(None, None, "a")] * 4000, "doc_id long, text string, source string").repartition(4)
+    mixed = mixing.mix(docs, alpha=1.0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [r["n"] for r in mixed.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) >= 8 and max(sizes) < 3 * sum(sizes) / len(sizes)
