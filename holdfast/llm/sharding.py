@@ -24,6 +24,8 @@ from holdfast.llm.common import packed, prepare, quoted, unpacked, written
 
 #: at most this many buckets, which grow instead: their offsets (24 bytes each) are broadcast
 MAX_BUCKETS = 1_000_000
+#: buckets of one task, on average
+TASK_BUCKETS = 4
 
 
 def permute(bucket: int, hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -52,7 +54,10 @@ def shuffled(docs: DataFrame, seed: int, bucket_bytes: int, doc_id: str, text: s
         moved = rows.select(["row", "bucket"]).take(pa.array(order))
         return moved.append_column("pos", pa.array(np.arange(len(order), dtype=np.int32))).select(arrow_names)
 
-    return written(scattered.groupBy("bucket").applyInArrow(one_bucket, out), "buckets")
+    # as many partitions as the buckets ask for, so that a task's share does not grow with the input
+    partitions = min(n_buckets, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_buckets // TASK_BUCKETS))
+    dealt = scattered.repartition(partitions, "bucket")
+    return written(dealt.groupBy("bucket").applyInArrow(one_bucket, out), "buckets")
 
 
 def shard(
