@@ -116,6 +116,13 @@ def mark_known(df: DataFrame, key: str, parents: DataFrame, flag: str) -> DataFr
     return df.join(known, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def orphans(df: DataFrame, key: str, parents: DataFrame) -> DataFrame:
+    """Rows whose key the parent does not have, a missing key included. The unknown keys are found among the distinct ones;
+    they are few, so that adaptive execution can take them to the rows instead of shuffling the rows."""
+    unknown = df.select(key).distinct().join(parents.select(key).distinct(), key, "left_anti")
+    return df.join(unknown, df[key].eqNullSafe(unknown[key]), "left_semi")
+
+
 def known_rows(df: DataFrame, key: str, parents: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Rows whose key the parent has. The unknown keys are found among the distinct ones; they are few, so that adaptive
     execution can take them to the rows instead of shuffling the rows. ``source``: a table with all keys of ``df`` that is

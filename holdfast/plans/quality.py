@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from holdfast.functions.business import CANCELLED, CHARGE
+from holdfast.operators.audit import orphans
 from holdfast.sources.schema import FOREIGN_KEYS, REQUIRED_COLUMNS, SCHEMAS, domain_checks
 from holdfast.sources.tables import Tables
 
@@ -31,12 +32,11 @@ def duplicate_customers(t: Tables) -> DataFrame:
 
 
 def orphan_subscriptions(t: Tables) -> DataFrame:
-    return t.subscriptions.join(t.customers.select("customer_id"), "customer_id", "left_anti").select("subscription_id")
+    return orphans(t.subscriptions, "customer_id", t.customers).select("subscription_id")
 
 
 def orphan_transactions(t: Tables) -> DataFrame:
-    parents = t.subscriptions.select("subscription_id")
-    return t.transactions.join(parents, "subscription_id", "left_anti").select("transaction_id")
+    return orphans(t.transactions, "subscription_id", t.subscriptions).select("transaction_id")
 
 
 def cancelled_without_date(t: Tables) -> DataFrame:
