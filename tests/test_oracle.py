@@ -27,7 +27,7 @@ def small_forest(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir, entry._file_state(spark, sf_dir))
     entry.BUNDLES[key] = t.given(fit=churn_model.Fitted(t, trees=20), split=churn_model.split_features(t))
     yield
-    del entry.BUNDLES[key]
+    entry.BUNDLES.clear()
 
 
 @pytest.mark.parametrize("key", KEYS)
