@@ -1,17 +1,19 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of letters and digits, lower-cased and hashed. A mask picks some positions of a stretch of tokens and ignores
+Tokens are runs of letters and digits, lower-cased and hashed; in scripts without blanks (Han, Kana, Thai, Lao, Khmer, Burmese)
+every character is a token. A mask picks some positions of a stretch of tokens and ignores
 the others; the hash of the picked ones is a seed. Seeds of the benchmark items and of the documents are joined, and around
 every hit the two texts are compared position by position: a document is contaminated by an item if some ``WINDOW``
 consecutive tokens of the item stand in it with at most ``MAX_SUBS`` of them replaced. The masks are complete for that: every
 window with so few replacements, wherever they are, keeps the picked positions of one of the masks somewhere.
 
-An item of six to twelve tokens must occur whole and unchanged; shorter items, null and empty texts are looked for nowhere
-and contain nothing. Repeated rows and items count like any other; hits of rows with the same doc_id are reported together.
+An item of three to twelve tokens must occur whole and unchanged; below six tokens its seed is the hash of the whole sequence.
+An item of one or two tokens is found only in a document that has no other tokens. Texts without tokens, null and empty ones
+are looked for nowhere and contain nothing. Repeated rows and items count like any other; hits of rows with the same doc_id are reported together.
 Documents of any length are read whole. Extra columns are ignored by ``contaminations`` and kept by ``clean``.
 
-Scale: the documents' seeds are first tested in their own task against a bitmap of the benchmark's seeds, which has a fixed
-size; what passes (all true hits, and the more others the larger the benchmark) is joined by Spark with the benchmark's
+Scale: the documents' seeds are first tested in their own task against a bitmap of the benchmark's seeds, of about
+``BITS_PER_SEED`` bits a seed and 32 MB at most; what passes (all true hits, and the more others the larger the benchmark) is joined by Spark with the benchmark's
 seeds, together with the tokens around it, so that no text is read or moved twice. A passage that a third of all documents
 share gives one key many rows, which adaptive execution splits.
 """
@@ -29,14 +31,21 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.common import blocks, packed, prepare, quoted, unpacked, written
 
+#: scripts without blanks between words
+DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 TOKEN = re.compile(r"[^\W_]+")
+MIXED_TOKEN = re.compile(rf"[^\W_{DENSE}]+|(?![\W_])[{DENSE}]")
+DENSE_RUN = re.compile(f"[{DENSE}]")
 WINDOW, MAX_SUBS = 13, 3
 #: complete for thirteen tokens with three replacements: tests try all 286 placements
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 4, 5), (0, 1, 6, 8, 9))
+#: whole sequences of short items, and the tokens from which one is looked for inside longer documents
+SHORT = tuple(tuple(range(n)) for n in range(1, 6))
+LEAST = 3
 #: tokens kept on each side of a hit
 REACH = WINDOW - 1
-#: bits of the bitmap of benchmark seeds: 4 MB
-BITMAP_BITS = 25
+#: bits of the bitmap of benchmark seeds per seed, and the least and most binary digits of a bit's number
+BITS_PER_SEED, LEAST_BITS, MOST_BITS = 32, 20, 28
 #: distinct tokens whose hashes a task remembers
 REMEMBER = 300_000
 #: digests of contaminated texts are broadcast up to this many (about 50 bytes each)
@@ -59,14 +68,15 @@ def token_hashes(texts: list[str], known: TokenHashes) -> tuple[np.ndarray, np.n
     parts = []
     for x in texts:
         x = x.lower()
-        tokens = TOKEN.findall(x) if len(x) < 1 << 20 else (m.group() for m in TOKEN.finditer(x))
+        token = TOKEN if x.isascii() or not DENSE_RUN.search(x) else MIXED_TOKEN
+        tokens = token.findall(x) if len(x) < 1 << 20 else (m.group() for m in token.finditer(x))
         parts.append(np.fromiter(map(known.__getitem__, tokens), np.uint64))
     return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
 def seeds(hashes: np.ndarray, owner: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which a mask fits into one text, and the seed there."""
-    picked = MASKS[mask]
+    """Positions at which a mask (of MASKS, then of SHORT) fits into one text, and the seed there."""
+    picked = (*MASKS, *SHORT)[mask]
     n = len(hashes) - picked[-1]
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -78,9 +88,9 @@ def seeds(hashes: np.ndarray, owner: np.ndarray, mask: int) -> tuple[np.ndarray,
     return np.flatnonzero(fits), key[fits]
 
 
-def bit_numbers(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a key in the bitmap."""
-    shift = np.uint64(64 - BITMAP_BITS)
+def bit_numbers(keys: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a key in a bitmap whose bits have numbers of so many binary digits."""
+    shift = np.uint64(64 - digits)
     return keys >> shift, (keys * np.uint64(0xD6E8FEB86659FD93)) >> shift
 
 
@@ -96,27 +106,41 @@ def around(hashes: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(place[index] == owner[at][:, None], padded[index], np.uint64(0))
 
 
-def _seed_rows(texts: list[str], known: TokenHashes, bitmap: np.ndarray | None):
-    """Row number, key, position in its text and surrounding tokens of all seeds, or of those the bitmap holds."""
+class Wanted:
+    """What documents are searched for: the bitmap of the benchmark's seeds and the lengths of its short items."""
+
+    def __init__(self, bitmap: np.ndarray, digits: int, short: set[int]):
+        self.bitmap, self.digits, self.short = bitmap, digits, short
+
+
+def _seed_rows(texts: list[str], known: TokenHashes, wanted: Wanted | None):
+    """Row number, key, position in its text and surrounding tokens of all seeds of benchmark items (``wanted`` None), or of
+    those of documents that the bitmap holds."""
     hashes, length = token_hashes(texts, known)
     owner = np.repeat(np.arange(len(texts)), length)
     start = np.cumsum(length) - length
-    for mask in range(len(MASKS)):
+    for mask in range(len(MASKS) + len(SHORT)):
+        n = mask - len(MASKS) + 1  # tokens of a short item
+        if n > 0 and wanted is not None and n not in wanted.short:
+            continue
         at, key = seeds(hashes, owner, mask)
-        if bitmap is not None:
-            one, two = bit_numbers(key)
-            found = np.flatnonzero(is_set(bitmap, one))
-            found = found[is_set(bitmap, two[found])]
+        if n > 0 and (wanted is None or n < LEAST):
+            whole = length[owner[at]] == n
+            at, key = at[whole], key[whole]
+        if wanted is not None:
+            one, two = bit_numbers(key, wanted.digits)
+            found = np.flatnonzero(is_set(wanted.bitmap, one))
+            found = found[is_set(wanted.bitmap, two[found])]
             at, key = at[found], key[found]
         yield owner[at], key, at - start[owner[at]], around(hashes, owner, at)
 
 
-def _seed_frame(df: DataFrame, ident: str, kind: str, bitmap) -> DataFrame:
+def _seed_frame(df: DataFrame, ident: str, kind: str, shared) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = TokenHashes(), bitmap.value if bitmap is not None else None
+        known, wanted = TokenHashes(), shared.value if shared is not None else None
         for batch in batches:
             for part, texts in blocks(batch, limit=2_000_000):
-                for row, key, at, near in _seed_rows(texts, known, bits):
+                for row, key, at, near in _seed_rows(texts, known, wanted):
                     # a benchmark text of any length leaves in slices
                     for k in range(0, len(row), 20_000):
                         one = slice(k, k + 20_000)
@@ -130,19 +154,26 @@ def _seed_frame(df: DataFrame, ident: str, kind: str, bitmap) -> DataFrame:
     return df.mapInArrow(find, f"{ident} {kind}, {SEEDS}")
 
 
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """The bitmap of benchmark seeds; it comes to the driver as words of a fixed number."""
+def wanted_of(keys: DataFrame, short: set[int]) -> Wanted:
+    """The bitmap of the written benchmark seeds; it comes to the driver as words, at most 2 to the MOST_BITS - 6 of them."""
+    digits = min(MOST_BITS, max(LEAST_BITS, (BITS_PER_SEED * keys.count()).bit_length()))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.concatenate(bit_numbers(batch.column("key").to_numpy().view(np.uint64)))
+            bit = np.concatenate(bit_numbers(batch.column("key").to_numpy().view(np.uint64), digits))
             yield pa.RecordBatch.from_arrays([
                 pa.array((bit >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], ["word", "bits"])
 
     words = keys.select("key").mapInArrow(bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out = np.zeros(1 << (digits - 6), np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return out.astype("<u8").view(np.uint8)
+    return Wanted(out.astype("<u8").view(np.uint8), digits, short)
+
+
+def short_lengths(item_seeds: DataFrame) -> set[int]:
+    """Numbers of tokens, below six, that some item has: of their surroundings so many are tokens."""
+    held = F.size(F.filter("around", lambda x: x != 0))
+    return {r["n"] for r in item_seeds.select(held.alias("n")).filter(F.col("n") <= len(SHORT)).distinct().collect()}
 
 
 def verify(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +199,8 @@ def _matches(docs: DataFrame, ident: str, kind: str, benchmark: DataFrame) -> Da
     """ident, item_id, start (token of the document), matches, size of every verified hit. ``docs``: ident and text."""
     items = benchmark.filter("text IS NOT NULL")
     item_seeds = written(_seed_frame(items, "item_id", "long", None), "seeds")
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(item_seeds))
-    hits = _seed_frame(docs.filter("text IS NOT NULL"), ident, kind, bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(wanted_of(item_seeds, short_lengths(item_seeds)))
+    hits = _seed_frame(docs.filter("text IS NOT NULL"), ident, kind, shared)
     met = hits.join(item_seeds.select("key", "item_id", F.col("around").alias("theirs")), "key").select(
         ident, "item_id", "at", "around", "theirs")
 

@@ -4,16 +4,19 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 from holdfast.llm import decontaminate as d
 from tests.llm import edges
 
 
 def brute(doc: str | None, item: str | None) -> bool:
     """Every window of the item against every place of the document."""
-    words = [re.findall(r"[^\W_]+", (x or "").lower()) for x in (doc, item)]
-    text, passage = words
-    if len(passage) < 6:
-        return False
+    dense = lambda c: "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\u0e00" <= c <= "\u0eff"
+    spaced = ["".join(f" {c} " if dense(c) else c for c in (x or "").lower()) for x in (doc, item)]
+    text, passage = [re.findall(r"[^\W_]+", x) for x in spaced]
+    if len(passage) < 3:
+        return bool(passage) and text == passage
     size = min(d.WINDOW, len(passage))
     need = d.WINDOW - d.MAX_SUBS if size == d.WINDOW else size
     return any(
@@ -58,6 +61,29 @@ def test_pairs_equal_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(docs))) - {i for i, _ in expected}
 
 
+def test_short_and_unspaced_items(spark):
+    chinese = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少你好世界"
+    items = ["answer is forty two exactly", chinese, "ja nein", "solo", "カタカナ文", "one two three four five six seven", "ภาษาไทยยากมาก"]
+    docs = [
+        "some say the ANSWER is forty-two, exactly that", "answer is forty two roughly", "前言" + chinese + "后记。", "前言" + chinese[:5] + "后记",
+        chinese[:6] + "一" + chinese[7:], "ja, nein!", "sie sagt ja nein dazu", "solo", "solo solo", "これはカタカナ文です", "zero one two three four five six seven",
+        "one two three four five six", "ใครว่าภาษาไทยยากมากนะ", "", None]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.contaminations(frame, benchmark).collect()}
+    assert got == {(0, 0), (2, 1), (4, 1), (5, 2), (7, 3), (9, 4), (10, 5), (12, 6)}
+    assert got == {(i, j) for i, x in enumerate(docs) for j, y in enumerate(items) if brute(x, y)}
+
+
+def test_bitmap_grows_with_the_benchmark(spark):
+    keys = [d.wanted_of(spark.range(n).selectExpr("xxhash64(id) AS key"), set()) for n in (10, 100_000)]
+    assert [k.digits for k in keys] == [d.LEAST_BITS, 22] and [len(k.bitmap) for k in keys] == [1 << 17, 1 << 19]
+    few = d.wanted_of(spark.range(10).selectExpr("xxhash64(id) AS key"), set())
+    own = [r["k"] for r in spark.range(10).selectExpr("xxhash64(id) AS k").collect()]
+    one, two = d.bit_numbers(np.array(own, np.int64).view(np.uint64), few.digits)
+    assert d.is_set(few.bitmap, one).all() and d.is_set(few.bitmap, two).all()
+
+
 def test_query_finds_the_planted_passages_only(spark, sf_dir):
     from holdfast.llm.queries import op2_decontamination
 
