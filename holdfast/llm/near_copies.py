@@ -6,11 +6,16 @@ null are copies of each other. Shingles are compared by their 64-bit hashes. Gro
 
 Candidates: pairs whose SimHash fingerprints (three-word shingles) differ in at most ``BUDGET`` bits, every such pair. One
 of four blocks of 16 bits then differs in two bits at most, so the trie self-join runs over four rotations of the
-fingerprints, with an error budget of two in the first 16 bits of each. What lies beyond the budget is not a candidate.
+fingerprints: node pairs are walked together, their differing bits add up, and a pair is pruned when it has more than two in
+the first 16 bits or more than ``BUDGET`` in all. What lies beyond the budget is not a candidate.
 
 Check: a text with few candidates in a task gives pairs, each compared on its own. One with many gives only links that hold
-its candidates together; such a group is dealt out as pairs of blocks, which return a spanning forest of their near copies.
-No step returns all pairs of a dense group, but all of them are compared.
+its candidates together; such a group is dealt out as pairs of blocks, which return a spanning forest of their near copies. No step
+returns all pairs of a dense group, but all of them are compared.
+
+Null and empty texts have no words and are one group. Texts of any length are read whole, in steps; a text's shingle set must
+fit into a task. Rows equal in id and text, and of all near copies the one with the smallest id (null last, then by text),
+leave one row. An empty table gives an empty result. All columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm import simhash
 from holdfast.llm.common import prepare, quoted, written
-from holdfast.llm.simhash import BITS, components, masks, roots, text_digest, trie_links, unite
+from holdfast.llm.simhash import BITS, FRONTIER, _children, _leaves, components, roots, text_digest, trie_links, unite
 from holdfast.operators.stable import stable
 
 WIDTH = 5
@@ -39,8 +44,8 @@ NODE_ROWS = 32768
 BLOCK = 512
 #: shingles of two blocks that are multiplied in one step
 COLUMNS = 4096
-#: leaf pairs of one numpy step
-LEAVES = 1 << 20
+#: leaf pairs that a node pair is not walked further for, and of one numpy step
+LEAVES, STEP = 64, 1 << 20
 #: digests of candidate texts are broadcast up to this many (8 bytes each)
 BROADCAST_IDS = 1_000_000
 
@@ -77,49 +82,53 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 # --- candidates -------------------------------------------------------------------------------------------------------
 
 
-def near(left: np.ndarray, right: np.ndarray, budget: int, head: tuple[int, int]):
-    """Index arrays (i, j) of all pairs within the budget whose heads are, some ``left`` at a time; ``right`` is sorted."""
-    bits, errors = head
-    shift = np.uint64(BITS - bits)
-    starts = np.searchsorted(right >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
-    flips = np.array(masks(bits, errors), np.uint64)
-    heads = left >> shift
-    total = np.zeros(len(left), np.int64)
-    for m in flips:
-        total += starts[(heads ^ m) + np.uint64(1)] - starts[heads ^ m]
-    # steps of about LEAVES pairs, one left at least
-    step = np.cumsum(total) // LEAVES
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(step)) + 1, [len(left)]])
-    for low, high in zip(cuts[:-1], cuts[1:]):
-        found = []
-        for m in flips:
-            to = heads[low:high] ^ m
-            first = starts[to]
-            size = starts[to + np.uint64(1)] - first
-            i = np.repeat(np.arange(low, high), size)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(size) - size - first, size)
-            good = np.bitwise_count(left[i] ^ right[j]) <= budget
-            found.append((i[good], j[good]))
-        yield np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-
-
-def candidates_of(left: np.ndarray, right: np.ndarray | None, budget: int, head: tuple[int, int]):
-    """(u, v, dense): pairs of those left fingerprints that have few candidates, links that hold the others' together."""
+def near(left: np.ndarray, right: np.ndarray | None, depth: int, errors: int, budget: int, head: tuple[int, int]):
+    """Index arrays (i, j) of all pairs of two sorted subtrees (``right`` None: within one, each pair once), both ``depth`` bits
+    below the root and ``errors`` apart so far, that differ in at most ``budget`` bits and in at most head[1] of the first head[0].
+
+    Node pairs are walked together; the differing bits add up, and a pair is pruned when they exceed the budget of its level."""
+    other = left if right is None else right
+    todo = [(depth, np.array([[0, len(left), 0, len(other), errors, right is None]], np.int64))] if len(left) and len(other) else []
+    while todo:
+        level, pairs = todo.pop()
+        few = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= LEAVES
+        if level == BITS:
+            few[:] = True
+        for part in np.array_split(pairs[few], max(1, int(few.sum()) * LEAVES // STEP)):
+            i, j = _leaves(part)
+            good = np.bitwise_count(left[i] ^ other[j]) <= budget
+            i, j = i[good], j[good]
+            # leaves below one node meet in both orders, and each with itself
+            once = i < j if right is None else np.ones(len(i), bool)
+            yield i[once], j[once]
+        pairs = pairs[~few]
+        if len(pairs):
+            below = _children(left, other, pairs, level, head[1] if level < head[0] else budget)
+            todo += [(level + 1, below[k:k + FRONTIER]) for k in range(0, len(below), FRONTIER)]
+
+
+def candidates_of(left: np.ndarray, right: np.ndarray | None, depth: int, errors: int, budget: int, head: tuple[int, int]):
+    """(u, v, dense): every near pair of fingerprints that have at most PAIRS candidates each, and links that hold the ends of all
+    other near pairs together."""
     other = left if right is None else right
     both = left if right is None else np.concatenate([left, right])
     shift = 0 if right is None else len(left)
-    parent, pairs = np.arange(len(both)), [np.zeros((0, 2), np.uint64)]
-    for i, j in near(left, other, budget, head):
-        if right is None:
-            i, j = i[i != j], j[i != j]
-        many = np.bincount(i, minlength=len(left))[i] > PAIRS
-        unite(parent, i[many], j[many] + shift)
-        pairs.append(np.stack([left[i[~many]], other[j[~many]]], 1))
-    few = np.concatenate(pairs)
+    parent, pairs, degree = np.arange(len(both)), [np.zeros((2, 0), np.int64)], np.zeros(len(both), np.int64)
+    for i, j in near(left, right, depth, errors, budget, head):
+        j = j + shift
+        # both ends count; a fingerprint that has too many takes part in links only
+        degree += np.bincount(i, minlength=len(both)) + np.bincount(j, minlength=len(both))
+        crowded = (degree[i] > PAIRS) | (degree[j] > PAIRS)
+        unite(parent, i[crowded], j[crowded])
+        pairs.append(np.stack([i[~crowded], j[~crowded]]))
+    i, j = np.concatenate(pairs, axis=1)
+    late = (degree[i] > PAIRS) | (degree[j] > PAIRS)
+    unite(parent, i[late], j[late])
+    i, j = i[~late], j[~late]
     root = roots(parent, np.arange(len(both)))
     linked = np.flatnonzero(root != np.arange(len(both)))
-    dense = np.repeat([False, True], [len(few), len(linked)])
-    return np.concatenate([few[:, 0], both[linked]]), np.concatenate([few[:, 1], both[root[linked]]]), dense
+    dense = np.repeat([False, True], [len(i), len(linked)])
+    return np.concatenate([both[i], both[linked]]), np.concatenate([both[j], both[root[linked]]]), dense
 
 
 def candidate_links(nodes: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> DataFrame:
@@ -131,7 +140,8 @@ def candidate_links(nodes: DataFrame, budget: int = BUDGET, node_rows: int = NOD
         def one_pair(key: tuple, group: pa.Table) -> pa.Table:
             side, fp = group.column("side").to_numpy(), group.column("fp").to_numpy().view(np.uint64)
             left, right = np.sort(fp[side == 0]), np.sort(fp[side == 1])
-            u, v, dense = candidates_of(left, None if key[0].as_py() == key[1].as_py() else right, budget, head)
+            a, b = key[0].as_py(), key[1].as_py()
+            u, v, dense = candidates_of(left, None if a == b else right, depth, (a ^ b).bit_count(), budget, head)
             return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64)), "dense": pa.array(dense)})
 
         return rows.groupBy("a", "b").applyInArrow(one_pair, "u long, v long, dense boolean")

@@ -152,9 +152,13 @@ def trie_links(nodes: DataFrame, budget: int = 2, node_rows: int = 8192, head: t
     errors) only pairs are followed whose first bits differ in so many at most. ``joined`` (rows, depth, budget) replaces
     what the tasks return."""
     joined = joined or _joined
-    depth = max(0, math.ceil(math.log2(max(1, nodes.count()) / node_rows)))
+    deepest = max(0, math.ceil(math.log2(max(1, nodes.count()) / node_rows)))
     at = lambda d: head[1] if d <= head[0] else budget
+    # behind the head a level at a time: its pairs are few, all prefixes of the whole budget would not be
+    depth = min(deepest, head[0]) if head[0] else deepest
     rows, done = start_pairs(nodes, depth, at(depth)), []
+    while depth + LEVEL_BITS <= deepest:
+        rows, depth = deeper_pairs(rows, depth, at(depth + LEVEL_BITS)), depth + LEVEL_BITS
     while True:
         # a self pair of a full node shrinks by a level at least; distinct fingerprints end at 64 bits
         sizes = rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") > 8 * node_rows)
@@ -264,7 +268,8 @@ def components(links: DataFrame) -> DataFrame:
     """node, root for every node of the links (u, v); root is the smallest node reachable.
 
     Large-star and small-star in turn: each is one aggregation and one join on the edge list, which never grows. A star's
-    centre may be hot: its edges are pre-aggregated, and adaptive execution splits the join."""
+    centre may be hot: its edges are pre-aggregated, and the smallest neighbours are written, so that both sides of the join
+    have a shuffle of their own and adaptive execution can split the centre's edges."""
     edges = stable(_clean(links))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -286,7 +291,7 @@ def _clean(edges: DataFrame) -> DataFrame:
 
 def _star(edges: DataFrame) -> DataFrame:
     """Edges with m, the smallest of u and all its neighbours."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+    least = stable(edges.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")))
     return edges.join(least, "u")
 
 

@@ -81,11 +81,42 @@ def test_candidates_are_complete():
     found = set()
     for by in range(0, 64, 16):
         turned = np.sort(np.bitwise_or(fps << np.uint64(by), fps >> np.uint64(64 - by)) if by else fps)
-        for i, j in near_copies.near(turned, turned, 11, (16, 2)):
-            for x, y in zip(turned[i].tolist(), turned[j].tolist()):
-                back = [(z >> by | z << 64 - by) & (1 << 64) - 1 for z in (x, y)]
-                found.add((min(back), max(back)))
-    assert whole == {(a, b) for a, b in found if a != b}
+        # within one tree, and between its two halves one bit below the root
+        cut = int(np.searchsorted(turned, np.uint64(1 << 63)))
+        halves = [(turned, None, 0, 0)], [(turned[:cut], None, 1, 0), (turned[cut:], None, 1, 0), (turned[:cut], turned[cut:], 1, 1)]
+        results = []
+        for parts in halves:
+            pairs = []
+            for left, right, depth, errors in parts:
+                for i, j in near_copies.near(left, right, depth, errors, 11, (16, 2)):
+                    pairs += zip(left[i].tolist(), (left if right is None else right)[j].tolist())
+            assert len(pairs) == len(set(pairs))
+            results.append({tuple(sorted((z >> by | z << 64 - by) & (1 << 64) - 1 for z in p)) for p in pairs})
+        head = {p for p in whole if ((p[0] ^ p[1]) << by >> 48 & 0xFFFF | (p[0] ^ p[1]) >> 64 - by + 48 if by else (p[0] ^ p[1]) >> 48).bit_count() <= 2} if not by else None
+        assert results[0] <= whole and results[1] <= whole and (head is None or head <= results[0] & results[1])
+        found |= results[0] & results[1]
+    assert whole == found
+
+
+def test_a_crowd_leaves_links_instead_of_pairs():
+    base = 0x0123456789ABCDEF
+    fps = np.unique(np.array([base ^ (1 << k) ^ (1 << m) for k in range(40) for m in range(k)], np.uint64))
+    u, v, dense = near_copies.candidates_of(fps, None, 0, 0, 11, (16, 2))
+    assert dense.all() and len(u) < len(fps)
+    # every near pair is there or its ends hang together
+    label = {x: x for x in fps.tolist()}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in zip(u[dense].tolist(), v[dense].tolist()):
+        label[root(a)] = root(b)
+    pairs = {frozenset(p) for p in zip(u[~dense].tolist(), v[~dense].tolist())}
+    x = fps.tolist()
+    assert all(frozenset((a, b)) in pairs or root(a) == root(b)
+               for k, a in enumerate(x) for b in x[k + 1:] if ((a ^ b) >> 48).bit_count() <= 2)
 
 
 def test_unlike_texts_with_near_fingerprints_stay(spark):
