@@ -10,9 +10,12 @@ For a batch of rows the lengths of all segments are known first; their running s
 scatters headers and contents into one buffer that becomes the Arrow column. The loss mask is the list of byte spans of the
 assistant texts.
 
-Null role or text: empty. Null conv_id: one conversation of its own. An empty table gives an empty result. Repeated rows are
-turns of their own. Extra columns are ignored. A conversation is one output row, so it must fit into one task's memory;
-conversations are never split.
+A conversation of more than about ``piece_bytes`` comes in several rows, numbered by ``piece`` from 0, next to each other and in
+order; a turn is never cut. So a task holds one piece at a time, and Spark's sort spills what it cannot hold. A conversation is
+formatted by one task, from its first turn to its last.
+
+Null role or text: empty. A row with a null conv_id is a conversation of its own. An empty table gives an empty result.
+Repeated rows are turns of their own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from holdfast.llm.common import prepare, quoted
 
@@ -36,7 +40,9 @@ CONTROL = (
 LOSS_ROLE = "assistant"
 TURN = re.compile(r"<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-SCHEMA = "conv_id long, n_turns long, formatted string, loss_starts array<long>, loss_ends array<long>"
+SCHEMA = "conv_id long, piece int, n_turns long, formatted string, loss_starts array<long>, loss_ends array<long>"
+#: bytes of roles and texts, before they are escaped, from which a conversation gets another piece
+PIECE_BYTES = 64 << 20
 
 
 def escape(texts: pa.Array) -> pa.Array:
@@ -57,8 +63,9 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (whole[ends[0]:ends[-1]], np.diff(ends)) if len(texts) else (whole[:0], np.empty(0, np.int64))
 
 
-def assemble(rows: pa.Table) -> pa.RecordBatch:
-    """Whole conversations, their rows next to each other and in order, to one row each."""
+def assemble(rows: pa.Table, piece: int = 0) -> pa.RecordBatch:
+    """Conversations, their rows next to each other and in order, to one row each. ``piece``: number of the first one's piece;
+    the others begin here."""
     conv = rows.column("conv_id").combine_chunks()
     roles = escape(pc.fill_null(rows.column("role"), "").combine_chunks())
     roles = pc.replace_substring(roles, "\n", "\\\n")
@@ -75,7 +82,9 @@ def assemble(rows: pa.Table) -> pa.RecordBatch:
     for column, source, length in ((1, role_bytes, role_len), (3, text_bytes, text_len)):
         moved = np.repeat(at[:, column] - (np.cumsum(length) - length), length)
         out[moved + np.arange(len(source))] = source
-    first = new_group(conv)
+    first = new_group(rows)
+    pieces = np.zeros(len(first), np.int32)
+    pieces[0] = piece
     starts = np.append(at[first, 0], offsets[-1]).astype(np.int64)
     formatted = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(starts), pa.py_buffer(out)).cast(pa.string())
     group = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
@@ -83,49 +92,63 @@ def assemble(rows: pa.Table) -> pa.RecordBatch:
     begin = at[:, 3] - starts[group]
     spans = np.concatenate([[0], np.cumsum(np.bincount(group[loss], minlength=len(first)))]).astype(np.int32)
     return pa.RecordBatch.from_arrays([
-        conv.take(pa.array(first)), pa.array(np.bincount(group, minlength=len(first)).astype(np.int64)), formatted,
+        conv.take(pa.array(first)), pa.array(pieces), pa.array(np.bincount(group, minlength=len(first)).astype(np.int64)), formatted,
         pa.ListArray.from_arrays(spans, pa.array(begin[loss])), pa.ListArray.from_arrays(spans, pa.array((begin + text_len)[loss])),
-    ], ["conv_id", "n_turns", "formatted", "loss_starts", "loss_ends"])
+    ], ["conv_id", "piece", "n_turns", "formatted", "loss_starts", "loss_ends"])
+
 
+def keys_of(rows: pa.Table) -> np.ndarray:
+    """Conversation of each row: its id, or the number that a row without one has."""
+    none = rows.column("conv_id").is_null().to_numpy()
+    number = pc.coalesce(rows.column("conv_id"), rows.column("own")).to_numpy()
+    return np.stack([none.astype(np.int64), number])
 
-def new_group(conv: pa.Array) -> np.ndarray:
-    """Row numbers at which a conversation begins; nulls equal each other."""
-    null = conv.is_null().to_numpy(zero_copy_only=False)
-    value = pc.fill_null(conv, 0).to_numpy(zero_copy_only=False)
-    change = (value[1:] != value[:-1]) | (null[1:] != null[:-1])
-    return np.flatnonzero(np.concatenate([[True], change]))
 
+def new_group(rows: pa.Table) -> np.ndarray:
+    """Row numbers at which a conversation begins."""
+    keys = keys_of(rows)
+    return np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
 
-def format_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def format_batches(batches: Iterator[pa.RecordBatch], piece_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Sorted rows to conversations; the last one of a batch waits for the next batch, which may continue it."""
     held: list[pa.Table] = []
+    piece, last = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch])
-        first = new_group(rows.column("conv_id").combine_chunks())
-        joins = bool(held) and held[0].column("conv_id")[0].as_py() == rows.column("conv_id")[0].as_py()
-        if len(first) == 1 and (joins or not held):
-            held.append(rows)
-            continue
-        ready = held + [rows.slice(0, first[-1])]
-        if first[-1] or held:
-            yield assemble(pa.concat_tables(ready).combine_chunks())
-        held = [rows.slice(first[-1])]
+        keys = keys_of(rows)
+        # what is held, or has left in pieces, ends where another conversation begins
+        if last is not None and (keys[:, 0] != last).any():
+            if held:
+                yield assemble(pa.concat_tables(held).combine_chunks(), piece)
+            held, piece = [], 0
+        last = keys[:, -1]
+        begin = int(new_group(rows)[-1])
+        if begin:
+            yield assemble(pa.concat_tables([*held, rows.slice(0, begin)]).combine_chunks(), piece)
+            held, piece = [], 0
+        held.append(rows.slice(begin))
+        while held and sum(x.nbytes for x in held) >= piece_bytes:
+            yield assemble(pa.concat_tables(held).combine_chunks(), piece)
+            held, piece = [], piece + 1
     if held:
-        yield assemble(pa.concat_tables(held).combine_chunks())
+        yield assemble(pa.concat_tables(held).combine_chunks(), piece)
 
 
 def format_chat(
-    turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+    turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
-    """conv_id, n_turns, formatted, loss_starts and loss_ends (byte offsets into formatted) per conversation."""
+    """conv_id, piece, n_turns, formatted, loss_starts and loss_ends (byte offsets into formatted), a row per conversation or,
+    of a very long one, per piece."""
     prepare(turns.sparkSession)
+    ident = quoted(conv_id).cast("long")
     rows = turns.select(
-        quoted(conv_id).cast("long").alias("conv_id"), quoted(turn).alias("turn"),
+        ident.alias("conv_id"), F.when(ident.isNull(), F.monotonically_increasing_id()).alias("own"), quoted(turn).alias("turn"),
         quoted(role).cast("string").alias("role"), quoted(text).cast("string").alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(format_batches, SCHEMA)
+    ordered = rows.repartition("conv_id", "own").sortWithinPartitions("conv_id", "own", "turn", "role", "text")
+    return ordered.select("conv_id", "own", "role", "text").mapInArrow(lambda batches: format_batches(batches, piece_bytes), SCHEMA)
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
