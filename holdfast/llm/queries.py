@@ -39,21 +39,33 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _read_back(batches):
-    """Digests of what the formatted conversations hold."""
+    """Digests of what the formatted conversations hold, piece by piece."""
+    now = None
+
+    def done() -> pa.RecordBatch:
+        row = {**now, "turns_sha256": now["turns_sha256"].hexdigest(), "loss_sha256": now["loss_sha256"].hexdigest()}
+        return pa.RecordBatch.from_pylist([row], pa.schema([
+            ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
+            ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
+
+    ready = []
     for batch in batches:
-        rows = []
         for x in batch.to_pylist():
+            if x["piece"] == 0:
+                ready += [done()] if now else []
+                now = {"conv_id": x["conv_id"], "n_turns": 0, "turns_sha256": hashlib.sha256(), "loss_chars": 0, "loss_sha256": hashlib.sha256(), "formatted_chars": 0}
             turns = chat.read_turns(x["formatted"])
             loss = chat.read_loss(x["formatted"], x["loss_starts"], x["loss_ends"])
-            whole = "".join(f"{role}\n{text}\n" for role, text in turns)
-            rows.append({
-                "conv_id": x["conv_id"], "n_turns": len(turns), "turns_sha256": hashlib.sha256(whole.encode()).hexdigest(),
-                "loss_chars": len(loss), "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(),
-                "formatted_chars": len(x["formatted"]),
-            })
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([
-            ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
-            ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
+            now["turns_sha256"].update("".join(f"{role}\n{text}\n" for role, text in turns).encode())
+            now["loss_sha256"].update(loss.encode())
+            now["n_turns"] += len(turns)
+            now["loss_chars"] += len(loss)
+            now["formatted_chars"] += len(x["formatted"])
+        if ready:
+            yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
+            ready = []
+    if now:
+        yield done()
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +81,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    rows = exact_dedup.DigestIndex.temporary(spark).ingest(documents)
+    rows = exact_dedup.deduplicated(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from holdfast.llm import exact_dedup
 from holdfast.llm.exact_dedup import DigestIndex
 from tests.llm import edges
 
@@ -13,21 +14,36 @@ def test_rules_of_the_contract(spark):
     assert out[4]["group_size"] == 4 and out[3]["group_size"] == 3
 
 
-def test_a_later_batch_loses_to_the_index(spark):
+def test_later_batches_meet_the_filled_index(spark):
     index = DigestIndex.temporary(spark, buckets=4)
-    first = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
-    later = spark.createDataFrame([(10, "a "), (11, "c"), (12, "c"), (13, "b")], "doc_id long, text string")
-    index.ingest(first).collect()
-    out = {r["doc_id"]: r for r in index.ingest(later).collect()}
-    assert {i: (r["keep_id"], r["kept"]) for i, r in out.items()} == {10: (1, False), 11: (11, True), 12: (11, False), 13: (2, False)}
-    assert index.read().count() == 3
-    plan = index.read().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan  # bucketed by digest
+    batches = [[(1, "a"), (2, "b b")], [(10, "a "), (11, "c"), (12, "c"), (13, "bb")], [(0, "a"), (14, "b  b"), (15, "d")]]
+    expected = [
+        {1: (1, True, 1), 2: (2, True, 1)},
+        {10: (10, True, 2), 11: (11, True, 2), 12: (11, False, 2), 13: (2, False, 2)},
+        {0: (10, False, 3), 14: (14, True, 3), 15: (15, True, 1)}]
+    frames = [spark.createDataFrame(rows, "doc_id long, text string") for rows in batches]
+    for frame, want, known in zip(frames, expected, (2, 3, 4)):
+        out = {r["doc_id"]: (r["keep_id"], r["kept"], r["group_size"]) for r in index.ingest(frame).collect()}
+        assert out == want and index.read().count() == known
+    # a longer text that arrives later takes over the group
+    whole = exact_dedup.digests(frames[0].union(frames[1]).union(frames[2]))
+    out = {r["doc_id"]: (r["keep_id"], r["kept"], r["group_size"]) for r in index.resolve(whole).collect()}
+    assert {i: out[i] for i in (1, 10, 0)} == {1: (10, False, 3), 10: (10, True, 3), 0: (10, False, 3)}
+    assert {i: out[i] for i in (2, 13, 14)} == {2: (14, False, 3), 13: (14, False, 3), 14: (14, True, 3)}
+    plan = index.keepers()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan  # both tables are bucketed by digest
+    index.drop()
 
 
-def test_hot_group_takes_the_broadcast_way(spark, monkeypatch):
-    from holdfast.llm import exact_dedup
+def test_any_number_of_batches_gives_the_same_rows(spark):
+    docs = spark.createDataFrame([(i % 50, "ab c"[: 1 + i % 4] + " " * (i % 7)) for i in range(200)] + [(None, "a"), (None, "a")], "doc_id long, text string")
+    tables = spark.sql("SHOW TABLES").count()
+    rows = [sorted((str(r) for r in exact_dedup.deduplicated(docs, n).collect())) for n in (1, 2, 5)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 202
+    assert spark.sql("SHOW TABLES").count() == tables
+
 
+def test_hot_group_takes_the_broadcast_way(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "HOT_ROWS", 3)
     docs = spark.range(40).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE string(id) END AS text")
     out = DigestIndex.temporary(spark, 4).ingest(docs).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -12,8 +13,8 @@ import compare
 import corpus_pipeline
 from holdfast.llm import oracles, queries, toxicity
 from holdfast.llm.common import written
+from tests.llm import edges
 from tests.llm.test_decontaminate import brute as contaminated
-from tests.llm.test_simhash import brute_fingerprint, brute_groups
 
 
 @pytest.mark.parametrize("key", list(oracles.ORACLE_SQL))
@@ -42,39 +43,103 @@ def test_every_document_is_scored(spark, sf_dir):
         assert len(rows) == n and len({r["doc_id"] for r in rows}) == n
 
 
-def test_pipeline_stage_by_stage(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    stages = dict(corpus_pipeline.STAGES)
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def test_stages_of_the_pipeline():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "mixing", "sharding"]
 
+
+def test_toxicity_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scores = toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).collect()
-    mild = written(stages["toxicity"](spark, docs, sf_dir), "mild")
-    text = {r["doc_id"]: r["text"] for r in mild.collect()}
-    assert set(text) == {r["doc_id"] for r in scores if r["score"] < 0.5}
+    mild = stage("toxicity")(spark, docs, sf_dir)
+    assert mild.columns == docs.columns
+    assert {r["doc_id"] for r in mild.collect()} == {r["doc_id"] for r in scores if r["score"] < 0.5}
+    assert any(r["score"] >= 0.5 for r in scores)
+
+
+def test_near_dedup_stage(spark, sf_dir):
+    """Exact similarity of five-word shingles over all pairs, without any budget of bits."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    kept = {r["doc_id"] for r in stage("simhash_near_dedup")(spark, docs, sf_dir).collect()}
+    words = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in x)) if w] for i, x in text.items()}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in words.items()}
+    label = {i: i for i in text}
+
+    def root(i):
+        return i if label[i] == i else root(label[i])
 
-    kept = {r["doc_id"] for r in stages["simhash_near_dedup"](spark, mild, sf_dir).collect()}
-    assert kept == set(brute_groups(list(text), [brute_fingerprint(text[i] or "") for i in text]).values())
+    ids = sorted(text)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1:]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    assert kept == {root(i) for i in ids} and len(kept) < len(ids)
 
+
+def test_decontamination_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    single = mild.filter(mild["doc_id"].isin(sorted(kept)))
-    pure = written(stages["benchmark_decontamination"](spark, single, sf_dir), "pure")
-    expected = {i for i in kept if not any(contaminated(text[i], x) for x in items)}
-    assert {r["doc_id"] for r in pure.collect()} == expected and pure.columns == docs.columns
+    expected = {r["doc_id"] for r in docs.collect() if not any(contaminated(r["text"], x) for x in items)}
+    pure = stage("benchmark_decontamination")(spark, docs, sf_dir)
+    assert {r["doc_id"] for r in pure.collect()} == expected and pure.columns == docs.columns and len(expected) < docs.count()
 
-    mixed = written(stages["mixing"](spark, pure, sf_dir), "mixed")
+
+def test_mixing_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = stage("mixing")(spark, docs, sf_dir)
     assert mixed.columns == docs.columns
-    size = Counter()
-    for r in pure.collect():
+    rows, size = docs.collect(), Counter()
+    for r in rows:
         size[r["source"]] += len(r["text"])
     weight = sum(math.sqrt(s) for s in size.values())
     rate = {s: math.sqrt(n) / weight * sum(size.values()) / n for s, n in size.items()}
     copies = Counter(r["doc_id"] for r in mixed.collect())
-    source = {r["doc_id"]: r["source"] for r in pure.collect()}
-    assert set(copies) <= expected
-    assert sum(copies.values()) == pytest.approx(sum(rate[source[i]] for i in expected), rel=0.35)
+    assert set(copies) <= {r["doc_id"] for r in rows}
+    assert sum(copies.values()) == pytest.approx(sum(rate[r["source"]] for r in rows), rel=0.35)
 
-    out = stages["sharding"](spark, mixed, sf_dir).collect()
-    assert Counter(r["doc_id"] for r in out) == copies
-    whole = corpus_pipeline.run(spark, sf_dir).collect()
-    assert Counter(r["doc_id"] for r in whole) == copies
 
+def test_sharding_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = stage("sharding")(spark, docs, sf_dir).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in docs.collect())
+    sizes = Counter(r["shard"] for r in out)
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_run_is_the_stages_in_a_row(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, apply in corpus_pipeline.STAGES:
+        docs = written(apply(spark, docs, sf_dir), name)
+    whole = corpus_pipeline.run(spark, sf_dir)
+    assert whole.columns == docs.columns
+    assert Counter(r["doc_id"] for r in whole.collect()) == Counter(r["doc_id"] for r in docs.collect())
+
+
+def put(folder, docs, labels, items):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    items.write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, dotted and clashing names, empty and long texts, repeated rows; labels too few to learn from; empty tables."""
+    docs = edges.documents(spark)
+    labels = spark.createDataFrame([(1, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
+    folder = put(tmp_path / "some", docs, labels, items)
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        frame = written(apply(spark, frame, folder), name)
+        assert frame.columns == docs.columns, name
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert rows and {r["doc_id"] for r in rows} <= {1, 2, 4, 7, 8}
+    # a column named like the copy number keeps its values
+    assert {r["copy"] for r in rows} <= {r["copy"] for r in docs.select("copy").collect()}
+    nothing = put(tmp_path / "none", edges.empty(spark), labels.limit(0), items.limit(0))
+    assert corpus_pipeline.run(spark, nothing).collect() == []
