@@ -52,8 +52,8 @@ PIECE_BLOCKS = 256
 FILTER_BYTES = 64 << 20
 #: words of this length and more share a filter
 LONG = 64
-#: words that are probed together, and letters of one numpy step
-HELD_PROBES, STEP_CELLS = 32_768, 1 << 21
+#: words of a probing task, words that are probed together, and letters of one numpy step
+TASK_PROBES, HELD_PROBES, STEP_CELLS = 32_768, 16_384, 1 << 21
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 
@@ -291,7 +291,9 @@ def near_pairs(words: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
                     hits, spelled = [], []
             yield batch_of(words, ns, hits, spelled)
 
-        return words.select("word", "n").mapInArrow(found, "word string, n long, near string")
+        # the words of a vocabulary fill few files, but take long to probe
+        dealt = words.select("word", "n").repartition(max(1, sum(counts.values()) // TASK_PROBES), "word")
+        return dealt.mapInArrow(found, "word string, n long, near string")
 
     def batch_of(words, ns, hits, spelled) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
