@@ -1,17 +1,21 @@
-"""Cross-entropy difference scores of documents under a target and a background model of all their words.
+"""Cross-entropy difference scores of documents under a target and a background n-gram model of all their words.
 
 Terms of a lower-cased text: runs of letters, digits and marks; every other character that is not blank on its own; of runs
 in scripts without blanks (Han, Kana, Thai, Lao, Khmer, Burmese) every three characters in a row, a shorter run whole; and
-the text's end. Both models are word unigrams over one vocabulary, all terms of the corpus, with ``ALPHA`` added to every
-count. The background model counts all documents, the target model those that ``targets`` names. A score is the mean over a
-document's terms of the target loss minus the background loss: the lower, the more it is like the target. No order of words
-is counted.
-
-Nothing is capped: the counts are a written table with one row per distinct term. Documents go in blocks of about
-``BLOCK_CHARS`` code points, each with its distinct terms and their counts, which are summed by term; the sums come back by
-a join, one row per block and term, so that a frequent term costs one row per block. Terms are told apart by 64-bit hashes.
-A null or empty text has one term, its end; null texts are not counted. Repeated rows are counted and scored each. Target
-ids that no document has, null ids and repeated ids change nothing. Extra columns are ignored.
+the text's end. Both models are over one vocabulary, all terms of the corpus. The background model counts all documents, the
+target model those that ``targets`` names. A score is the mean over a document's terms of the target loss minus the background
+loss: the lower, the more it is like the target.
+
+``order`` 1: a term's probability is its count with ``ALPHA`` added to every count. ``order`` 2: the probability of a term
+behind another is the count of the pair, with ``BACKOFF`` occurrences added that are dealt like the first model; what comes
+before a text's first term is its end, so a term is as often a first member of pairs as it occurs.
+
+Nothing is capped. Documents go in blocks of about ``BLOCK_CHARS`` code points, written as the codes of their terms. Each block
+sends its distinct terms and pairs with their counts, cut by ranges of their hashes, to the tasks that add up a range over all
+blocks; the sums come back in the order in which the block sent the keys, so a frequent term or pair costs one key per block.
+Terms are told apart by 63 bits of a hash, and so are pairs. A null or empty text has one term, its end; null texts are not
+counted. Repeated rows are counted and scored each. Target ids that no document has, null ids and repeated ids change nothing.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +33,12 @@ from holdfast.llm.common import prepare, quoted, written
 
 #: added to every count
 ALPHA = 0.5
+#: occurrences of the term model that are added to what is counted behind a term
+BACKOFF = 5.0
+#: terms of the corpus for each range of hashes, whose distinct terms and pairs one task adds up
+RANGE_TERMS = 2_000_000
 #: code points of one block, a document at least
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 #: target ids are broadcast up to this many (8 bytes each)
 BROADCAST_IDS = 1_000_000
 #: scripts without blanks between words
@@ -53,39 +61,84 @@ def terms(text: str) -> list[str]:
     return [*out, END]
 
 
-BAGS = ("block string, doc_ids array<long>, sizes array<int>, codes binary, counts binary, "
-        "terms array<long>, n array<long>, n_target array<long>")
+BAGS = ("block string, doc_ids array<long>, sizes array<int>, whole array<boolean>, wanted array<boolean>, codes binary, "
+        "terms binary, n long, n_target long")
+
+
+def planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on: the bytes that are mostly zero lie together and compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 class Block:
-    """Documents as (code, count) lists over the distinct terms of all of them."""
+    """Documents as codes of their terms, laid end to end."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.sizes, self.codes, self.counts = [], [], [], []
-        self.whole, self.wanted, self.chars = [], [], 0
+        self.ids, self.codes, self.whole, self.wanted, self.chars = [], [], [], [], 0
 
     def add(self, ident: int | None, text: str | None, target: bool) -> None:
         known = self.known
-        codes = np.array([known.setdefault(t, len(known)) for t in terms(text or "")], np.int32)
-        code, count = np.unique(codes, return_counts=True)
         self.ids.append(ident)
-        self.sizes.append(len(code))
-        self.codes.append(code)
-        self.counts.append(count.astype(np.int32))
+        self.codes.append(np.array([known.setdefault(t, len(known)) for t in terms(text or "")], np.int32))
         self.whole.append(text is not None)
         self.wanted.append(text is not None and target)
         self.chars += len(text or "")
 
     def batch(self) -> pa.RecordBatch:
-        codes, counts = np.concatenate(self.codes), np.concatenate(self.counts)
-        sums = [np.bincount(codes, weights=counts * np.repeat(flag, self.sizes), minlength=len(self.known)).astype(np.int64)
-                for flag in (self.whole, self.wanted)]
-        keys = np.array([xxhash.xxh64_intdigest(t) for t in self.known], np.uint64).view(np.int64)
-        rows = [[uuid.uuid4().hex], [self.ids], [self.sizes], [codes.tobytes()], [counts.tobytes()], [keys], *[[x] for x in sums]]
-        longs = pa.list_(pa.int64())
-        kinds = [pa.string(), longs, pa.list_(pa.int32()), pa.binary(), pa.binary(), longs, longs, longs]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], [x.split()[0] for x in BAGS.split(", ")])
+        keys = np.array([xxhash.xxh64_intdigest(t) for t in self.known], np.uint64)
+        sizes = [len(x) for x in self.codes]
+        rows = [uuid.uuid4().hex, self.ids, sizes, self.whole, self.wanted, planes(np.concatenate(self.codes)), keys.tobytes(),
+                sum(n for n, flag in zip(sizes, self.whole) if flag), sum(n for n, flag in zip(sizes, self.wanted) if flag)]
+        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.binary(),
+                 pa.binary(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(rows, kinds)], [x.split()[0] for x in BAGS.split(", ")])
+
+
+class Grams:
+    """A written block's terms and, for order 2, its pairs: the same keys in the same order whenever it is read."""
+
+    def __init__(self, row: dict, order: int) -> None:
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.codes = unplaned(row["codes"], np.int32)
+        hashes = np.frombuffer(row["terms"], np.uint64)
+        self.vocabulary = len(hashes)
+        keys = hashes & ~np.uint64(1)
+        if order > 1:
+            # every text ends in the same term, which is what the next text's first term stands behind
+            both = np.roll(self.codes, 1).astype(np.int64) * self.vocabulary + self.codes
+            pairs, self.pair = np.unique(both, return_inverse=True)
+            del both
+            self.pair = self.pair.astype(np.int32)
+            self.first, self.second = (x.astype(np.int32) for x in np.divmod(pairs, self.vocabulary))
+            x = hashes[self.first] * np.uint64(0x9E3779B97F4A7C15) + hashes[self.second]
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            keys = np.concatenate([keys, (x ^ (x >> np.uint64(29))) | np.uint64(1)])
+        self.place = np.argsort(keys, kind="stable")
+        self.keys = keys[self.place]
+
+    def counts(self, flags: list[bool]) -> np.ndarray:
+        """Occurrences of the keys in the flagged documents."""
+        weights = np.repeat(np.array(flags, bool), self.sizes).astype(np.float64)
+        n = np.bincount(self.codes, weights=weights, minlength=self.vocabulary)
+        if len(self.keys) > self.vocabulary:
+            n = np.concatenate([n, np.bincount(self.pair, weights=weights, minlength=len(self.first))])
+        return n[self.place].astype(np.int64)
+
+    def loss(self, counts: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+        """The loss of every term of the block, given the corpus' counts of the keys."""
+        n = np.empty(len(counts))
+        n[self.place] = counts
+        n_terms, n_pairs = n[:self.vocabulary], n[self.vocabulary:]
+        share = (n_terms + ALPHA) / (total + ALPHA * vocabulary)
+        if not len(n_pairs):
+            return -np.log(share)[self.codes]
+        return -np.log((n_pairs + BACKOFF * share[self.second]) / (n_terms[self.first] + BACKOFF))[self.pair]
 
 
 def bags(docs: DataFrame) -> DataFrame:
@@ -105,8 +158,46 @@ def bags(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "target").mapInArrow(pack, BAGS)
 
 
-def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sums(packed: DataFrame, order: int, ranges: int) -> DataFrame:
+    """For every block and range of hashes the corpus' counts of the block's keys in their order; one row of a range also holds
+    how many distinct terms the range has."""
+
+    def deal(batches):
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                grams = Grams(row, order)
+                n, n_target = grams.counts(row["whole"]), grams.counts(row["wanted"])
+                ends = np.searchsorted((grams.keys >> np.uint64(33)) * np.uint64(ranges) >> np.uint64(31), np.arange(ranges + 1, dtype=np.uint64))
+                for k in np.flatnonzero(np.diff(ends)):
+                    at = slice(ends[k], ends[k + 1])
+                    steps = np.diff(grams.keys[at], prepend=np.uint64(0))
+                    yield pa.RecordBatch.from_pylist([{
+                        "block": row["block"], "part": int(k), "keys": planes(steps), "n": planes(n[at]), "n_target": planes(n_target[at])}], dealt)
+                del grams, n, n_target
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        own = [np.cumsum(unplaned(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        known, at = np.unique(np.concatenate(own), return_inverse=True)
+        cuts = np.cumsum([len(x) for x in own])[:-1]
+        columns = {"block": table.column("block"), "part": table.column("part")}
+        for name in ("n", "n_target"):
+            values = np.concatenate([unplaned(x, np.int64) for x in table.column(name).to_pylist()])
+            total = np.bincount(at, weights=values).astype(np.int64)
+            columns[name] = pa.array([planes(x) for x in np.split(total[at], cuts)], pa.binary())
+        new = [0] * len(own)
+        new[0] = int((known & np.uint64(1) == 0).sum())
+        return pa.table({**columns, "new_terms": pa.array(new, pa.int64())})
+
+    dealt = pa.schema([("block", pa.string()), ("part", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("n_target", pa.binary())])
+    sent = packed.select("block", "sizes", "whole", "wanted", "codes", "terms").mapInArrow(
+        deal, "block string, part int, keys binary, n binary, n_target binary")
+    return sent.groupBy("part").applyInArrow(add, "block string, part int, n binary, n_target binary, new_terms long")
+
+
+def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 1) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means per term) and score, for every row of ``docs``."""
+    if order not in (1, 2):
+        raise ValueError("order must be 1 or 2")
     prepare(docs.sparkSession)
     wanted = targets.select(quoted(doc_id).cast("long").alias("doc_id"), F.lit(True).alias("target")).filter("doc_id IS NOT NULL").distinct()
     if wanted.count() <= BROADCAST_IDS:
@@ -114,32 +205,23 @@ def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str
     source = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
     source = source.join(wanted, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     packed = written(bags(source), "bags")
-    each = packed.select("block", F.explode(F.arrays_zip("terms", "n", "n_target")).alias("x")).select("block", "x.*")
-    each = each.withColumnRenamed("terms", "term")
-    model = written(each.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "term_counts")
-    size = model.agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).first()
-    found = each.select(F.col("block").alias("at"), "term").join(model, "term")
-
-    def losses(counts: np.ndarray, total: int) -> np.ndarray:
-        return np.log(total + ALPHA * vocabulary) - np.log(counts + ALPHA)
-
-    vocabulary, total, total_target = size["v"], size["n"], size["n_target"]
+    size = packed.agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).first()
+    model = written(sums(packed, order, 1 + (size["n"] or 0) // RANGE_TERMS), "term_counts")
+    vocabulary = model.agg(F.sum("new_terms").alias("v")).first()["v"]
 
     def judge(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        term = right.column("term").to_numpy()
-        order = np.argsort(term)
         row = left.to_pylist()[0]
-        at = order[np.searchsorted(term[order], np.array(row["terms"], np.int64))]
-        sums = []
-        codes, counts = np.frombuffer(row["codes"], np.int32), np.frombuffer(row["counts"], np.int32)
-        owner = np.repeat(np.arange(len(row["sizes"])), row["sizes"])
-        n = np.bincount(owner, weights=counts).astype(np.int64)
-        for name, whole in (("n_target", total_target), ("n", total)):
-            loss = losses(right.column(name).to_numpy()[at], whole)
-            sums.append(np.bincount(owner, weights=loss[codes] * counts) / n)
+        grams = Grams(row, order)
+        right = right.sort_by("part")
+        owner = np.repeat(np.arange(len(grams.sizes)), grams.sizes)
+        means = []
+        for name in ("n_target", "n"):
+            counts = np.concatenate([unplaned(x, np.int64) for x in right.column(name).to_pylist()])
+            means.append(np.bincount(owner, weights=grams.loss(counts, size[name], vocabulary)) / grams.sizes)
         return pa.table({
-            "doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(n), "target_loss": pa.array(sums[0]),
-            "background_loss": pa.array(sums[1]), "score": pa.array(sums[0] - sums[1])})
+            "doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(grams.sizes), "target_loss": pa.array(means[0]),
+            "background_loss": pa.array(means[1]), "score": pa.array(means[0] - means[1])})
 
-    sides = packed.select("block", "doc_ids", "sizes", "codes", "counts", "terms").groupBy("block").cogroup(found.groupBy("at"))
+    sides = packed.select("block", "doc_ids", "sizes", "codes", "terms").groupBy("block").cogroup(
+        model.select("block", "part", "n", "n_target").groupBy("block"))
     return sides.applyInArrow(judge, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

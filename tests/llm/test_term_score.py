@@ -31,6 +31,39 @@ def test_scores_by_definition(spark):
         assert r["score"] == pytest.approx(loss[0] - loss[1])
 
 
+@pytest.mark.parametrize("block, per_range", [(4_000_000, 2_000_000), (20, 3)])
+def test_pair_scores_by_definition(spark, monkeypatch, block, per_range):
+    monkeypatch.setattr(term_score, "BLOCK_CHARS", block)
+    monkeypatch.setattr(term_score, "RANGE_TERMS", per_range)
+    docs = [(1, "Banana is good"), (2, "is a banana, a"), (3, None), (4, ""), (5, "中文字符"), (6, "good is banana"), (2, "is a banana, a")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    targets = spark.createDataFrame([(1,), (2,), (None,), (99,)], "doc_id long")
+
+    def model(ids):
+        texts = [term_score.terms(x) for i, x in docs if x is not None and i in ids]
+        return Counter(t for x in texts for t in x), Counter(p for x in texts for p in zip([x[-1], *x], x))
+
+    models = [model({1, 2}), model({1, 2, 4, 5, 6})]
+    vocabulary = len(models[1][0])
+    got = term_score.score(frame, targets, order=2).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 2, 3, 4, 5, 6]
+    for r in got:
+        own = term_score.terms(dict(docs)[r["doc_id"]] or "")
+        loss = []
+        for one, two in models:
+            share = {t: (one[t] + 0.5) / (one.total() + 0.5 * vocabulary) for t in own}
+            loss.append(np.mean([-np.log((two[v, w] + 5 * share[w]) / (one[v] + 5)) for v, w in zip([own[-1], *own], own)]))
+        assert (r["n_tokens"], r["target_loss"], r["background_loss"]) == (len(own), pytest.approx(loss[0]), pytest.approx(loss[1]))
+
+
+def test_query_counts_the_order_of_words(spark, tmp_path):
+    docs = [(1, "old dogs bite young cats"), (2, "old dogs bite young cats"), (3, "cats young bite dogs old")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    score = {r["doc_id"]: r["target_loss"] for r in queries.op8_lm_score(spark, str(tmp_path)).collect()}
+    assert score[2] < score[3] - 0.5
+
+
 def test_query_tells_rare_characters_apart(spark, tmp_path):
     """Two documents in characters beyond the 126 most frequent, one of them like the target."""
     common = "".join(chr(0x3b1 + 1000 + k) * 9 for k in range(130))
