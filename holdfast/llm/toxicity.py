@@ -17,6 +17,7 @@ the share of toxic labels, or 0, and ``reject`` keeps all rows. Repeated rows ar
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -145,8 +146,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> tuple[list[tuple[str, int]], float]:
-    """The bounded training sample (text, label), and the share of toxic labels among all that may be used."""
+def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> tuple[DataFrame, float]:
+    """The bounded training sample (text, label), and the share of toxic labels among all that may be used. Ids come to the
+    driver, texts do not."""
     usable = labels.filter(~held_out(quoted(doc_id)) & quoted(label).isin(0, 1)).select(
         quoted(doc_id).cast("long").alias("doc_id"), quoted(label).cast("int").alias("label"))
     share = usable.agg(F.avg("label").alias("x")).first()["x"] or 0.0
@@ -163,8 +165,13 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: st
     ids = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, label int, n int"))
     # ids may repeat in docs: the bound holds for rows
     texts = body.join(ids, ["doc_id", "n"]).select("doc_id", "text", "label").distinct()
-    rows = texts.orderBy(place, "doc_id", "label", "text").limit(2 * SAMPLE_ROWS).select("text", "label").collect()
-    return sorted({(r["text"], r["label"]) for r in rows}), share
+    return texts.orderBy(place, "doc_id", "label", "text").limit(2 * SAMPLE_ROWS).select("text", "label"), share
+
+
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> tuple[list[tuple[str, int]], float]:
+    """The sample's distinct rows in order, for those who want to look at them."""
+    rows, share = sampled(docs, labels, doc_id, text, label)
+    return sorted({(r["text"], r["label"]) for r in rows.collect()}), share
 
 
 def distinct_documents(texts: list[list[str]]) -> list[int]:
@@ -272,7 +279,17 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    return fit(*sample(docs, labels, doc_id, text, label))
+    """The model of the bounded sample, which one task learns; the driver gets the model only."""
+    prepare(docs.sparkSession)
+    rows, share = sampled(docs, labels, doc_id, text, label)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picked = {pair for batch in batches for pair in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist())}
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(sorted(picked), share))]}, pa.schema([("model", pa.binary())]))
+
+    # an empty sample may have no task
+    found = rows.coalesce(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], share)
 
 
 # --- scoring ----------------------------------------------------------------------------------------------------------

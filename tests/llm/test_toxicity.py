@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
 
 import numpy as np
@@ -131,3 +132,16 @@ def test_untrained_model_rejects_nothing(spark):
     for rows in ([(1, 1)], [(1, 1), (2, 1)], []):
         model = toxicity.train(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
         assert toxicity.reject(docs, model).count() == 5
+
+
+def test_learning_is_not_done_on_the_driver(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    want, driver, fit = toxicity.fit(*toxicity.sample(docs, labels, "doc_id", "text", "toxic")), os.getpid(), toxicity.fit
+
+    def elsewhere(rows, share):
+        assert os.getpid() != driver
+        return fit(rows, share)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    got = toxicity.train(docs, labels)
+    assert got.weights == want.weights and got.document.tolist() == want.document.tolist()
