@@ -130,6 +130,21 @@ def test_the_shipped_setting_once(spark, sf_dir):
     assert clean_tables(spark, sf_dir).once("fit", lambda: None) is None  # other tables, other fit
 
 
+def test_a_report_on_one_model_trains_no_other(spark, sf_dir):
+    from holdfast.plans import model_checks
+    from holdfast.sources.tpch import clean_tables
+
+    t = clean_tables(spark, sf_dir)
+    logistic = m.Fitted(t, trees=3)
+    t = t.given(fit=logistic, split=logistic.table)
+    assert m.logistic_report(t).count() == 1 and model_checks.optimality_check(t).count() > 0
+    assert list(logistic.models) == [m.LOGISTIC]
+    forest = m.Fitted(t, trees=3)
+    t = t.given(fit=forest)
+    assert m.forest_report(t).count() == 1 and model_checks.forest_walk_check(t).first()["differing"] == 0
+    assert list(forest.models) == [m.FOREST]
+
+
 # table values of the two distributions
 @pytest.mark.parametrize("t,df,p", [(2.228, 10, 0.05), (2.845, 20, 0.01), (1.96, 1e6, 0.05), (12.706, 1, 0.05), (0.0, 5, 1.0)])
 def test_t_tail(t, df, p):
