@@ -36,9 +36,11 @@ ALPHA = 0.5
 #: occurrences of the term model that are added to what is counted behind a term
 BACKOFF = 5.0
 #: terms of the corpus for each range of hashes, whose distinct terms and pairs one task adds up
-RANGE_TERMS = 2_000_000
+RANGE_TERMS = 1_000_000
 #: code points of one block, a document at least
 BLOCK_CHARS = 4_000_000
+#: bytes of one Arrow batch: a block's row has about this many, and a task works on one block at a time
+BATCH_BYTES = 4 << 20
 #: target ids are broadcast up to this many (8 bytes each)
 BROADCAST_IDS = 1_000_000
 #: scripts without blanks between words
@@ -158,6 +160,37 @@ def bags(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "target").mapInArrow(pack, BAGS)
 
 
+def added(table: pa.Table) -> pa.Table:
+    """The counts of one range's keys added up over its blocks. The columns are unpacked one at a time and one block at a time,
+    so that a task holds little more than the range as it was sent."""
+    keys, ends = _laid_out(table.column("keys"), np.uint64, np.uint64)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    fresh = np.diff(keys, prepend=~keys[:1]) != 0
+    new_terms = int((fresh & (keys & np.uint64(1) == 0)).sum())
+    del keys
+    at = np.empty(len(order), np.int32)
+    at[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    del order, fresh
+    columns = {"block": table.column("block"), "part": table.column("part")}
+    for name in ("n", "n_target"):
+        # whole numbers below 2^53
+        total = np.bincount(at, weights=_laid_out(table.column(name), np.int64, np.float64)[0]).astype(np.int64)
+        columns[name] = pa.array((planes(total[at[low:high]]) for low, high in zip([0, *ends], ends)), pa.binary(), size=len(ends))
+    return pa.table({**columns, "new_terms": pa.array([new_terms] + [0] * (len(ends) - 1), pa.int64())})
+
+
+def _laid_out(column: pa.ChunkedArray, kind: type, out: type) -> tuple[np.ndarray, list[int]]:
+    """The rows' numbers end to end, steps summed up if they are keys, and where each row ends."""
+    size = np.dtype(kind).itemsize
+    ends = np.cumsum([len(x.as_buffer()) // size for x in column]).tolist()
+    values = np.empty(ends[-1], out)
+    for x, low, high in zip(column, [0, *ends], ends):
+        part = unplaned(x.as_buffer(), kind)
+        values[low:high] = np.cumsum(part, dtype=np.uint64) if kind is np.uint64 else part
+    return values, ends
+
+
 def sums(packed: DataFrame, order: int, ranges: int) -> DataFrame:
     """For every block and range of hashes the corpus' counts of the block's keys in their order; one row of a range also holds
     how many distinct terms the range has."""
@@ -175,30 +208,17 @@ def sums(packed: DataFrame, order: int, ranges: int) -> DataFrame:
                         "block": row["block"], "part": int(k), "keys": planes(steps), "n": planes(n[at]), "n_target": planes(n_target[at])}], dealt)
                 del grams, n, n_target
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        own = [np.cumsum(unplaned(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
-        known, at = np.unique(np.concatenate(own), return_inverse=True)
-        cuts = np.cumsum([len(x) for x in own])[:-1]
-        columns = {"block": table.column("block"), "part": table.column("part")}
-        for name in ("n", "n_target"):
-            values = np.concatenate([unplaned(x, np.int64) for x in table.column(name).to_pylist()])
-            total = np.bincount(at, weights=values).astype(np.int64)
-            columns[name] = pa.array([planes(x) for x in np.split(total[at], cuts)], pa.binary())
-        new = [0] * len(own)
-        new[0] = int((known & np.uint64(1) == 0).sum())
-        return pa.table({**columns, "new_terms": pa.array(new, pa.int64())})
-
     dealt = pa.schema([("block", pa.string()), ("part", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("n_target", pa.binary())])
     sent = packed.select("block", "sizes", "whole", "wanted", "codes", "terms").mapInArrow(
         deal, "block string, part int, keys binary, n binary, n_target binary")
-    return sent.groupBy("part").applyInArrow(add, "block string, part int, n binary, n_target binary, new_terms long")
+    return sent.groupBy("part").applyInArrow(lambda key, table: added(table), "block string, part int, n binary, n_target binary, new_terms long")
 
 
 def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 1) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means per term) and score, for every row of ``docs``."""
     if order not in (1, 2):
         raise ValueError("order must be 1 or 2")
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, BATCH_BYTES)
     wanted = targets.select(quoted(doc_id).cast("long").alias("doc_id"), F.lit(True).alias("target")).filter("doc_id IS NOT NULL").distinct()
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
