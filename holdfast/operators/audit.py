@@ -6,11 +6,20 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from holdfast.functions.scalars import pct
+from holdfast.operators.stable import stable
 
 COPIES = "_copies"
+# repeated or unknown keys that are taken to the rows (two whole numbers each); with more, the rows are shuffled
+FEW_KEYS = 4_000_000
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """Keys that rows are compared with, found before the rows are read: adaptive execution would shuffle the rows meanwhile."""
+    found = stable(keys)
+    return F.broadcast(found) if found.count() <= FEW_KEYS else found
 
 
 class Check(NamedTuple):
@@ -72,41 +81,35 @@ def key_digest(keys: Sequence[str]) -> dict[str, Column]:
 def first_of_repeated(df: DataFrame, keys: Sequence[str], key: str) -> DataFrame:
     """First row per key, for a table in which few keys repeat; what "first" means says ``first_order(df, key)``.
 
-    A hash aggregate over digests of the key finds the repeated ones and their first place. Rows of all other keys stream
-    past these few by an adaptive anti-join and are never shuffled; only the repeated keys' first rows are reduced further.
-    NULL keys form a group of their own. Rows with the same key and place are told apart by their remaining columns."""
-    place = first_order(df, key)
+    A hash aggregate over digests of the key finds the repeated ones; nothing but the digests is shuffled for it. Rows of all
+    other keys stream past these few and are not shuffled (beyond FEW_KEYS of them they are); only the rows of repeated keys are reduced
+    further, by a partial aggregate, so that a key that holds a large part of the table is one row per map task.
+    NULL keys form a group of their own. Rows with the same key and place are told apart by their remaining columns; a missing
+    place comes last."""
     digests = list(key_digest(keys))
-    tagged = df.withColumns({**key_digest(keys), "_place": place})
-    seen = tagged.groupBy(*digests).agg(F.count("*").alias(COPIES), F.min("_place").alias("_least"))
-    repeated = seen.where(F.col(COPIES) > 1).select(*digests, "_least")
-    same = [tagged[d] == repeated[d] for d in digests]
-    alone = tagged.join(repeated, [*same, repeated["_least"].isNotNull()], "left_anti")
-    firsts = tagged.join(repeated, [*same, tagged["_place"] == repeated["_least"]], "left_semi")
-    rest = [c for c in df.columns if c not in keys]
-    tie = Window.partitionBy(*digests).orderBy(*rest)
-    # copies that are equal in all columns are one row before they are ordered
-    picked = firsts.distinct().withColumn("_n", F.row_number().over(tie)).where("_n = 1")
-    return alone.select(*df.columns).unionByName(picked.select(*df.columns))
+    tagged = df.withColumns(key_digest(keys))
+    repeated = _few(tagged.groupBy(*digests).agg(F.count("*").alias(COPIES)).where(F.col(COPIES) > 1).select(*digests))
+    alone = tagged.join(repeated, digests, "left_anti")
+    copies = tagged.join(repeated, digests, "left_semi").withColumn("_place", first_order(df, key))
+    order = F.struct(F.col("_place").isNull(), "_place", *[c for c in df.columns if c not in keys])
+    picked = copies.groupBy(*digests).agg(F.min_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")
+    return alone.select(*df.columns).unionByName(picked)
 
 
 def unknown_codes(df: DataFrame, parents: dict[str, DataFrame]) -> DataFrame:
-    """(_code): the values of several key columns that no parent has, from one pass over the keys; see ``rows_without``."""
-    used = df.select(F.explode(F.array(*[_code(c, i, len(parents)) for i, c in enumerate(parents)])).alias("_code"))
-    held = reduce(DataFrame.unionAll, [t.select(_code(c, i, len(parents)).alias("_code")) for i, (c, t) in enumerate(parents.items())])
-    return used.where("_code IS NOT NULL").distinct().join(held.distinct(), "_code", "left_anti")
-
-
-def _code(column: str, number: int, columns: int) -> Column:
-    """A key and the number of its column as one value."""
-    return F.col(column).cast("decimal(20,0)") * columns + number
+    """(_code, _of): the values of several key columns that no parent has, with the column's number, from one pass over the
+    keys; see ``rows_without``."""
+    used = df.select(F.inline(F.array(*[F.struct(F.col(c).alias("_code"), F.lit(i).alias("_of")) for i, c in enumerate(parents)])))
+    held = reduce(DataFrame.unionAll, [t.select(F.col(c).alias("_code"), F.lit(i).alias("_of")) for i, (c, t) in enumerate(parents.items())])
+    return _few(used.where("_code IS NOT NULL").distinct().join(held.distinct(), ["_code", "_of"], "left_anti"))
 
 
 def rows_without(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows all of whose key columns are known; unknown codes are few, so that adaptive execution takes them to the rows."""
+    """Rows all of whose key columns are known; unknown codes are few and taken to the rows."""
     out = df
     for i, column in enumerate(columns):
-        out = out.where(F.col(column).isNotNull()).join(codes, _code(column, i, len(columns)) == codes["_code"], "left_anti")
+        own = codes.where(F.col("_of") == i)
+        out = out.where(F.col(column).isNotNull()).join(own, F.col(column) == own["_code"], "left_anti")
     return out
 
 

@@ -246,3 +246,19 @@ def test_no_orphans_no_interaction_row(spark):
     t = raw(spark, customer_campaign_interactions=frame(
         spark, "customer_campaign_interactions", [dict(interaction_id=1, customer_id=1)]))
     assert cleaning.clean_interactions(t).audit().count() == 0
+
+
+def test_rows_are_not_shuffled_to_find_the_repeated_and_unknown_ones(spark):
+    from holdfast.operators.audit import first_of_repeated, rows_without, unknown_codes
+
+    rows = spark.createDataFrame([(1, 10, 0, "a"), (1, 11, 0, "b"), (1, 10, 1, "c"), (2, 12, 0, None), (3, None, 0, "d")],
+                                 "k long, id long, ingest_ord int, x string")
+    first = first_of_repeated(rows, ["k"], "id")
+    assert sorted(r["x"] or "" for r in first.collect()) == ["", "a", "d"]
+    parents = {"k": spark.createDataFrame([(1,), (3,)], "k long")}
+    known = rows_without(rows, unknown_codes(rows, parents), list(parents))
+    assert sorted(r["x"] for r in known.collect()) == ["a", "b", "c", "d"]
+    # the one shuffle is that of the repeated keys' rows
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2
+    assert known._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
