@@ -38,6 +38,8 @@ STEP = 1 << 15
 LEVEL_BITS = 4
 #: node pairs that one numpy step holds
 FRONTIER = 1 << 18
+#: fingerprints or edges that one partition is meant for
+TASK_ROWS = 1 << 16
 
 
 def shingle_hashes(text: str, width: int):
@@ -162,7 +164,8 @@ def trie_links(nodes: DataFrame, budget: int = 2, node_rows: int = 8192, head: t
     while True:
         # a self pair of a full node shrinks by a level at least; distinct fingerprints end at 64 bits
         sizes = rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") > 8 * node_rows)
-        full = stable(sizes.select("a", "b"))
+        # a few node pairs at most
+        full = stable(sizes.select("a", "b").coalesce(nodes.sparkSession.sparkContext.defaultParallelism))
         if depth + LEVEL_BITS > BITS or full.isEmpty():
             done.append(joined(rows, depth, budget))
             break
@@ -267,42 +270,55 @@ def unite(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of the links (u, v); root is the smallest node reachable.
 
-    Large-star and small-star in turn: each is one aggregation and one join on the edge list, which never grows. A star's
-    centre may be hot: its edges are pre-aggregated, and the smallest neighbours are written, so that both sides of the join
-    have a shuffle of their own and adaptive execution can split the centre's edges."""
+    Large-star and small-star in turn: each is one aggregation and one join on the edge list, which never grows, until the
+    list is a star around the smallest node of each component. A star's centre may be hot: its edges are pre-aggregated, and
+    the smallest neighbours are written, so that both sides of the join have a shuffle of their own and adaptive execution can
+    split the centre's edges. What is written between the steps has as many partitions as the edges need, so a short list does
+    not cost a task for each shuffle partition."""
     edges = stable(_clean(links))
-    while not edges.isEmpty():
+    parts = parts_for(edges)
+    edges = edges.coalesce(parts)
+    while not _is_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stable(_clean(_star(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))))
-        small = _star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-        hooks = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        own = small.select("u", F.col("m").alias("v"))
-        after = stable(_clean(hooks.unionByName(own)))
-        if _signature(after) == _signature(edges):
-            break
-        edges = after
+        outer = _star(both, parts).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stable(_clean(outer).coalesce(parts))
+        small = _star(large, parts)
+        hooks = F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
+        own = F.struct("u", F.col("m").alias("v"))
+        edges = stable(_clean(small.select(F.inline(F.array(hooks, own)))).coalesce(parts))
     pairs = edges.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root"))
     return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root")).distinct()
 
 
+def parts_for(rows: DataFrame) -> int:
+    """Partitions for narrow rows that are written already: one for each core, and more as the rows grow."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / TASK_ROWS))
+
+
 def _clean(edges: DataFrame) -> DataFrame:
     return edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, parts: int) -> DataFrame:
     """Edges with m, the smallest of u and all its neighbours."""
-    least = stable(edges.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")))
+    least = stable(edges.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")).coalesce(parts))
     return edges.join(least, "u")
 
 
-def _signature(edges: DataFrame):
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every u has one edge and is no v, so that each v is the smallest node of its component (u > v)."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")),
+                                         F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))))
+    degrees = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    open_ends = F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)))
+    return degrees.agg(open_ends).first()[0] == 0
 
 
 def grouped(docs: DataFrame, width: int, budget: int, doc_id: str, text: str, node_rows: int) -> DataFrame:
     """doc_id, digest, fp and the component's root fingerprint and smallest doc_id for every row."""
     marks = written(fingerprints(docs, width, doc_id, text), "fingerprints")
     nodes = stable(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = nodes.coalesce(parts_for(nodes))
     found = components(trie_links(nodes.select("fp"), budget, node_rows))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))

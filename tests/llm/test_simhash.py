@@ -103,6 +103,28 @@ def test_long_chain_is_one_component(spark):
     assert simhash.components(links.limit(0)).collect() == []
 
 
+def test_short_link_lists_take_few_tasks(spark, monkeypatch):
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    parts, stable = [], simhash.stable
+    monkeypatch.setattr(simhash, "stable", lambda df: parts.append((out := stable(df)).rdd.getNumPartitions()) or out)
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")
+        assert {r["root"] for r in simhash.components(links).collect()} == {0}
+        cores = spark.sparkContext.defaultParallelism
+        assert len(parts) > 3 and max(parts[1:]) <= cores
+        del parts[:]
+        star = spark.createDataFrame([(5, k) for k in range(6, 30)], "u long, v long")
+        assert {r["root"] for r in simhash.components(star).collect()} == {5}
+        # nothing is left to do, so nothing further is written
+        assert len(parts) == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_query_by_brute_force(spark, sf_dir):
     from holdfast.llm.queries import op3_simhash
 
