@@ -145,6 +145,26 @@ def test_a_report_on_one_model_trains_no_other(spark, sf_dir):
     assert list(forest.models) == [m.FOREST]
 
 
+def test_a_fit_has_as_many_partitions_as_cores(spark, sf_dir, monkeypatch):
+    """Every partition sends the statistics of all nodes and unpacks the model, so partitions may not grow with the table."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from holdfast.sources.tpch import clean_tables
+
+    cores, seen = spark.sparkContext.defaultParallelism, []
+    t = clean_tables(spark, sf_dir)
+    t = t.given(split=m.split_features(t).repartition(5 * cores + 1).localCheckpoint())
+    fit_model = LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, rows: seen.append((rows.rdd.getNumPartitions(), rows.count())) or fit_model(self, rows))
+    n = m.split_features(t).where("split = 'train'").count()
+    for most, partitions in ((m.FIT_ROWS, cores), (-(-n // (2 * cores)), 2 * cores)):
+        monkeypatch.setattr(m, "FIT_ROWS", most)
+        fit = m.Fitted(t, trees=3)
+        rows = fit.probability(m.LOGISTIC, fit.table)
+        assert seen.pop() == (partitions, n) and rows.count() == fit.table.count()
+        assert rows.rdd.getNumPartitions() == partitions
+
+
 # table values of the two distributions
 @pytest.mark.parametrize("t,df,p", [(2.228, 10, 0.05), (2.845, 20, 0.01), (1.96, 1e6, 0.05), (12.706, 1, 0.05), (0.0, 5, 1.0)])
 def test_t_tail(t, df, p):
